@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,23 @@ def build_session(app: str = "factloom", master: str | None = None, **conf: str)
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One of the parquet tables under `root`."""
     return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, for sessions whose executors can't import it. Done once a context."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="factloom-"), "factloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("factloom", os.path.relpath(path, here)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
