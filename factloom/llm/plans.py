@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import capping, formatting_copies, packing
+from factloom.llm import capping, formatting_copies, language, packing
 from factloom.session import table
 
 SHARE = 0.01
@@ -16,6 +16,29 @@ def _source_key() -> F.Column:
     return F.when(key != "", key)
 
 
+def _sentences(spark: SparkSession, root: str) -> DataFrame:
+    articles = table(spark, root, "articles").select("doc_id", "title", "summary", "language")
+    models = language.train_labelled(language.sample_labelled(articles, "language", ["title", "summary"], "doc_id"))
+    return language.detect(articles, models, "doc_id", ["title", "summary"], "language")
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Languages of the articles whose label is missing or wrong or that mix languages."""
+    cases = _sentences(spark, root).where("lang is not null and (mixed or label_lang is null or label_lang <> lang)")
+    return cases.select("doc_id", "lang").distinct()
+
+
+def p3_languages(spark: SparkSession, root: str) -> DataFrame:
+    """Each article's languages with the share of its sentences and the mean confidence."""
+    judged = _sentences(spark, root).where("lang is not null")
+    return judged.groupBy("doc_id", "lang").agg(F.countDistinct("seq").alias("sentences"), F.round(F.avg("confidence"), 4).alias("confidence"), F.max("mixed").alias("mixed"))
+
+
+def p3_segments(spark: SparkSession, root: str) -> DataFrame:
+    """Language and confidence of each sentence of mixed articles."""
+    return _sentences(spark, root).where("mixed").select("doc_id", "seq", "sentence", "lang", F.round("confidence", 4).alias("confidence")).distinct()
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Articles that go when each source is held to one percent of all."""
     articles = table(spark, root, "articles").select("doc_id", "source", "credibility")
@@ -52,7 +75,7 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_kept, p6_found, p6_collapsed, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p3_found, p3_languages, p3_segments, p5_found, p5_kept, p6_found, p6_collapsed, p7_containers, p7_fill)}
 
 
 _RANKED = r"""
