@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import capping, formatting_copies, language, packing
+from factloom.llm import capping, formatting_copies, language, packing, residue
 from factloom.session import table
 
 SHARE = 0.01
@@ -74,8 +74,18 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
     return held.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.round(F.sum("tokens") / (F.count("*") * packing.CAPACITY), 4).alias("fill"))
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents to exclude."""
+    return residue.score(table(spark, root, "documents")).where("excluded").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Error passages, content sentences and unfilled placeholders of each document."""
+    return residue.score(table(spark, root, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_languages, p3_segments, p5_found, p5_kept, p6_found, p6_collapsed, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p3_found, p3_languages, p3_segments, p5_found, p5_kept, p6_found, p6_collapsed, p7_containers, p7_fill, p9_found, p9_scores)}
 
 
 _RANKED = r"""
