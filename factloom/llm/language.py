@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 5
-PER_LANGUAGE = 3000
+PER_LANGUAGE = 1500
 #: Bits by which a sentence must favour its language over the document's main one to count as foreign.
 FOREIGN_BITS = 12.0
 #: Letters below which a sentence isn't judged.
@@ -46,7 +46,6 @@ LANGS = tuple(NOTATIONS)
 _TAG = re.compile(r"<[^<>]*>")
 _ADDRESS = re.compile(r"\b(?:https?://|www\.)\S+", re.I)
 _BREAK = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|\s*[\r\n]+\s*|\s+(?:/+|\|+|::|•|·|–|—)\s+")
-_NOT_LETTERS = re.compile(r"[^\w']+|[\d_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _START = 2
 
@@ -64,26 +63,34 @@ def sentences(*texts: str | None) -> list[str]:
     for text in texts:
         if not isinstance(text, str):
             continue
-        bare = _ADDRESS.sub(" ", html.unescape(_TAG.sub(" ", text))).strip()
+        bare = _TAG.sub(" ", text) if "<" in text else text
+        bare = html.unescape(bare) if "&" in bare else bare
+        bare = (_ADDRESS.sub(" ", bare) if "://" in bare or "www." in bare.lower() else bare).strip()
         if not re.search(r"\s", bare) and re.search(r"[./]", bare):
             continue
         out += [s.strip() for s in _BREAK.split(bare) if s and s.strip()]
     return out
 
 
-def _letters(sentence: str) -> str:
-    return " ".join(_NOT_LETTERS.sub(" ", sentence.lower()).split())
+_IS_LETTER = np.array([chr(c).isalpha() or c == 0x27 for c in range(0x3000)] + [True])
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts, each after ORDER - 1 start marks and before a blank; the text of each place; whether it counts."""
-    parts, ids, real = [], [], []
-    for i, t in enumerate(texts):
-        a = np.frombuffer((t + " ").encode("utf-32-le"), dtype=np.uint32)
-        parts += [np.full(ORDER - 1, _START, np.uint32), a]
-        ids.append(np.full(len(a) + ORDER - 1, i))
-        real.append(np.arange(len(a) + ORDER - 1) >= ORDER - 1)
-    return np.concatenate(parts).astype(np.uint64), np.concatenate(ids), np.concatenate(real)
+    """Code points of all texts in lower case, runs of anything but letters as one blank, each text after ORDER - 1 start
+    marks and before a blank; the places of the characters; the first of them of each text."""
+    lines = [t.replace("\n", " ") for t in texts]
+    a = np.frombuffer(("\n".join(lines).lower() + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    end = a == 10
+    blank = ~_IS_LETTER[np.minimum(a, 0x3000)] & ~end
+    before = np.concatenate([[True], (blank | end)[:-1]])  # a blank after a blank or at the start goes
+    after = np.concatenate([end[1:], [True]])  # and so does one at the end
+    keep = ~(blank & (before | after))
+    a, end = np.where(blank | end, 32, a)[keep], end[keep]
+    of = np.cumsum(end) - end
+    places = np.arange(len(a)) + (ORDER - 1) * (of + 1)
+    codes = np.full(len(a) + (ORDER - 1) * len(texts), _START, np.uint64)
+    codes[places] = a
+    return codes, places, np.concatenate([[0], np.nonzero(end)[0][:-1] + 1])
 
 
 def _hashes(codes: np.ndarray) -> list[np.ndarray]:
@@ -116,40 +123,37 @@ class Models:
     strange: np.ndarray
 
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per character of each text under each model, and the texts' lengths."""
-        lengths = np.array([len(t) for t in texts])
+        """Bits per character of each text under each model, and the texts' lengths in letters and blanks."""
         if not len(texts) or not self.langs:
-            return np.zeros((len(texts), len(self.langs))), lengths
-        codes, ids, real = _codes(texts)
+            return np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        codes, places, first = _codes(texts)
         h = _hashes(codes)
-        places = np.nonzero(real)[0]
-        total = np.full((len(places), len(self.langs)), 0.0, np.float32)
-        open_ = np.arange(len(places))
-        for k in range(ORDER, 0, -1):
-            at, hit = _find(self.grams[k], h[k][places[open_]])
-            total[open_[hit]] += self.logs[k][at[hit]]
+        at, hit = _find(self.grams[ORDER], h[ORDER][places])
+        total = np.take(self.logs[ORDER], at, axis=0)
+        open_ = np.nonzero(~hit)[0]
+        total[open_] = 0
+        for k in range(ORDER, 1, -1):
+            where = places[open_]
+            at, hit = _find(self.contexts[k], h[k - 1][where - 1])
+            total[open_[hit]] += self.weights[k][at[hit]]
+            at, hit = _find(self.grams[k - 1], h[k - 1][where])
+            total[open_[hit]] += self.logs[k - 1][at[hit]]
             open_ = open_[~hit]
             if not len(open_):
                 break
-            if k > 1:
-                at, hit = _find(self.contexts[k], h[k - 1][places[open_] - 1])
-                total[open_[hit]] += self.weights[k][at[hit]]
         total[open_] += -16.0  # a character that no model knows
-        sums = np.zeros((len(texts), len(self.langs)))
-        which = ids[places]
-        for j in range(len(self.langs)):
-            sums[:, j] = np.bincount(which, weights=total[:, j], minlength=len(texts))
-        return -sums / np.maximum(lengths + 1, 1)[:, None], lengths
+        sums = np.add.reduceat(total, first, axis=0).astype(np.float64)
+        lengths = np.diff(np.append(first, len(places)))
+        return -sums / lengths[:, None], lengths - 1
 
 
 def train(texts: dict[str, list[str]]) -> Models:
-    """Models of the languages of `texts` that have any text, from letters as _letters() gives them."""
+    """Models of the languages of `texts` that have any text."""
     langs = tuple(lang for lang in texts if texts[lang])
     stats: list[list[tuple]] = []
     for lang in langs:
-        codes, _, real = _codes(texts[lang])
+        codes, at, _ = _codes(texts[lang])
         h = _hashes(codes)
-        at = np.nonzero(real)[0]
         grams, first, counts = np.unique(h[ORDER][at], return_index=True, return_counts=True)
         per: list[tuple] = [()] * (ORDER + 1)
         where = at[first]
@@ -202,8 +206,8 @@ def train_labelled(rows: list[tuple[str, str]]) -> Models:
     """Models from (label language, sentence) pairs, labels partly wrong."""
     texts: dict[str, list[str]] = {lang: [] for lang in LANGS}
     for lang, sentence in rows:
-        if len(bare := _letters(sentence)) >= SHORTEST:
-            texts[lang].append(bare)
+        if len(sentence) >= SHORTEST:
+            texts[lang].append(sentence)
     for _ in range(2):
         texts = _agreed(texts)
     return train(texts)
@@ -224,21 +228,33 @@ def _agreed(texts: dict[str, list[str]]) -> dict[str, list[str]]:
     return out
 
 
-def judge(models: Models, texts: list[str]) -> list[tuple[str | None, float, np.ndarray, int]]:
-    """(language or None if rejected, confidence, bits per character, letters) of each sentence."""
-    bare = [_letters(t) for t in texts]
-    ce, n = models.cross_entropy(bare)
-    out: list[tuple[str | None, float, np.ndarray, int]] = []
-    for row, length in zip(ce, n, strict=True):
-        if length < SHORTEST or not len(row):
-            out.append((None, 0.0, row, int(length)))
-            continue
-        best = int(row.argmin())
-        odds = np.exp2(-(row - row[best]) * min(length, TEMPERED))
-        sure = float(1 / odds.sum())
-        rejected = row[best] > models.strange[best]
-        out.append((None if rejected else models.langs[best], 0.0 if rejected else sure, row, int(length)))
-    return out
+@dataclass
+class Judged:
+    """Of each sentence: its language's index or -1 if rejected, and a confidence; of its document: whether it is mixed."""
+
+    lang: np.ndarray
+    confidence: np.ndarray
+    mixed: np.ndarray
+
+
+def judge(models: Models, texts: list[str], doc: np.ndarray, docs: int) -> Judged:
+    """Judges the sentences `texts`; doc: the document (0 to docs - 1) that each stands in."""
+    ce, n = models.cross_entropy(texts)
+    if not ce.size:
+        return Judged(np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool))
+    every = np.arange(len(texts))
+    best = ce.argmin(axis=1)
+    low = ce[every, best]
+    sure = 1 / np.exp2(-(ce - low[:, None]) * np.minimum(n, TEMPERED)[:, None]).sum(axis=1)
+    ok = (n >= SHORTEST) & (low <= models.strange[best])
+    letters = np.zeros((docs, len(models.langs)))
+    np.add.at(letters, (doc[ok], best[ok]), n[ok])
+    main = letters.argmax(axis=1)[doc]
+    weak = ok & (best != main) & ((ce[every, main] - low) * n < FOREIGN_BITS)
+    lang = np.where(ok, np.where(weak, main, best), -1)
+    present = np.zeros(letters.shape, bool)
+    present[doc[ok], lang[ok]] = True
+    return Judged(lang, np.where(ok, sure, 0.0), (present.sum(axis=1) > 1)[doc])
 
 
 def sample_labelled(docs: DataFrame, label: str, texts: list[str], ident: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
@@ -256,38 +272,49 @@ def sample_labelled(docs: DataFrame, label: str, texts: list[str], ident: str, p
 
 
 def detect(docs: DataFrame, models: Models, ident: str, texts: list[str], label: str | None = None) -> DataFrame:
-    """(ident, label_lang, seq, lang, confidence, mixed, sentence, doc_langs) of each sentence.
+    """(ident, label_lang, seq, lang, confidence, mixed, sentence) of each sentence.
 
     `lang` is null where the sentence is rejected or too short. A sentence counts towards another language than the
     document's main one (most letters) only if that language beats the main one by FOREIGN_BITS in all; otherwise it is
-    given the main language. Documents without a sentence, or with none that can be judged, have no rows with a lang.
-    Null texts are passed over; repeated rows give repeated results."""
+    given the main language. Documents without a sentence have no rows. Null texts are passed over; repeated rows give
+    repeated results."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     kind = docs.schema[ident].dataType.simpleString()
     columns = [ident, *texts] + ([label] if label else [])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        names = np.array([*m.langs, None], dtype=object)
+        for b in batches:
+            split = [sentences(*row) for row in zip(*[b[t] for t in texts], strict=True)]
+            counts = np.array([len(x) for x in split])
+            doc = np.repeat(np.arange(len(b)), counts)
+            flat = [s for x in split for s in x]
+            found = judge(m, flat, doc, len(b))
+            labels = np.array([label_language(x) for x in b[label]] if label else [None] * len(b), dtype=object)
+            seq = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pd.DataFrame({ident: b[ident].to_numpy()[doc], "label_lang": labels[doc], "seq": seq, "lang": names[found.lang], "confidence": found.confidence, "mixed": found.mixed, "sentence": flat})
+
+    return docs.select(*columns).mapInPandas(run, f"{ident} {kind}, label_lang string, seq int, lang string, confidence double, mixed boolean, sentence string")
+
+
+def label_errors(docs: DataFrame, models: Models, ident: str, texts: list[str], label: str) -> DataFrame:
+    """(ident, lang): of the documents whose label is missing or wrong or that are mixed, each language. As detect()."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    kind = docs.schema[ident].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        names = np.array(m.langs, dtype=object)
         for b in batches:
             split = [sentences(*row) for row in zip(*[b[t] for t in texts], strict=True)]
-            judged = judge(m, [s for ss in split for s in ss])
-            rows, at = [], 0
-            for ident_, ss, lab in zip(b[ident], split, b[label] if label else [None] * len(b), strict=True):
-                own = judged[at : at + len(ss)]
-                at += len(ss)
-                letters: dict[str, int] = {}
-                for lang, _, _, n in own:
-                    if lang:
-                        letters[lang] = letters.get(lang, 0) + n
-                main = max(letters, key=lambda x: (letters[x], x)) if letters else None
-                final = []
-                for lang, sure, ce, n in own:
-                    if lang and lang != main and (ce[m.langs.index(main)] - ce[m.langs.index(lang)]) * n < FOREIGN_BITS:
-                        lang = main
-                    final.append((lang, sure))
-                langs = sorted({lang for lang, _ in final if lang})
-                rows += [(ident_, label_language(lab), i, lang, sure, len(langs) > 1, s, langs) for i, ((lang, sure), s) in enumerate(zip(final, ss, strict=True))]
-            yield pd.DataFrame(rows, columns=["id", "label_lang", "seq", "lang", "confidence", "mixed", "sentence", "doc_langs"]).rename(columns={"id": ident})
-
-    schema = f"{ident} {kind}, label_lang string, seq int, lang string, confidence double, mixed boolean, sentence string, doc_langs array<string>"
-    return docs.select(*columns).mapInPandas(run, schema)
+            doc = np.repeat(np.arange(len(b)), [len(x) for x in split])
+            found = judge(m, [s for x in split for s in x], doc, len(b))
+            known = found.lang >= 0
+            pairs, mixed = np.stack([doc[known], found.lang[known]], axis=1), found.mixed[known]
+            labels = np.array([label_language(x) for x in b[label]], dtype=object)
+            case = mixed | (labels[pairs[:, 0]] != names[pairs[:, 1]])
+            pairs = np.unique(pairs[case], axis=0)
+            yield pd.DataFrame({ident: b[ident].to_numpy()[pairs[:, 0]], "lang": names[pairs[:, 1]]})
+
+    return docs.select(ident, *texts, label).mapInPandas(run, f"{ident} {kind}, lang string")

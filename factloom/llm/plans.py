@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import capping, formatting_copies, language, packing, residue
+from factloom.llm import capping, formatting_copies, language, leakage, packing, residue
 from factloom.session import table
 
 SHARE = 0.01
@@ -16,16 +16,18 @@ def _source_key() -> F.Column:
     return F.when(key != "", key)
 
 
-def _sentences(spark: SparkSession, root: str) -> DataFrame:
+def _articles(spark: SparkSession, root: str) -> tuple[DataFrame, language.Models]:
     articles = table(spark, root, "articles").select("doc_id", "title", "summary", "language")
-    models = language.train_labelled(language.sample_labelled(articles, "language", ["title", "summary"], "doc_id"))
-    return language.detect(articles, models, "doc_id", ["title", "summary"], "language")
+    return articles, language.train_labelled(language.sample_labelled(articles, "language", ["title", "summary"], "doc_id"))
+
+
+def _sentences(spark: SparkSession, root: str) -> DataFrame:
+    return language.detect(*_articles(spark, root), "doc_id", ["title", "summary"], "language")
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Languages of the articles whose label is missing or wrong or that mix languages."""
-    cases = _sentences(spark, root).where("lang is not null and (mixed or label_lang is null or label_lang <> lang)")
-    return cases.select("doc_id", "lang").distinct()
+    return language.label_errors(*_articles(spark, root), "doc_id", ["title", "summary"], "language").distinct()
 
 
 def p3_languages(spark: SparkSession, root: str) -> DataFrame:
@@ -74,6 +76,20 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
     return held.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.round(F.sum("tokens") / (F.count("*") * packing.CAPACITY), 4).alias("fill"))
 
 
+def _leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaks(leakage.search(table(spark, root, "documents"), table(spark, root, "eval_items")))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with twelve or more consecutive words of an item."""
+    return _leaks(spark, root).where("kind = 'exact'").select("doc_id", "item_id").distinct()
+
+
+def p8_leaks(spark: SparkSession, root: str) -> DataFrame:
+    """Touched documents with each item that leaked into them, word for word or paraphrased."""
+    return _leaks(spark, root).select("doc_id", "item_id", "kind", "run", F.round("subsequence", 4).alias("subsequence"))
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents to exclude."""
     return residue.score(table(spark, root, "documents")).where("excluded").select("doc_id").distinct()
@@ -85,7 +101,7 @@ def p9_scores(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_languages, p3_segments, p5_found, p5_kept, p6_found, p6_collapsed, p7_containers, p7_fill, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p3_found, p3_languages, p3_segments, p5_found, p5_kept, p6_found, p6_collapsed, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores)}
 
 
 _RANKED = r"""
@@ -98,6 +114,12 @@ cap AS (SELECT floor(count(DISTINCT doc_id) / 100) AS k FROM articles)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_found": r"""WITH
+            d AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents),
+            i AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM eval_items),
+            dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: lower(array_to_string(w[k:k+11], ' ')))) AS g FROM d WHERE len(w) >= 12),
+            ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: lower(array_to_string(w[k:k+11], ' ')))) AS g FROM i WHERE len(w) >= 12)
+            SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
         "p5_found": f"WITH {_RANKED} SELECT DISTINCT doc_id FROM ranked, cap WHERE source_key IS NOT NULL AND n > k",
         "p5_kept": f"WITH {_RANKED} SELECT doc_id, source_key FROM ranked, cap WHERE source_key IS NULL OR n <= k",
     }
