@@ -29,7 +29,7 @@ WINDOW, STEP = 24, 12
 VOCABULARY = 8192
 RANK = 768
 #: Cosine from which on a window is a candidate, and the share of a window's words and telling words for a paraphrase.
-COSINE = 0.3
+COSINE = 0.55
 SUBSEQUENCE, ANSWER = 0.75, 0.75
 
 _WORD = re.compile(r"[^\W_]+")
@@ -42,15 +42,12 @@ def words(text: str | None) -> list[str]:
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest run of equal non-negative numbers that both sequences hold."""
-    best, last = 0, np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        now = np.zeros(len(b) + 1, np.int64)
-        if x >= 0:
-            hit = b == x
-            now[1:][hit] = last[:-1][hit] + 1
-            best = max(best, int(now.max()))
-        last = now
-    return best
+    equal = (a[:, None] == b[None, :]) & (a >= 0)[:, None]
+    length, runs = 0, equal
+    while runs.any():
+        length += 1
+        runs = runs[:-1, :-1] & equal[length:, length:]
+    return length
 
 
 def longest_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -167,8 +164,9 @@ def _project(windows: list[np.ndarray], idf: np.ndarray, space: np.ndarray) -> n
 def search(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(ident, item, run, subsequence, answered, cosine) of every candidate window and item, each pair once.
 
-    run: longest common run of words; subsequence: longest common subsequence over the words of the item's window;
-    answered: share of that window's telling words that the document's window holds. Texts without words match nothing;
+    run: longest common run of words; answered: share of the telling words of the item's
+    nearest window that the document's window holds; subsequence: longest common subsequence over that window's words, 0
+    where too few are answered. Texts without words match nothing;
     repeated documents give the same rows, once for an identifier. The items are the query set: they are read to the
     driver and split into blocks of bounded vocabulary."""
     spark = docs.sparkSession
@@ -200,6 +198,9 @@ def _searcher(known, ident: str, item: str):
         idf, space, latent, of, asked, ids, sequences = known.value
         of = np.array(of)
         telling = np.median(idf)
+        holds = np.zeros((len(idf), len(ids)), np.int16)
+        for j, seq in enumerate(sequences):
+            holds[seq, j] = 1
         for b in batches:
             out = []
             for at in range(0, len(b), 512):
@@ -208,14 +209,16 @@ def _searcher(known, ident: str, item: str):
                 cosines = _project(windows, idf, space) @ latent.T
                 for i, owner in enumerate(part[ident]):
                     row = cosines[i]
-                    hits = np.nonzero(row >= COSINE)[0]
+                    shared = holds[windows[i][windows[i] >= 0]].sum(axis=0)  # bounds both the run and the subsequence
+                    hits = np.nonzero((row >= COSINE) & (shared[of] >= SUBSEQUENCE * RUN))[0]
                     for j in np.unique(of[hits]):
                         near = hits[of[hits] == j]
                         k = near[row[near].argmax()]
                         w = asked[k]
                         tell = np.unique(w[idf[w] >= telling])
                         answered = float(np.isin(tell, windows[i]).mean()) if len(tell) else 0.0
-                        out.append((owner, ids[j], longest_run(windows[i], sequences[j]), longest_subsequence(windows[i], w) / len(w), answered, float(row[k])))
+                        ordered = longest_subsequence(windows[i], w) / len(w) if answered >= ANSWER else 0.0
+                        out.append((owner, ids[j], longest_run(windows[i], sequences[j]), ordered, answered, float(row[k])))
             yield pd.DataFrame(out, columns=[ident, item, "run", "subsequence", "answered", "cosine"])
 
     return run
