@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import capping, formatting_copies, language, leakage, packing, residue
+from factloom.durable import cut
+from factloom.llm import capping, formatting_copies, language, leakage, names, packing, residue
 from factloom.session import table
 
 SHARE = 0.01
@@ -16,6 +17,25 @@ def _source_key() -> F.Column:
     return F.when(key != "", key)
 
 
+def _groups(spark: SparkSession, root: str) -> DataFrame:
+    return names.same_entity(table(spark, root, "entities").select("entity_id", "name", "type"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Every pair of rows that name the same entity."""
+    groups = cut(_groups(spark, root), "groups")
+    other = groups.select(F.col("entity_id").alias("entity_id_b"), "group_key")
+    pairs = groups.withColumnRenamed("entity_id", "entity_id_a").join(other, "group_key")
+    return pairs.where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b").distinct()
+
+
+def p1_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Each row of `entities` with the smallest entity_id of its group and the group's size."""
+    groups = cut(_groups(spark, root), "groups")
+    sizes = groups.groupBy("group_key").agg(F.min("entity_id").alias("group_id"), F.count("*").alias("variants"))
+    return groups.join(sizes, "group_key").select("entity_id", "group_id", "variants")
+
+
 def _articles(spark: SparkSession, root: str) -> tuple[DataFrame, language.Models]:
     articles = table(spark, root, "articles").select("doc_id", "title", "summary", "language")
     return articles, language.train_labelled(language.sample_labelled(articles, "language", ["title", "summary"], "doc_id"))
@@ -101,7 +121,7 @@ def p9_scores(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_languages, p3_segments, p5_found, p5_kept, p6_found, p6_collapsed, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_languages, p3_segments, p5_found, p5_kept, p6_found, p6_collapsed, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores)}
 
 
 _RANKED = r"""
