@@ -28,6 +28,14 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
     return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centroid"))
 
 
+def hyperplane_bucket(vector: Column, dim: int, bits: int = 8, seed: int = 11) -> Column:
+    """The side of `bits` fixed random hyperplanes on which a vector lies, as text: near vectors mostly share it. A
+    partition for clustering at scales where one group can't be sequential; clusters across its borders are lost."""
+    planes = np.random.default_rng(seed).standard_normal((bits, dim))
+    sides = [F.when(dot(vector, F.array(*[F.lit(float(x)) for x in p])) >= 0, "1").otherwise("0") for p in planes]
+    return F.concat(*sides)
+
+
 def hash_embedding(dim: int = 64):
     """A deterministic encoder as a pandas UDF: signed word hashes, unit length; zeros for text without words."""
 
