@@ -150,6 +150,8 @@ class Models:
 def train(texts: dict[str, list[str]]) -> Models:
     """Models of the languages of `texts` that have any text."""
     langs = tuple(lang for lang in texts if texts[lang])
+    if not langs:
+        return Models((), [], [], [], [], np.zeros(0))
     stats: list[list[tuple]] = []
     for lang in langs:
         codes, at, _ = _codes(texts[lang])

@@ -33,14 +33,14 @@ PIVOTED_BLOCKS = 2000
 
 
 def read_names(entities: DataFrame, ident: str, name: str, kind: str) -> DataFrame:
-    """(ident, key, form, blocks, core, given): names with equal keys are variants at once. Null names have no key."""
+    """(ident, key, form, blocks, core, given): names with equal keys are variants at once. Null and blank names have no key."""
     id_type = entities.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, n, k in zip(b[ident], b[name], b[kind], strict=True):
-                if isinstance(n, str):
+                if isinstance(n, str) and n.strip():
                     form, blocks, core, given = spelling.parse(k, n)
                     rows.append((i, "\x1f".join([str(k), form, *blocks, core]), form, blocks, core, given))
             yield pd.DataFrame(rows, columns=[ident, "key", "form", "blocks", "core", "given"])
@@ -120,11 +120,11 @@ def _pairs(part: pd.DataFrame, radius: int) -> pd.DataFrame:
 
 
 def same_entity(entities: DataFrame, ident: str = "entity_id", name: str = "name", kind: str = "type") -> DataFrame:
-    """(ident, group_key): rows with the same group_key name the same entity. Rows without a name are in no group.
+    """(ident, group_key): rows with the same group_key name the same entity. Rows without a name, or with a blank one,
+    are in no group.
 
     An initial goes to the person of its surname (the nearest spelling of it) whose given name begins with it, if all
-    such persons can be one; otherwise it only joins equal initials. Repeated rows are one; blank names are equal to one
-    another within a type."""
+    such persons can be one; otherwise it only joins equal initials. Repeated rows are one."""
     rows = cut(read_names(entities, ident, name, kind), "names")
     keys = rows.groupBy("key").agg(F.first("form").alias("form"), F.first("blocks").alias("blocks"), F.first("core").alias("core"), F.first("given").alias("given"))
     keys = cut(keys, "name-keys")

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 12_000
 WIDTH = 1 << 16
 ROUNDS = 8
+#: Places masked in each ordinary sentence.
+MASKED = 3
 #: Words from which on a passage with an end mark is a sentence of content.
 CONTENT_WORDS = 5
 #: A record with so many sentences that no trusted wording explains is one of content: its passages are negatives.
@@ -46,6 +48,12 @@ _TRUSTED = re.compile(
     r"|activer? javascript|javascript aktivieren|active? (?:el )?javascript|ativar? o? ?javascript|attivare? javascript|включите javascript",
     re.I,
 )
+# The words of the printers' filler text.
+_LATIN = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
+    "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur "
+    "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+)
 # Spellings of placeholders.
 _GAP = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{0,60}\}|\{\w{1,40}\}|\{[A-Za-z][\w .]{0,40}\}|\[\[[^\[\]\n]{1,60}\]\]|\[object Object\]"
@@ -68,6 +76,14 @@ def _words(passage: str) -> list[str]:
     return [w for w in _WORD.findall(_DIGITS.sub("0", passage.lower()))]
 
 
+def is_trusted(passage: str) -> bool:
+    """Whether a passage has unmistakable wording, or is filler text for the most part."""
+    if _TRUSTED.search(passage):
+        return True
+    words = _words(passage)
+    return len(words) >= 4 and sum(w in _LATIN for w in words) >= 0.75 * len(words)
+
+
 def record_features(own: list[str]) -> list[str]:
     """What a record lends to each of its passages: how many sentences it has, and the words of its short lines."""
     short = {w for p in own if not is_sentence(p) and len(ws := _words(p)) < 8 for w in ws}
@@ -143,7 +159,7 @@ def fit(texts: list[str]) -> Models:
     trusted, unlabelled, negative, ordinary, found = [], [], [], [], []
     for text in texts:
         own = passages(text)
-        marks = [bool(_TRUSTED.search(p)) for p in own]
+        marks = [is_trusted(p) for p in own]
         pure = any(marks) and all(m for m, p in zip(marks, own, strict=True) if is_sentence(p))
         full = not pure and sum(is_sentence(p) and not m for p, m in zip(own, marks, strict=True)) >= SURE_SENTENCES
         around = record_features(own)
@@ -154,10 +170,10 @@ def fit(texts: list[str]) -> Models:
             if holes := gaps(p):
                 found += holes
             elif is_sentence(p):
-                # one masked place of each sentence, fixed by its text
                 places = list(_WORD.finditer(p))
-                at = places[zlib.crc32(p.encode()) % len(places)]
-                ordinary.append(_context(p[: at.start()], p[at.end() :]))
+                for k in range(MASKED):  # other places where a sentence comes again
+                    at = places[(len(ordinary) * 7 + k) % len(places)]
+                    ordinary.append(_context(p[: at.start()], p[at.end() :]))
     if not trusted:
         return Models(np.zeros(WIDTH), -1.0)
     log_odds, bias = _expectation_maximisation(trusted, unlabelled, negative)

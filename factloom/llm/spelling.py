@@ -263,7 +263,7 @@ def _person(name: str, folded: str) -> tuple[str, list[str], str, list[str]]:
         words = [w for h in halves for w in h]
         full = [w for w in words if len(w) > 1]
         if not full:
-            return "plain", ["PERSON"], " ".join(words), []
+            return "plain", ["PERSON"], " ".join(words) or folded.strip(), []
         if len(full) == 1:
             surname, rest = full, [w for w in words if len(w) == 1]
         else:
