@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom import durable
 from factloom import registries as R
 from factloom.functions import grades, text
 
@@ -45,7 +46,7 @@ def clusters(rows: DataFrame, window: float = EPISODE_SECONDS) -> DataFrame:
     cut = timed.withColumn("_new", (F.col("at") - F.lag("at").over(by_time) > window).cast("int"))
     cut = cut.withColumn("_session", F.sum(F.coalesce("_new", F.lit(0))).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
     spans = cut.groupBy("ident", "_session").agg((F.max("at") - F.min("at")).alias("_span"), F.min("pos").alias("slot"))
-    joined = cut.join(spans, ["ident", "_session"])
+    joined = durable.cut(cut.join(spans, ["ident", "_session"]), "sessions")
     simple = joined.where(F.col("_span") <= window).select("pos", "slot")
 
     def greedy(part: pd.DataFrame) -> pd.DataFrame:
@@ -77,6 +78,7 @@ def deduplicate(items: DataFrame, pos: str = "pos") -> DataFrame:
     owner = F.coalesce(F.col("doc_id"), F.concat(F.lit("\x1f"), F.col("_pos").cast("string")))
     ranked = ranked.withColumn("_owner", owner)
     firsts = ranked.groupBy("_owner").agg(F.min("_pos").alias("_first"), F.min_by(F.struct("source", "title", "published"), "_pos").alias("_f"))
+    firsts = durable.cut(firsts, "firsts")
     rows = firsts.select(F.col("_first").alias("pos"), identity(F.col("_f.source"), F.col("_f.title")).alias("ident"), iso_seconds(F.col("_f.published")).alias("at"))
     slot = clusters(rows).withColumnRenamed("pos", "_first")
     placed = ranked.join(firsts.select("_owner", "_first"), "_owner").join(slot, "_first")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom import durable
 from factloom import registries as R
 from factloom.functions import text
 from factloom.operators import evidence
@@ -51,7 +52,7 @@ def fuse(by_lane: Mapping[str, DataFrame], limits: Mapping[str, int] | None = No
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p, allowMissingColumns=True)
-    return evidence.deduplicate(interleave(union))
+    return evidence.deduplicate(durable.cut(interleave(union), "lanes"))
 
 
 def gather(spark, question: str, fetch: Mapping[str, Callable[[str], DataFrame]], limits: Mapping[str, int] | None = None) -> tuple[DataFrame, list[str]]:

@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom import registries as R
+from factloom.durable import cut
 from factloom.functions import text, vectors
 
 
 def corpus(docs: DataFrame, ident: str, body: str) -> tuple[DataFrame, DataFrame]:
-    """(postings: ident, term, tf, dl; statistics: one row n, avgdl, mean_idf over all terms)."""
+    """(postings: ident, term, tf, dl; statistics: one row n, avgdl, mean_idf over all terms).
+
+    Postings are written once to the shared folder; everything else reads them from there."""
     bags = docs.select(F.col(ident), text.tokens(F.col(body)).alias("_t"))
-    n = bags.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
-    postings = bags.select(ident, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(ident, "dl", "term").agg(F.count("*").alias("tf"))
+    postings = cut(bags.select(ident, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(ident, "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    # texts without any term have no postings but count as documents
+    lengths = postings.groupBy(ident, "dl").agg(F.lit(1).alias("_one")).agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("_words"))
+    n = docs.agg(F.count("*").alias("n")).crossJoin(lengths).select("n", (F.col("_words") / F.col("n")).alias("avgdl"))  # one row each
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = df.crossJoin(F.broadcast(n)).groupBy("n", "avgdl").agg(F.avg(_idf(F.col("n"), F.col("df"))).alias("mean_idf"))  # n: one row
     return postings, stats
