@@ -14,6 +14,7 @@ it has a placeholder that was left unfilled.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import zlib
@@ -27,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents that the models are fitted on, and the width of the hashed passage features.
-SAMPLE_DOCS = 12_000
+SAMPLE_DOCS = 8_000
 WIDTH = 1 << 16
 ROUNDS = 8
+#: Characters on either side of a place that hold its two neighbouring words.
+NEAR = 80
 #: Places masked in each ordinary sentence.
 MASKED = 3
 #: Words from which on a passage with an end mark is a sentence of content.
@@ -46,8 +49,12 @@ _TRUSTED = re.compile(
     r"|enable (?:javascript|cookies|scripts?)|(?:javascript|scripts?) (?:is|are) (?:disabled|off|required)|turn on javascript|without scripts|script support"
     r"|requires? (?:cookies|javascript)|checking your browser|verifying (?:that )?you are|are you (?:a )?human|signed-in users|sign in to (?:continue|read|view)|log in to (?:continue|read|view)"
     r"|activer? javascript|javascript aktivieren|active? (?:el )?javascript|ativar? o? ?javascript|attivare? javascript|включите javascript",
-    re.I,
 )
+#: Strings of which every wording above has one; looked for first, since that is far cheaper.
+_CUES = (
+    "lorem", "dolor sit", "placeholder", "asdf", "your content", "body copy", "blindtext", "text text", "sample", "40", "429", "50", "error", "trace", "maintenance", "expired", "exception",
+    "wrong", "page", "loaded", "longer", "taken", "refused", "failed", "link", "script", "cookies", "browser", "verifying", "human", "signed", "sign in", "log in",
+)
 # The words of the printers' filler text.
 _LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
@@ -73,47 +80,73 @@ def passages(text: str) -> list[str]:
 
 
 def _words(passage: str) -> list[str]:
-    return [w for w in _WORD.findall(_DIGITS.sub("0", passage.lower()))]
+    return _WORD.findall(_DIGITS.sub("0", passage.lower()))
 
 
-def is_trusted(passage: str) -> bool:
+@dataclass
+class Passage:
+    """A passage with what is read off it more than once."""
+
+    text: str
+    words: list[str]
+    sentence: bool
+
+    @classmethod
+    def of(cls, text: str) -> Passage:
+        words = _words(text)
+        return cls(text, words, len(words) >= CONTENT_WORDS and text.rstrip("\"'”») ")[-1:] in (".", "!", "?", "…"))
+
+
+def read(text: str) -> list[Passage]:
+    return [Passage.of(p) for p in passages(text)]
+
+
+def is_trusted(passage: Passage) -> bool:
     """Whether a passage has unmistakable wording, or is filler text for the most part."""
-    if _TRUSTED.search(passage):
+    low = passage.text.lower()
+    if any(c in low for c in _CUES) and _TRUSTED.search(low):
         return True
-    words = _words(passage)
+    words = passage.words
     return len(words) >= 4 and sum(w in _LATIN for w in words) >= 0.75 * len(words)
 
 
-def record_features(own: list[str]) -> list[str]:
-    """What a record lends to each of its passages: how many sentences it has, and the words of its short lines."""
-    short = {w for p in own if not is_sentence(p) and len(ws := _words(p)) < 8 for w in ws}
-    return [f"sentences:{min(3, sum(map(is_sentence, own)))}", *(f"near:{w}" for w in short)]
+@functools.lru_cache(maxsize=200_000)
+def _hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
-def _features(passage: str, around: list[str]) -> list[int]:
-    words = _words(passage)
-    if not words:
-        return []
-    mine = {f"near:{w}" for w in words} if not is_sentence(passage) else ()
-    return sorted({zlib.crc32(f.encode()) % WIDTH for f in (*words, *map(" ".join, zip(words, words[1:])), *(a for a in around if a not in mine))})
+def record_features(own: list[Passage]) -> set[int]:
+    """What a record lends to each of its passages: how many sentences it has, and the words of its short lines."""
+    short = {_hash("near:" + w) % WIDTH for p in own if not p.sentence and len(p.words) < 8 for w in p.words}
+    short.add(_hash(f"sentences:{min(3, sum(p.sentence for p in own))}") % WIDTH)
+    return short
 
 
-def is_sentence(passage: str) -> bool:
-    """Whether a passage is a full sentence and not a headline, menu or teaser."""
-    return passage.rstrip("\"'”») ")[-1:] in (".", "!", "?", "…") and len(_words(passage)) >= CONTENT_WORDS
+def _features(passage: Passage, around: set[int]) -> list[int]:
+    if not passage.words:
+        return []
+    hashes = [_hash(w) for w in passage.words]
+    out = {h % WIDTH for h in hashes}
+    out.update((a * 0x9E3779B1 + b) % WIDTH for a, b in zip(hashes, hashes[1:]))
+    out |= around if passage.sentence else around - {_hash("near:" + w) % WIDTH for w in passage.words}
+    return sorted(out)
 
 
 def gaps(sentence: str) -> list[tuple[str, ...]]:
     """Contexts of the placeholder strings of a sentence: two words before and two after, names and numbers as such."""
-    return [_context(sentence[: m.start()], sentence[m.end() :]) for m in _GAP.finditer(sentence)]
+    return [_context(sentence[max(0, m.start() - NEAR) : m.start()], sentence[m.end() : m.end() + NEAR]) for m in _GAP.finditer(sentence)]
+
 
+def _context(before: str, after: str, bare: bool = False) -> tuple[str, ...]:
+    """bare: neither side holds a placeholder."""
+    if not bare:
+        before, after = _GAP.sub(" N ", before), _GAP.sub(" N ", after)
 
-def _context(before: str, after: str) -> tuple[str, ...]:
     def shape(w: str) -> str:
         return "#" if w.isdigit() else "N" if w[:1].isupper() else w
 
-    left = ["^", "^", *map(shape, _WORD.findall(_GAP.sub(" N ", before))[-2:])][-2:]
-    right = [*map(shape, _WORD.findall(_GAP.sub(" N ", after))[:2]), "$", "$"][:2]
+    left = ["^", "^", *map(shape, _WORD.findall(before)[-2:])][-2:]
+    right = [*map(shape, _WORD.findall(after)[:2]), "$", "$"][:2]
     return (f"a:{left[0]}", f"b:{left[1]}", f"c:{right[0]}", f"d:{right[1]}")
 
 
@@ -126,7 +159,7 @@ class Models:
     quoted: dict[str, float] = field(default_factory=dict)
     unknown: float = 0.0
 
-    def error(self, passage: str, around: list[str]) -> bool:
+    def error(self, passage: Passage, around: set[int]) -> bool:
         f = _features(passage, around)
         return bool(f) and self.bias + float(self.passage[f].sum()) > 0
 
@@ -158,22 +191,22 @@ def fit(texts: list[str]) -> Models:
     """Models from a sample of texts. Without trusted passages nothing is an error passage."""
     trusted, unlabelled, negative, ordinary, found = [], [], [], [], []
     for text in texts:
-        own = passages(text)
+        own = read(text)
         marks = [is_trusted(p) for p in own]
-        pure = any(marks) and all(m for m, p in zip(marks, own, strict=True) if is_sentence(p))
-        full = not pure and sum(is_sentence(p) and not m for p, m in zip(own, marks, strict=True)) >= SURE_SENTENCES
+        pure = any(marks) and all(m for m, p in zip(marks, own, strict=True) if p.sentence)
+        full = not pure and sum(p.sentence and not m for p, m in zip(own, marks, strict=True)) >= SURE_SENTENCES
         around = record_features(own)
         for p, m in zip(own, marks, strict=True):
             if (f := _features(p, around)) and not (full and m):
                 (trusted if pure and m else negative if full else unlabelled).append(f)
         for p in () if pure else own:
-            if holes := gaps(p):
+            if holes := gaps(p.text):
                 found += holes
-            elif is_sentence(p):
-                places = list(_WORD.finditer(p))
+            elif p.sentence:
+                places = list(_WORD.finditer(p.text))
                 for k in range(MASKED):  # other places where a sentence comes again
                     at = places[(len(ordinary) * 7 + k) % len(places)]
-                    ordinary.append(_context(p[: at.start()], p[at.end() :]))
+                    ordinary.append(_context(p.text[max(0, at.start() - NEAR) : at.start()], p.text[at.end() : at.end() + NEAR], bare=True))
     if not trusted:
         return Models(np.zeros(WIDTH), -1.0)
     log_odds, bias = _expectation_maximisation(trusted, unlabelled, negative)
@@ -201,14 +234,14 @@ def fit(texts: list[str]) -> Models:
 def decide(models: Models, text: str | None) -> tuple[int, int, int]:
     """(error passages, content sentences, placeholders left over) of a text; nothing for null and empty ones."""
     errors = content = left = 0
-    own = passages(text) if isinstance(text, str) else []
+    own = read(text) if isinstance(text, str) else []
     around = record_features(own)
     for p in own:
         if models.error(p, around):
             errors += 1
         else:
-            content += is_sentence(p)
-            left += sum(map(models.left_over, gaps(p)))
+            content += p.sentence
+            left += sum(map(models.left_over, gaps(p.text)))
     return errors, content, left
 
 
