@@ -33,6 +33,8 @@ WIDTH = 1 << 16
 ROUNDS = 8
 #: Characters on either side of a place that hold its two neighbouring words.
 NEAR = 80
+#: Weight of the ordinary words' distribution in that of quoted placeholders.
+SMOOTHING = 2.0
 #: Places masked in each ordinary sentence.
 MASKED = 3
 #: Words from which on a passage with an end mark is a sentence of content.
@@ -217,6 +219,7 @@ def fit(texts: list[str]) -> Models:
     p_use = {c: (k + 0.5) / (n + 0.5 * size) for c, k in use.items()}
     rare = 0.5 / (n + 0.5 * size)
     weight = np.array([float(sum(np.log(1.0 / size) - np.log(p_use.get(c, rare)) for c in ctx) > 0) for ctx in found])
+    odds, unknown = {}, 0.0
     for _ in range(ROUNDS):
         quoted: Counter = Counter()
         for ctx, w in zip(found, weight, strict=True):
@@ -224,8 +227,10 @@ def fit(texts: list[str]) -> Models:
                 quoted[c] += w
         total = weight.sum()
         prior = np.log((total + 1) / (len(found) - total + 1)) / 4
-        odds = {c: float(np.log((quoted[c] + 0.05) / (total + 0.05 * size)) - np.log(p_use.get(c, rare)) + prior) for c in {*use, *quoted}}
-        unknown = float(np.log(0.05 / (total + 0.05 * size)) - np.log(rare) + prior)
+        # one occurrence proves nothing (it may be the judged one itself), so it is taken off; the rest is smoothed by the words of ordinary places
+        held = lambda c: max(quoted[c] - 1, 0.0) / p_use.get(c, rare) + SMOOTHING
+        odds = {c: float(np.log(held(c) / (total + SMOOTHING)) + prior) for c in {*use, *quoted}}
+        unknown = float(np.log(SMOOTHING / (total + SMOOTHING)) + prior)
         weight = np.array([1 / (1 + np.exp(-np.clip(sum(odds.get(c, unknown) for c in ctx), -30, 30))) for ctx in found])
     models.quoted, models.unknown = (odds, unknown) if len(found) else ({}, -1.0)
     return models
