@@ -7,6 +7,11 @@ the home cell of either. Inside a cell an exact radius join runs with the unrest
 true metric, after bounds from the pivot distances, the lengths and the letter counts. Cells that are too large for one
 task are cut into slices that meet pairwise.
 
+Edit distances of unrelated names hardly differ, so in a very large block every boundary holds nearly every name. Blocks
+of more than PER_PIVOT x MOST_PIVOTS cores therefore meet by deletion neighbourhoods instead: two cores within the radius
+share a string that both become by deleting at most that many letters. That is as exact, verified by the same distance,
+and grows in proportion.
+
 Equal readings are one key from the start, so repeated names cost nothing; links between keys make components.
 """
 
@@ -53,7 +58,9 @@ def radius_join(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Each pair once for a block, a < b by key. Empty cores are only equal to empty ones."""
     spark = keys.sparkSession
-    sizes = keys.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > PER_PIVOT)
+    counts = cut(keys.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > PER_PIVOT), "name-blocks")
+    sizes, huge = counts.where(F.col("n") <= PER_PIVOT * MOST_PIVOTS), counts.where(F.col("n") > PER_PIVOT * MOST_PIVOTS)
+    all_keys, keys = keys, keys.join(huge, "block", "left_anti")
     large = sizes.orderBy(F.desc("n"), "block").limit(PIVOTED_BLOCKS)
     ranked = keys.join(large, "block").where(F.xxhash64("key") % 1000 < 1000 * F.lit(2 * MOST_PIVOTS) / F.col("n") * F.greatest(F.lit(1.0), F.col("n") / 1e6))
     few = F.slice(F.array_sort(F.collect_set("core")), 1, F.least(F.lit(MOST_PIVOTS), F.ceil(F.first("n") / PER_PIVOT).cast("int")))
@@ -84,9 +91,29 @@ def radius_join(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
         return _pairs(part, radius)
 
     found = meeting.groupBy("block", "cell", "i", "j").applyInPandas(join, "a string, b string, distance int")
+    if not huge.isEmpty():
+        found = found.unionByName(_by_deletion(all_keys.join(huge, "block", "left_semi"), radius))
     return found.distinct()
 
 
+def _by_deletion(keys: DataFrame, radius: int) -> DataFrame:
+    """As radius_join(), through shared deletion neighbours."""
+    shorter = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    variants = F.array("core")
+    for _ in range(radius):
+        variants = F.array_distinct(F.concat(variants, F.flatten(F.transform(variants, lambda w: F.when(F.length(w) > 0, shorter(w)).otherwise(F.array().cast("array<string>"))))))
+    spread = keys.select("block", "key", "core", F.explode(variants).alias("v"))
+    other = spread.select("block", "v", F.col("key").alias("b"), F.col("core").alias("core_b"))
+    met = spread.withColumnsRenamed({"key": "a", "core": "core_a"}).join(other, ["block", "v"]).where("a < b").select("a", "b", "core_a", "core_b").distinct()
+
+    @F.pandas_udf("int")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(spelling.distances(x.tolist(), y.tolist()) if len(x) else [], dtype="int32")
+
+    fits = met.withColumn("distance", distance("core_a", "core_b")).where(F.col("distance") <= radius)
+    return fits.where((F.col("distance") == 0) | (F.least(F.length("core_a"), F.length("core_b")) > 2 * radius)).select("a", "b", "distance")
+
+
 def _pairs(part: pd.DataFrame, radius: int) -> pd.DataFrame:
     """Pairs within the radius, of which one is at home in the cell, and that aren't of one slice where two meet."""
     part = part.sort_values("key").reset_index(drop=True)

@@ -48,9 +48,10 @@ def test_distance_is_a_metric(a, b, c):
     assert z <= x + y
 
 
-@pytest.mark.parametrize("radius", [1, 2])
-def test_radius_join_equals_all_pairs(spark, radius, monkeypatch):
-    """Small parameters, so that pivots, replication and slices all take part."""
+@pytest.mark.parametrize(("radius", "pivots"), [(1, 64), (2, 64), (1, 2), (2, 2)])
+def test_radius_join_equals_all_pairs(spark, radius, pivots, monkeypatch):
+    """Small parameters, so that pivots, replication and slices all take part; with few pivots, deletion neighbours."""
+    monkeypatch.setattr(names, "MOST_PIVOTS", pivots)
     monkeypatch.setattr(names, "PER_PIVOT", 40)
     monkeypatch.setattr(names, "SLICE", 50)
     rng = random.Random(radius)
