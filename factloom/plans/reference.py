@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from factloom import registries as R
 from factloom import schemas
 from factloom.functions import grades, text, vectors
-from factloom.operators import assess, clustering, entities, evaluate, evidence, export, fusion, orphans, persist, retrieval, timestamps, views
+from factloom.operators import assess, briefs, clustering, entities, evaluate, evidence, export, fusion, orphans, persist, retrieval, timestamps, views
 from factloom.session import table
 from factloom.sources import feeds, pages
 
@@ -397,7 +397,7 @@ def op_A10_A11_J6_caps(spark, root):
     """Confidence of briefs capped by what they cite, or by all evidence where nothing is cited."""
     b = _briefs(spark)
     cites = assess.resolve_citations(b, "brief_id", "body", _labels(spark).select("n", "doc_id"))
-    pool = b.select("brief_id").join(F.broadcast(_labels(spark)))  # three briefs, three items
+    pool = literal(spark, [(b_[0], *row) for b_ in BRIEFS for row in LABELS], "brief_id bigint, n int, doc_id string, reliability string, source string")
     ceiling = assess.ceiling(assess.cited_basis(pool, cites, ["brief_id"]), ["brief_id"])
     return b.join(ceiling, "brief_id").select("brief_id", "confidence", assess.cap(F.col("confidence"), F.col("ceiling")).alias("capped"))
 
@@ -920,6 +920,53 @@ def op_R4_unknown_lanes(spark, root):
     return e.join(known, F.lower(F.trim("k")) == F.col("_l"), "left_anti").where("k is not null")
 
 
+# ---- stored briefs and the rest of the control flow
+
+def _stored(spark, root) -> DataFrame:
+    """A digest of every evidence source as a stored brief."""
+    e = table(spark, root, "evidence_items").withColumn("pos", F.col("item_id"))
+    d = assess.digest(e, ["source"])
+    return d.select(F.col("source").alias("brief_id"), F.concat(F.lit("What does "), "source", F.lit(" say?")).alias("query"), "body", F.col("judgments").alias("key_judgments"), "citations", "confidence", F.lit(None).cast("string").alias("gaps"), F.lit("model").alias("backend"), F.lit(None).cast("timestamp").alias("created_at"))
+
+
+@op("SELECT source AS brief_id, least(8, count(*)) AS cited FROM evidence_items WHERE source IS NOT NULL GROUP BY 1")
+def op_K8_snapshot(spark, root):
+    """Snapshot lines of the stored briefs, with the number of documents each cites."""
+    line = F.from_json("line", "citations array<string>")["citations"]
+    return briefs.snapshot(_stored(spark, root)).where("brief_id is not null").select("brief_id", F.size(line).cast("bigint").alias("cited"))
+
+
+@op()
+def op_K10_render(spark, root):
+    b = _stored(spark, root)
+    return b.select("brief_id", briefs.render(b).alias("text"))
+
+
+@op("SELECT source AS brief_id FROM evidence_items WHERE source IS NOT NULL GROUP BY 1")
+def op_K4_worth_storing(spark, root):
+    return briefs.worth_storing(_stored(spark, root)).where("brief_id is not null").select("brief_id")
+
+
+@op()
+def op_R6_triage(spark, root):
+    """What each gold question gets, by the number of evidence items that share a subject word with it."""
+    n = op_J9_relevant_evidence(spark, root)
+    q = golds(spark, root).join(n, "query_id", "left")
+    return q.select("query_id", briefs.triage(F.col("query"), F.col("relevant")).alias("answer"))
+
+
+@op("SELECT count(*) AS n FROM evidence_items WHERE starts_with(lower(title), 'ais gap')")
+def op_R2_salient_fallback(spark, root):
+    """Items on AIS gaps, or all where there is none."""
+    e = table(spark, root, "evidence_items")
+    return fusion.or_salient(e.where(F.lower("title").startswith("ais gap")), e).agg(F.count("*").alias("n"))
+
+
+@op(f"WITH {DOCS} SELECT doc_id, title, source, url, language, country, credibility FROM docs")
+def op_P19_projection(spark, root):
+    return docs(spark, root).select("doc_id", "title", "source", "url", "language", "country", "credibility")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
