@@ -132,8 +132,18 @@ cap AS (SELECT floor(count(DISTINCT doc_id) / 100) AS k FROM articles)
 """
 
 
+_COPIES = r"""
+k AS (SELECT item_id, regexp_replace(replace(lower(nfc_normalize(source)), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g') AS s,
+  array_to_string(list_sort(list_transform(string_split_regex(nfc_normalize(title), '\s+(?:\||::|•|–|—|-)\s+'), lambda f: regexp_replace(replace(lower(f), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g'))), '') AS t
+  FROM evidence_items WHERE source IS NOT NULL AND title IS NOT NULL),
+g AS (SELECT DISTINCT item_id, min(item_id) OVER (PARTITION BY s, t) AS keep FROM k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": f"WITH {_COPIES} SELECT keep AS keep_item_id, item_id AS copy_item_id FROM g WHERE item_id <> keep",
+        "p6_collapsed": f"WITH {_COPIES} SELECT keep AS keep_item_id, count(*) AS copies FROM g GROUP BY keep HAVING count(*) > 1",
         "p8_found": r"""WITH
             d AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents),
             i AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM eval_items),
