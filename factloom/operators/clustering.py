@@ -12,9 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factloom import registries as R
+from factloom.operators import intervals
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -69,10 +69,7 @@ def events(docs: DataFrame, threshold: float = R.EVENT_COSINE, window_days: floa
     a zero vector is alone. Ties in time go by doc_id."""
     window = window_days * 86400.0
     usable = docs.where("embedding is not null and size(embedding) > 0").select("doc_id", (F.unix_micros("published") / 1e6).alias("at"), "embedding")
-    order = Window.orderBy("at", "doc_id")
-    timed = usable.where("at is not null").select("doc_id", "at")
-    starts = timed.withColumn("_gap", (F.col("at") - F.lag("at").over(order) > window).cast("int"))
-    stretch = starts.select("doc_id", F.sum(F.coalesce("_gap", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
+    stretch = intervals.stretches(usable.where("at is not null").select("doc_id", "at"), [], "at", window).select("doc_id", "stretch")
     untimed = usable.where("at is null").limit(1).count() > 0
     # documents without time see every cluster, so their presence joins all stretches into one group
     rows = usable.join(stretch, "doc_id", "left").withColumn("stretch", F.lit(0).cast("bigint") if untimed else F.col("stretch"))

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from factloom import durable
 from factloom import registries as R
 from factloom.functions import grades, text
+from factloom.operators import intervals
 
 EPISODE_SECONDS = R.EPISODE_MINUTES * 60
 
@@ -42,9 +43,7 @@ def clusters(rows: DataFrame, window: float = EPISODE_SECONDS) -> DataFrame:
     pos must be distinct; rows without identity or time are episodes of their own."""
     loose = rows.where("ident is null or at is null").select("pos", F.col("pos").alias("slot"))
     timed = rows.where("ident is not null and at is not null")
-    by_time = Window.partitionBy("ident").orderBy("at", "pos")
-    cut = timed.withColumn("_new", (F.col("at") - F.lag("at").over(by_time) > window).cast("int"))
-    cut = cut.withColumn("_session", F.sum(F.coalesce("_new", F.lit(0))).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = intervals.stretches(timed, ["ident"], "at", window, "_session")
     spans = cut.groupBy("ident", "_session").agg((F.max("at") - F.min("at")).alias("_span"), F.min("pos").alias("slot"))
     joined = durable.cut(cut.join(spans, ["ident", "_session"]), "sessions")
     simple = joined.where(F.col("_span") <= window).select("pos", "slot")

@@ -6,12 +6,11 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factloom import durable
 from factloom import registries as R
 from factloom.functions import text
-from factloom.operators import evidence
+from factloom.operators import evidence, intervals
 
 
 def lanes(query: Column, names: Mapping[str, list[str]] = R.LANE_NAMES) -> Column:
@@ -36,8 +35,7 @@ def reason(query: Column, names: Mapping[str, list[str]] = R.LANE_NAMES) -> Colu
 def interleave(items: DataFrame, pos: str = "pos", lane: str = "lane") -> DataFrame:
     """Items (lane, pos, …) with `pos` renumbered so that the lanes take turns, in lane order."""
     order = F.coalesce(*[F.when(F.col(lane) == n, F.lit(i)) for i, n in enumerate(R.LANES)], F.lit(len(R.LANES)))
-    turn = F.row_number().over(Window.partitionBy(lane).orderBy(pos))
-    return items.withColumn("_turn", turn).withColumn("_lane", order).withColumn(pos, (F.col("_turn") * (len(R.LANES) + 1) + F.col("_lane")).cast("bigint")).drop("_turn", "_lane")
+    return intervals.row_numbers(items, lane, pos, "_turn").withColumn("_lane", order).withColumn(pos, (F.col("_turn") * (len(R.LANES) + 1) + F.col("_lane")).cast("bigint")).drop("_turn", "_lane")
 
 
 def fuse(by_lane: Mapping[str, DataFrame], limits: Mapping[str, int] | None = None) -> DataFrame:

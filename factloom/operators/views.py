@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from factloom import registries as R
 from factloom.functions import grades, vectors
+from factloom.operators import intervals
 
 
 def divergence(members: DataFrame, key: str, ident: str = "doc_id", vector: str = "embedding") -> DataFrame:
@@ -47,9 +48,8 @@ def burstiness(docs: DataFrame, key: str, at: Column, hours: float = R.COORDINAT
     Documents without time count in the whole but in no span; fewer than two times give 0."""
     micros = int(hours * 3600 * 1_000_000)
     rows = docs.select(key, F.unix_micros(at).alias("_at"))
-    span = Window.partitionBy(key).orderBy("_at").rangeBetween(-micros, Window.currentRow)
-    counted = rows.withColumn("_n", F.when(F.col("_at").isNotNull(), F.count("_at").over(span)))
-    agg = counted.groupBy(key).agg(F.max("_n").alias("_max"), F.count("_at").alias("_known"), F.count("*").alias("_all"))
+    most = intervals.sliding_counts(rows, key, "_at", micros).groupBy(F.col(key).alias("_k")).agg(F.max("n").alias("_max"))
+    agg = rows.groupBy(key).agg(F.count("_at").alias("_known"), F.count("*").alias("_all")).join(most, F.col(key).eqNullSafe(F.col("_k")), "left")
     return agg.select(key, F.when(F.col("_known") >= 2, F.col("_max") / F.col("_all")).otherwise(0.0).alias("burstiness"))
 
 

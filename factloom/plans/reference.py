@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from factloom import registries as R
 from factloom import schemas
 from factloom.functions import grades, text, vectors
-from factloom.operators import assess, briefs, clustering, entities, evaluate, evidence, export, fusion, orphans, persist, retrieval, timestamps, views
+from factloom.operators import assess, briefs, clustering, entities, evaluate, evidence, export, fusion, intervals, orphans, persist, retrieval, timestamps, views
 from factloom.session import table
 from factloom.sources import feeds, pages
 
@@ -750,13 +750,12 @@ def op_W12_newest(spark, root):
     return g.orderBy(F.desc("ingested"), "doc_id").limit(100)
 
 
-@op(r"""SELECT item_id, turn FROM (SELECT item_id, row_number() OVER (ORDER BY t, lane) AS turn FROM (SELECT item_id, lane, row_number() OVER (PARTITION BY lane ORDER BY item_id) AS t FROM
-  (SELECT item_id, (item_id % 4)::INT AS lane FROM evidence_items)))""")
+@op("""SELECT item_id, (t * 5 + lane)::BIGINT AS place FROM (SELECT item_id, lane, row_number() OVER (PARTITION BY lane ORDER BY item_id) AS t FROM (SELECT item_id, (item_id % 4)::INT AS lane FROM evidence_items))""")
 def op_W4_interleave(spark, root):
-    """All evidence items dealt to four lanes by number, taken in turns."""
+    """All evidence items dealt to four lanes by number, with their places when the lanes take turns."""
     lane = F.element_at(text.words(*R.LANES), (F.col("item_id") % 4 + 1).cast("int"))
     taken = fusion.interleave(table(spark, root, "evidence_items").select("item_id", lane.alias("lane"), F.col("item_id").alias("pos")))
-    return taken.select("item_id", F.row_number().over(Window.orderBy("pos")).cast("bigint").alias("turn"))
+    return taken.select("item_id", F.col("pos").alias("place"))
 
 
 @op()
@@ -769,8 +768,7 @@ def op_W14_overfetch(spark, root):
 def op_W17_sliding_count(spark, root):
     """The most requests of a user in any sixty seconds."""
     e = table(spark, root, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    n = F.count("*").over(Window.partitionBy("user_id").orderBy("t").rangeBetween(-60_000_000, 0))
-    return e.withColumn("n", n).groupBy("user_id").agg(F.max("n").alias("most"))
+    return intervals.sliding_counts(e, "user_id", "t", 60_000_000).groupBy("user_id").agg(F.max("n").alias("most"))
 
 
 # ---- deduplication, sets, clusters

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import registries as R
 from factloom.functions import grades, text, vectors
-from factloom.operators import assess, clustering, entities, evaluate, evidence, export, fusion, persist, retrieval, views
+from factloom.operators import assess, clustering, entities, evaluate, evidence, export, fusion, intervals, persist, retrieval, views
 from factloom.operators.components import connected_components
 from factloom.sources import feeds, landed, pages
 
@@ -273,3 +273,25 @@ def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.6, 0.8]), ([0.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 0.0])], "a array<float>, b array<float>")
     assert [None if r[0] is None else round(r[0], 6) for r in df.select(vectors.cosine(F.col("a"), F.col("b"))).collect()] == [0.6, 0.0, None]
     assert df.select(vectors.hyperplane_bucket(F.col("b"), 2, 4)).first()[0] in {f"{i:04b}" for i in range(16)}
+
+
+def test_intervals_random(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, rng.randrange(0, 400), 10, 20])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, at bigint")
+    got = sorted((str(r.k), r.at, r.n) for r in intervals.sliding_counts(df, "k", "at", 10).collect())
+    want = sorted((str(k), t, sum(1 for k2, u in rows if k2 == k and u is not None and t - 10 <= u <= t)) for k, t in rows if t is not None)
+    assert got == want
+    timed = df.where("at is not null and k is not null")
+    for k in ("a", "b"):
+        times = sorted(t for key, t in rows if key == k and t is not None)
+        stretch, cuts = {}, 0
+        for x, y in zip(times, times[1:]):
+            stretch.setdefault(x, cuts)
+            cuts += y - x > 3
+            stretch.setdefault(y, cuts)
+        found = {r.at: r.stretch for r in intervals.stretches(timed, ["k"], "at", 3).where(F.col("k") == k).collect()}
+        assert found == stretch
+    numbered = intervals.row_numbers(spark.createDataFrame([(k, i) for i, (k, _) in enumerate(rows)], "k string, i int"), "k", "i", "n").collect()
+    for k in ("a", "b", None):
+        assert [r.n for r in sorted((r for r in numbered if r.k == k), key=lambda r: r.i)] == list(range(1, sum(1 for key, _ in rows if key == k) + 1))
