@@ -45,3 +45,21 @@ def row_numbers(rows: DataFrame, by: str, order: str, out: str) -> DataFrame:
     here: Column = F.row_number().over(Window.partitionBy(by, "_range").orderBy(order))
     numbered = ranged.withColumn("_here", here).join(lifted.withColumnRenamed("_range", "_r"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
     return numbered.withColumn(out, F.col("_here") + F.col("_before")).drop("_here", "_before", "_by", "_r", "_range")
+
+
+def competition_ranks(rows: DataFrame, by: str, score: str, out: str) -> DataFrame:
+    """`rows` with the rank of their score inside `by`, highest first; equal scores share the smallest rank.
+
+    Equal scores are counted before they are put in order, and the order is made in ranges of (by, score) that are lifted
+    by what comes before them, so neither many rows of one `by` nor many of one score meet in a task. Null scores come
+    last."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(F.col(by).alias("_by"), F.col(score).alias("_score")).agg(F.count("*").alias("_n"))
+    ranged = cut(counts.repartitionByRange(parts, F.col("_by"), F.desc_nulls_last("_score")).withColumn("_range", F.spark_partition_id()), "scores")
+    totals = ranged.groupBy("_by", "_range").agg(F.sum("_n").alias("_all"))
+    before = F.coalesce(F.sum("_all").over(Window.partitionBy("_by").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lifted = totals.select(F.col("_by").alias("_b"), F.col("_range").alias("_r"), before.alias("_before"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_by", "_range").orderBy(F.desc_nulls_last("_score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = ranged.withColumn("_inside", inside).join(lifted, F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_range") == F.col("_r")))
+    ranks = ranks.select("_by", "_score", (F.col("_inside") + F.col("_before") + 1).alias(out))
+    return rows.join(ranks, F.col(by).eqNullSafe(F.col("_by")) & F.col(score).eqNullSafe(F.col("_score"))).drop("_by", "_score")

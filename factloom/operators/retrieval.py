@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from factloom import registries as R
 from factloom.durable import cut
 from factloom.functions import text, vectors
+from factloom.operators import intervals
 
 
 def corpus(docs: DataFrame, ident: str, body: str) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +68,7 @@ def top_k(scored: DataFrame, docs: DataFrame, k: int, ident: str = "doc_id", que
 
 def competition_ranks(scored: DataFrame, query: str = "query_id", score: str = "score", out: str = "rank") -> DataFrame:
     """Equal scores share the smallest rank."""
-    return scored.withColumn(out, F.rank().over(Window.partitionBy(query).orderBy(F.desc(score))))
+    return intervals.competition_ranks(scored, query, score, out)
 
 
 def dense(docs: DataFrame, queries: DataFrame, ident: str = "doc_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "vector") -> DataFrame:
@@ -84,6 +85,7 @@ def fuse(lexical: DataFrame, semantic: DataFrame, docs: DataFrame, queries: Data
 
     Every document has a lexical rank (those without a shared term share the one after the last match), those with a
     vector also a semantic one."""
+    lexical, semantic = cut(lexical, "lexical"), cut(semantic, "semantic")
     lex = competition_ranks(lexical, query, out="_lex").select(query, ident, "_lex")
     unmatched = queries.select(query).distinct().join(lexical.where("score > 0").groupBy(query).agg((F.count("*") + 1).alias("_rest")), query, "left").select(query, F.coalesce("_rest", F.lit(1)).alias("_rest"))
     sem = competition_ranks(semantic, query, out="_sem").select(query, ident, "_sem")

@@ -295,3 +295,12 @@ def test_intervals_random(spark):
     numbered = intervals.row_numbers(spark.createDataFrame([(k, i) for i, (k, _) in enumerate(rows)], "k string, i int"), "k", "i", "n").collect()
     for k in ("a", "b", None):
         assert [r.n for r in sorted((r for r in numbered if r.k == k), key=lambda r: r.i)] == list(range(1, sum(1 for key, _ in rows if key == k) + 1))
+
+
+def test_competition_ranks_random(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 2, None]), rng.choice([0.0, 0.5, float(rng.randrange(50)), None])) for _ in range(400)]
+    got = sorted(((str(r.q), str(r.s), r.rank) for r in intervals.competition_ranks(spark.createDataFrame(rows, "q int, s double"), "q", "s", "rank").collect()))
+    key = lambda s: -1.0 if s is None else s
+    want = sorted((str(q), str(s), 1 + sum(1 for q2, s2 in rows if q2 == q and key(s2) > key(s))) for q, s in rows)
+    assert got == want
