@@ -112,7 +112,7 @@ def p8_leaks(spark: SparkSession, root: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents to exclude."""
-    return residue.score(table(spark, root, "documents")).where("excluded").select("doc_id").distinct()
+    return residue.to_exclude(table(spark, root, "documents")).distinct()
 
 
 def p9_scores(spark: SparkSession, root: str) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import html
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -69,6 +70,8 @@ _GAP = re.compile(
     r"|\[(?!E?\d)[^\W\d][^\[\]\d\n]{1,50}\]|<(?!/)[^\W\d_][^<>\n=/]{1,40}>|%[A-Za-z][\w.]{1,40}%|%[sd](?!\w)|__[A-Z][A-Z_]*__|@@\w+@@"
     r"|\b(?:TKTK|TK|TBD|XXX+|undefined|NaN|null|FIXME|TODO)\b"
 )
+#: What every placeholder begins with or is.
+_GAP_CUE = re.compile(r"[{\[<%@]|__|TK|TBD|XXX|undefined|NaN|null|FIXME|TODO")
 _HTML = re.compile(r"</?(?:p|br|b|i|u|em|strong|span|div|a|li|ul|ol|h[1-6]|table|tr|td|th|img|hr|blockquote|code|pre|sup|sub|small|script|style|figure|section|article)\b[^<>]*>", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -250,6 +253,23 @@ def decide(models: Models, text: str | None) -> tuple[int, int, int]:
     return errors, content, left
 
 
+def excludes(models: Models, text: str | None) -> bool:
+    """Whether decide() leads to exclusion, read only as far as that needs: one sentence of content settles that a record
+    is no error page, and only passages with a placeholder string have to be looked at for those."""
+    own = passages(text) if isinstance(text, str) else []
+    sentences, others = [], []
+    for p in own:
+        marked = p.rstrip("\"'”») ")[-1:] in (".", "!", "?", "…")
+        full = marked and sum(1 for _ in itertools.islice(_WORD.finditer(p), CONTENT_WORDS)) == CONTENT_WORDS
+        (sentences if full else others).append(p)
+    around = {h for p in others if len(ws := _words(p)) < 8 for h in (_hash("near:" + w) % WIDTH for w in ws)}
+    around.add(_hash(f"sentences:{min(3, len(sentences))}") % WIDTH)
+    error = functools.cache(lambda p: models.error(Passage.of(p), around))
+    if all(map(error, sentences)) and any(map(error, own)):
+        return True
+    return any(not error(p) and any(map(models.left_over, found)) for p in own if _GAP_CUE.search(p) and (found := gaps(p)))
+
+
 def sample(docs: DataFrame, ident: str, text: str, most: int = SAMPLE_DOCS) -> list[str]:
     """About `most` texts, chosen by their identifier's hash."""
     rate = min(1.0, most / max(1, docs.count()))
@@ -257,6 +277,18 @@ def sample(docs: DataFrame, ident: str, text: str, most: int = SAMPLE_DOCS) -> l
     return [html.unescape(r[0]) for r in chosen.select(text).collect()]
 
 
+def to_exclude(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ident) of the records to exclude, as score() has them. Repeated rows give repeated results."""
+    models = docs.sparkSession.sparkContext.broadcast(fit(sample(docs.select(ident, text), ident, text)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = models.value
+        for b in batches:
+            yield b.loc[[excludes(m, html.unescape(t)) if isinstance(t, str) else False for t in b[text]], [ident]]
+
+    return docs.select(ident, text).mapInPandas(run, f"{ident} {docs.schema[ident].dataType.simpleString()}")
+
+
 def score(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(ident, errors, content, left_over, excluded) of each record. Repeated rows give repeated results."""
     models = docs.sparkSession.sparkContext.broadcast(fit(sample(docs.select(ident, text), ident, text)))

@@ -107,11 +107,13 @@ def test_residue(spark):
     good, bad = texts(random.Random(3))
     rows = [(i, t) for i, t in enumerate([*good, *bad])] + [(9001, None), (9002, ""), (9003, "﻿ \n"), (9004, "word " * 200_000)]
     out = {r.doc_id: r.excluded for r in residue.score(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    short = {r.doc_id for r in residue.to_exclude(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert short == {i for i, x in out.items() if x}
     right = sum(out[i] is (i >= len(good)) for i in range(len(good) + len(bad)))
     assert right >= 0.97 * (len(good) + len(bad))
     assert not any(out[i] for i in (9001, 9002, 9003, 9004))
     empty = spark.createDataFrame([], "doc_id int, text string")
-    assert residue.score(empty).count() == 0
+    assert residue.score(empty).count() == 0 and residue.to_exclude(empty).count() == 0
 
 
 def test_gaps_and_passages():
