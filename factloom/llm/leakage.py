@@ -37,7 +37,10 @@ _WORD = re.compile(r"[^\W_]+")
 
 def words(text: str | None) -> list[str]:
     """Maximal runs of letters and digits in lower case."""
-    return [w.lower() for w in _WORD.findall(text)] if isinstance(text, str) else []
+    if not isinstance(text, str):
+        return []
+    # outside ASCII, lower case can change where words end
+    return _WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
 
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -162,9 +165,9 @@ def _project(windows: list[np.ndarray], idf: np.ndarray, space: np.ndarray) -> n
 
 
 def search(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(ident, item, run, subsequence, answered, cosine) of every candidate window and item, each pair once.
+    """(ident, item, run, subsequence, answered, cosine) of the candidate documents and items that can be leaks, each pair once.
 
-    run: longest common run of words; answered: share of the telling words of the item's
+    run: longest common run of words, 0 where too few words are shared for RUN; answered: share of the telling words of the item's
     nearest window that the document's window holds; subsequence: longest common subsequence over that window's words, 0
     where too few are answered. Texts without words match nothing;
     repeated documents give the same rows, once for an identifier. The items are the query set: they are read to the
@@ -198,6 +201,7 @@ def _searcher(known, ident: str, item: str):
         idf, space, latent, of, asked, ids, sequences = known.value
         of = np.array(of)
         telling = np.median(idf)
+        tells = [np.unique(w[idf[w] >= telling]).tolist() for w in asked]
         holds = np.zeros((len(idf), len(ids)), np.int16)
         for j, seq in enumerate(sequences):
             holds[seq, j] = 1
@@ -206,19 +210,28 @@ def _searcher(known, ident: str, item: str):
             for at in range(0, len(b), 512):
                 part = b.iloc[at : at + 512]
                 windows = [np.asarray(x, dtype=np.int64) for x in part["ids"]]
-                cosines = _project(windows, idf, space) @ latent.T
-                for i, owner in enumerate(part[ident]):
-                    row = cosines[i]
-                    shared = holds[windows[i][windows[i] >= 0]].sum(axis=0)  # bounds both the run and the subsequence
-                    hits = np.nonzero((row >= COSINE) & (shared[of] >= SUBSEQUENCE * RUN))[0]
-                    for j in np.unique(of[hits]):
-                        near = hits[of[hits] == j]
-                        k = near[row[near].argmax()]
-                        w = asked[k]
-                        tell = np.unique(w[idf[w] >= telling])
-                        answered = float(np.isin(tell, windows[i]).mean()) if len(tell) else 0.0
+                # the words that a window shares with an item bound both the run and the subsequence
+                shared = np.stack([holds[w[w >= 0]].sum(axis=0) for w in windows])
+                able = np.nonzero(shared.max(axis=1) >= SUBSEQUENCE * RUN)[0]
+                if not len(able):
+                    continue
+                cosines = _project([windows[i] for i in able], idf, space) @ latent.T
+                owners = part[ident].to_numpy()
+                for row, i in zip(cosines, able, strict=True):
+                    hits = np.nonzero((row >= COSINE) & (shared[i][of] >= SUBSEQUENCE * RUN))[0]
+                    if not len(hits):
+                        continue
+                    held = set(windows[i].tolist())
+                    hits = hits[np.argsort(-row[hits], kind="stable")]
+                    _, first = np.unique(of[hits], return_index=True)  # each item's nearest window
+                    for k in hits[first]:
+                        j, w, tell = of[k], asked[k], tells[k]
+                        answered = sum(t in held for t in tell) / len(tell) if tell else 0.0
+                        if shared[i][j] < RUN and answered < ANSWER:
+                            continue
                         ordered = longest_subsequence(windows[i], w) / len(w) if answered >= ANSWER else 0.0
-                        out.append((owner, ids[j], longest_run(windows[i], sequences[j]), ordered, answered, float(row[k])))
+                        run_ = longest_run(windows[i], sequences[j]) if shared[i][j] >= RUN else 0
+                        out.append((owners[i], ids[j], run_, ordered, answered, float(row[k])))
             yield pd.DataFrame(out, columns=[ident, item, "run", "subsequence", "answered", "cosine"])
 
     return run
