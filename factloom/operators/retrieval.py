@@ -16,6 +16,10 @@ from factloom.functions import text, vectors
 from factloom.operators import intervals
 
 
+#: Scores are sums of whole numbers of one such part.
+UNIT = 1e9
+
+
 def corpus(docs: DataFrame, ident: str, body: str) -> tuple[DataFrame, DataFrame]:
     """(postings: ident, term, tf, dl; statistics: one row n, avgdl, mean_idf over all terms).
 
@@ -38,17 +42,21 @@ def bm25(docs: DataFrame, queries: DataFrame, ident: str = "doc_id", body: str =
     """(query, ident, score) of the documents that share a term with a question.
 
     Repeated terms of a question count repeatedly; terms in more than half of all documents count EPSILON times the mean.
-    Contributions are rounded decimals, so sums don't depend on order. Other documents have score 0."""
+    Contributions are whole numbers of 1/UNIT, so sums don't depend on order. Other documents have score 0."""
     postings, stats = corpus(docs, ident, body)
     terms = queries.select(query, F.explode(text.tokens(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
     wanted = postings.join(terms.select("term").distinct(), "term")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     weighted = df.crossJoin(F.broadcast(stats))  # stats: one row
     idf = F.when(_idf(F.col("n"), F.col("df")) < 0, R.BM25_EPSILON * F.col("mean_idf")).otherwise(_idf(F.col("n"), F.col("df")))
-    hit = wanted.join(weighted.select("term", "avgdl", idf.alias("idf")), "term").join(terms, "term")
     k1, b = R.BM25_K1, R.BM25_B
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy(query, ident).agg(F.sum(F.round(part, 9).cast("decimal(24,9)")).alias("score"))
+    # what a term gives a document doesn't depend on the question, so it is worked out before questions multiply it
+    given = wanted.join(weighted.select("term", "avgdl", idf.alias("idf")), "term")
+    worth = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    hit = given.select(ident, "term", (worth * UNIT).alias("_worth")).join(terms, "term")
+    total = F.sum(F.round(F.col("times") * F.col("_worth")).cast("bigint"))
+    # written once: fills, ranks and joins above read it several times
+    return cut(hit.groupBy(query, ident).agg((total / F.lit(UNIT)).alias("score")), "scores")
 
 
 def top_k(scored: DataFrame, docs: DataFrame, k: int, ident: str = "doc_id", query: str = "query_id", queries: DataFrame | None = None) -> DataFrame:
@@ -85,7 +93,7 @@ def fuse(lexical: DataFrame, semantic: DataFrame, docs: DataFrame, queries: Data
 
     Every document has a lexical rank (those without a shared term share the one after the last match), those with a
     vector also a semantic one."""
-    lexical, semantic = cut(lexical, "lexical"), cut(semantic, "semantic")
+    semantic = cut(semantic, "semantic")
     lex = competition_ranks(lexical, query, out="_lex").select(query, ident, "_lex")
     unmatched = queries.select(query).distinct().join(lexical.where("score > 0").groupBy(query).agg((F.count("*") + 1).alias("_rest")), query, "left").select(query, F.coalesce("_rest", F.lit(1)).alias("_rest"))
     sem = competition_ranks(semantic, query, out="_sem").select(query, ident, "_sem")
