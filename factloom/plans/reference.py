@@ -34,9 +34,10 @@ def op(sql: str | None = None):
 
 
 def docs(spark: SparkSession, root: str) -> DataFrame:
+    """The latest arrival of each article, its published time read from any spelling (null where no single instant is meant)."""
     rows = persist.last_of_batch(table(spark, root, "articles"), "doc_id", F.col("ingested_at"))
-    canonical = F.when(F.col("published").rlike(timestamps.CANONICAL), F.try_to_timestamp("published"))
-    return rows.withColumn("published_at", canonical).withColumn("source_key", timestamps.label_key(F.col("source")))
+    timed = timestamps.normalise(rows, table(spark, root, "sources"), out="published_at")
+    return timed.withColumn("published_at", F.timestamp_micros("published_at")).withColumn("source_key", timestamps.label_key(F.col("source")))
 
 
 DOCS = r"""docs AS (SELECT *, CASE WHEN regexp_full_match(published, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z') THEN try_strptime(published, '%Y-%m-%dT%H:%M:%SZ') END AS published_at,
