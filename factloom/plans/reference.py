@@ -844,8 +844,9 @@ def op_F12_sections(spark, root):
 
 @op()
 def op_F14_claims(spark, root):
-    """Checkable claims of every document's first sentence."""
-    return table(spark, root, "documents").select("doc_id", F.explode(text.claims(F.get(F.split("text", r"\n"), F.lit(0)))).alias("claim"))
+    """Checkable claims of every line of every document."""
+    lines = table(spark, root, "documents").select("doc_id", F.explode(F.split("text", r"\R")).alias("line"))
+    return lines.select("doc_id", F.explode(text.claims(F.col("line"))).alias("claim"))
 
 
 @op()

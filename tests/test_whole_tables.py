@@ -48,3 +48,14 @@ def test_every_spelling_of_a_time_counts(spark, spelled):
     order = [d for d, _, _, h in sorted(SPELLINGS, key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))]
     assert [r.doc_id for r in run(spark, spelled, "op_W6_latest_published")] == order
     assert [r.doc_id for r in run(spark, spelled, "op_W7_latest")] == order[:1]
+
+
+def documents(spark, path, texts):
+    return write(spark, path, documents=(list(enumerate(texts)), "doc_id bigint, text string"))
+
+
+def test_claims_of_every_line(spark, tmp_path):
+    texts = ["Ships waited offshore for days\r\n\nWe assess that the port closed early [E1], and two cranes stood idle\nIt is likely that traffic will fall", "one line of claims only", None, ""]
+    got = sorted((r.doc_id, r.claim) for r in run(spark, documents(spark, tmp_path, texts), "op_F14_claims"))
+    want = ["Ships waited offshore for days", "the port closed early", "two cranes stood idle", "traffic will fall"]
+    assert got == [*((0, c) for c in sorted(want)), (1, "one line of claims only")]
