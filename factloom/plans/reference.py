@@ -162,8 +162,8 @@ def _page():
   SELECT d.doc_id, coalesce(substr(string_agg(t, ' ' ORDER BY i), 1, 1800), '') AS body FROM (SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '<|&')) d
   LEFT JOIN k ON k.doc_id = d.doc_id AND coalesce(before, 0) < 1800 GROUP BY d.doc_id""")
 def op_S9_main_text(spark, root):
-    """The text of each document read back out of a page around it; texts with markup of their own are left to the tests."""
-    return table(spark, root, "documents").where(~F.col("text").rlike("<|&")).select("doc_id", text.main_text(_page()).alias("body"))
+    """The text of each document read back out of a page around it, markup of its own treated as the page's."""
+    return table(spark, root, "documents").select("doc_id", text.main_text(_page()).alias("body"))
 
 
 @op()
@@ -813,9 +813,8 @@ def op_D8_sets(spark, root):
 
 @op(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9_''-]+(?:[ \t\n\r]+(?:of|the|and|[A-Z][A-Za-z0-9_''-]+)){0,4})', 1), lambda x: trim(x)), lambda x: length(x) >= 3 AND NOT list_contains(['The','A','An','This','That','These','Those','It','But','And','In','On'], regexp_extract(x, '^\S+'))))), '|') AS spans FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
 def op_F6_name_spans(spark, root):
-    """Name spans of the texts in ASCII, where both engines' word classes agree; others are left to the tests."""
-    d = table(spark, root, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return d.select("doc_id", F.array_join(F.array_sort(F.array_distinct(text.name_spans(F.col("text")))), "|").alias("spans"))
+    """Name spans of every text."""
+    return table(spark, root, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(text.name_spans(F.col("text")))), "|").alias("spans"))
 
 
 @op("SELECT entity_id AS id, substr(sha256(type || ':' || lower(trim(name))), 1, 24) AS key FROM entities")
@@ -825,8 +824,8 @@ def op_F8_F26_entity_keys(spark, root):
 
 @op(r"SELECT item_id, CASE WHEN regexp_full_match(published, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z') THEN epoch_us(try_strptime(published, '%Y-%m-%dT%H:%M:%SZ')) END AS at_us FROM evidence_items WHERE regexp_full_match(published, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z')")
 def op_F9_F22_iso_times(spark, root):
-    e = table(spark, root, "evidence_items").where(F.col("published").rlike(timestamps.CANONICAL))
-    return e.select("item_id", F.round(evidence.iso_seconds(F.col("published")) * 1e6).cast("bigint").alias("at_us"))
+    """The ISO time of every evidence item, null where iso_seconds() reads none (of ISO's spellings, the ones without dashes)."""
+    return table(spark, root, "evidence_items").select("item_id", F.round(evidence.iso_seconds(F.col("published")) * 1e6).cast("bigint").alias("at_us"))
 
 
 @op("SELECT doc_id, nullif(lower(regexp_extract(text, '(?i)\\b(low|moderate|high)\\b', 1)), '') AS confidence FROM documents")

@@ -1,7 +1,9 @@
 """Queries over small tables whose rows are the awkward ones, against plain Python."""
 
 import datetime
+import html
 import os
+import re
 
 import pytest
 
@@ -59,3 +61,47 @@ def test_claims_of_every_line(spark, tmp_path):
     got = sorted((r.doc_id, r.claim) for r in run(spark, documents(spark, tmp_path, texts), "op_F14_claims"))
     want = ["Ships waited offshore for days", "the port closed early", "two cranes stood idle", "traffic will fall"]
     assert got == [*((0, c) for c in sorted(want)), (1, "one line of claims only")]
+
+
+LEADS = {"The", "A", "An", "This", "That", "These", "Those", "It", "But", "And", "In", "On"}
+
+
+def spans(t):
+    found = [m.strip() for m in re.findall(r"\b([A-Z][\w'-]+(?:\s+(?:of|the|and|[A-Z][\w'-]+)){0,4})", t or "")]
+    return "|".join(sorted({x for x in found if len(x) >= 3 and x.split()[0] not in LEADS}))
+
+
+def test_name_spans_outside_ascii(spark, tmp_path):
+    texts = ["The port of Málaga met José Muñoz Pérez and Anna", "Сергей met Boris Иванов in Kyiv", "Café Union Hall opened, The Port closed", "Plain Name here", "nothing", ""]
+    got = {r.doc_id: r.spans for r in run(spark, documents(spark, tmp_path, texts), "op_F6_name_spans")}
+    assert got == {i: spans(t) for i, t in enumerate(texts)} and "José Muñoz" in got[0] and "Boris" in got[1]
+
+
+def test_iso_times_of_all_items(spark, tmp_path):
+    times = ["2024-05-01T10:00:00Z", "2024-05-01", "2024-05-01 10:30", "2024-05-01T10:00:00.25+02:00", "2024-05-01T10:00:00-0530", "2024-05-01T10:00:00.123456-03:00", "2024-02-30", "soon", None]
+    def micros(p):
+        try:
+            t = datetime.datetime.fromisoformat(p)
+        except (TypeError, ValueError):
+            return None
+        return (t.replace(tzinfo=t.tzinfo or UTC) - datetime.datetime(1970, 1, 1, tzinfo=UTC)) // datetime.timedelta(microseconds=1)
+    root = write(spark, tmp_path, evidence_items=(list(enumerate(times)), "item_id bigint, published string"))
+    assert {r.item_id: r.at_us for r in run(spark, root, "op_F9_F22_iso_times")} == {i: micros(p) for i, p in enumerate(times)}
+
+
+def body(t):
+    page = "<article><p>" + t.replace("\n", "</p><p>") + "</p></article>"
+    kept, total = [], 0
+    for p in re.findall(r"(?is)<p\b[^>]*>(.*?)</p>", re.search(r"(?is)<article\b.*?</article>", page)[0]):
+        p = re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", " ", p))).strip()
+        if len(p) >= 60 and " " in p and total < 1800:
+            kept.append(p)
+            total += len(p)
+    return " ".join(kept)[:1800]
+
+
+def test_main_text_with_markup(spark, tmp_path):
+    long = "the harbour office said on Monday that the ferries would not sail before the end of the week"
+    texts = [f"{long}\nshort\n{long} again", f"<p>{long}</p>\n{long} &amp; <b>more</b>", f"{long} <PLACE NAME> R&amp;D &lt;now&gt;", f"a & b, {long}", "", *[f"{long}\n" * 40]]
+    got = {r.doc_id: r.body for r in run(spark, documents(spark, tmp_path, texts), "op_S9_main_text")}
+    assert got == {i: body(t) for i, t in enumerate(texts)} and "more" in got[1] and "R&D <now>" in got[2]
