@@ -8,7 +8,7 @@ words (its answer words) for paraphrases.
 
 Items come in blocks whose vocabulary is at most VOCABULARY words, so what is broadcast (the projection and the items'
 latent windows) has a fixed bound; documents are never gathered. A window of WINDOW words at every STEP contains every run
-of RUN words whole, and only windows with at least RUN words of the vocabulary can hold one.
+of RUN words whole, and only windows with at least SUBSEQUENCE * RUN words of the vocabulary can hold one or a paraphrase.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def _document_windows(docs: DataFrame, ident: str, text: str, block: Block) -> D
                 known = np.concatenate([[0], np.cumsum(seq >= 0)])
                 for i in range(0, max(1, len(seq) - RUN + 1), STEP):
                     end = min(len(seq), i + WINDOW)
-                    if known[end] - known[i] >= RUN:
+                    if known[end] - known[i] >= SUBSEQUENCE * RUN:
                         owner.append(ident_)
                         found.append(seq[i:end])
             if owner:
@@ -167,9 +167,9 @@ def _project(windows: list[np.ndarray], idf: np.ndarray, space: np.ndarray) -> n
 def search(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(ident, item, run, subsequence, answered, cosine) of the candidate documents and items that can be leaks, each pair once.
 
-    run: longest common run of words, 0 where too few words are shared for RUN; answered: share of the telling words of the item's
-    nearest window that the document's window holds; subsequence: longest common subsequence over that window's words, 0
-    where too few are answered. Texts without words match nothing;
+    run: longest common run of words, 0 where too few words are shared for RUN; answered: share of an item window's
+    telling words that the document's window holds; subsequence: longest common subsequence over that window's words, 0
+    where too few are answered; both of the item's best window among those near enough. Texts without words match nothing;
     repeated documents give the same rows, once for an identifier. The items are the query set: they are read to the
     driver and split into blocks of bounded vocabulary."""
     spark = docs.sparkSession
@@ -201,7 +201,10 @@ def _searcher(known, ident: str, item: str):
         idf, space, latent, of, asked, ids, sequences = known.value
         of = np.array(of)
         telling = np.median(idf)
-        tells = [np.unique(w[idf[w] >= telling]).tolist() for w in asked]
+        tells = np.zeros((len(idf), len(asked)), np.uint8)
+        for k, w in enumerate(asked):
+            tells[w[idf[w] >= telling], k] = 1
+        told = tells.sum(axis=0, dtype=np.int64)
         holds = np.zeros((len(idf), len(ids)), np.int16)
         for j, seq in enumerate(sequences):
             holds[seq, j] = 1
@@ -221,17 +224,19 @@ def _searcher(known, ident: str, item: str):
                     hits = np.nonzero((row >= COSINE) & (shared[i][of] >= SUBSEQUENCE * RUN))[0]
                     if not len(hits):
                         continue
-                    held = set(windows[i].tolist())
-                    hits = hits[np.argsort(-row[hits], kind="stable")]
-                    _, first = np.unique(of[hits], return_index=True)  # each item's nearest window
-                    for k in hits[first]:
-                        j, w, tell = of[k], asked[k], tells[k]
-                        answered = sum(t in held for t in tell) / len(tell) if tell else 0.0
-                        if shared[i][j] < RUN and answered < ANSWER:
+                    held = np.unique(windows[i][windows[i] >= 0])
+                    answered = tells[np.ix_(held, hits)].sum(axis=0, dtype=np.int64) / np.maximum(told[hits], 1)
+                    for j in np.unique(of[hits]):
+                        own = of[hits] == j
+                        best = (0.0, float(answered[own].max()))
+                        for k, share in zip(hits[own], answered[own], strict=True):
+                            w = asked[k]
+                            if share >= ANSWER and np.isin(windows[i], w).sum() >= SUBSEQUENCE * len(w):
+                                best = max(best, (longest_subsequence(windows[i], w) / len(w), float(share)))
+                        if shared[i][j] < RUN and best[0] == 0:
                             continue
-                        ordered = longest_subsequence(windows[i], w) / len(w) if answered >= ANSWER else 0.0
                         run_ = longest_run(windows[i], sequences[j]) if shared[i][j] >= RUN else 0
-                        out.append((owners[i], ids[j], run_, ordered, answered, float(row[k])))
+                        out.append((owners[i], ids[j], run_, *best, float(row[hits[own]].max())))
             yield pd.DataFrame(out, columns=[ident, item, "run", "subsequence", "answered", "cosine"])
 
     return run
