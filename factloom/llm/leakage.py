@@ -28,8 +28,8 @@ RUN = 12
 WINDOW, STEP = 24, 12
 VOCABULARY = 8192
 RANK = 768
-#: Cosine from which on a window is a candidate, and the share of a window's words and telling words for a paraphrase.
-COSINE = 0.55
+#: Cosine from which on a window can be a paraphrase (runs are looked for at any), and the share of a window's words and telling words for a paraphrase.
+COSINE = 0.3
 SUBSEQUENCE, ANSWER = 0.75, 0.75
 
 _WORD = re.compile(r"[^\W_]+")
@@ -169,7 +169,7 @@ def search(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str =
 
     run: longest common run of words, 0 where too few words are shared for RUN; answered: share of an item window's
     telling words that the document's window holds; subsequence: longest common subsequence over that window's words, 0
-    where too few are answered; both of the item's best window among those near enough. Texts without words match nothing;
+    where too few are answered; both of the item's best window among those near enough, 0 if none is. Texts without words match nothing;
     repeated documents give the same rows, once for an identifier. The items are the query set: they are read to the
     driver and split into blocks of bounded vocabulary."""
     spark = docs.sparkSession
@@ -200,6 +200,7 @@ def _searcher(known, ident: str, item: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, space, latent, of, asked, ids, sequences = known.value
         of = np.array(of)
+        starts = np.unique(of, return_index=True)[1]  # each item's windows stand together
         telling = np.median(idf)
         tells = np.zeros((len(idf), len(asked)), np.uint8)
         for k, w in enumerate(asked):
@@ -222,21 +223,18 @@ def _searcher(known, ident: str, item: str):
                 owners = part[ident].to_numpy()
                 for row, i in zip(cosines, able, strict=True):
                     hits = np.nonzero((row >= COSINE) & (shared[i][of] >= SUBSEQUENCE * RUN))[0]
-                    if not len(hits):
-                        continue
+                    runs = np.nonzero(shared[i] >= RUN)[0]  # what shares RUN words can hold a run, however far away it is
                     held = np.unique(windows[i][windows[i] >= 0])
                     answered = tells[np.ix_(held, hits)].sum(axis=0, dtype=np.int64) / np.maximum(told[hits], 1)
-                    for j in np.unique(of[hits]):
-                        own = of[hits] == j
-                        best = (0.0, float(answered[own].max()))
-                        for k, share in zip(hits[own], answered[own], strict=True):
-                            w = asked[k]
-                            if share >= ANSWER and np.isin(windows[i], w).sum() >= SUBSEQUENCE * len(w):
-                                best = max(best, (longest_subsequence(windows[i], w) / len(w), float(share)))
-                        if shared[i][j] < RUN and best[0] == 0:
-                            continue
+                    best: dict[int, tuple[float, float]] = {}
+                    for k, share in zip(hits[answered >= ANSWER], answered[answered >= ANSWER], strict=True):
+                        j, w = int(of[k]), asked[k]
+                        if np.isin(windows[i], w).sum() >= SUBSEQUENCE * len(w):
+                            best[j] = max(best.get(j, (0.0, 0.0)), (longest_subsequence(windows[i], w) / len(w), float(share)))
+                    nearest = np.maximum.reduceat(row, starts)
+                    for j in sorted({*runs.tolist(), *best}):
                         run_ = longest_run(windows[i], sequences[j]) if shared[i][j] >= RUN else 0
-                        out.append((owners[i], ids[j], run_, *best, float(row[hits[own]].max())))
+                        out.append((owners[i], ids[j], run_, *best.get(j, (0.0, 0.0)), float(nearest[j])))
             yield pd.DataFrame(out, columns=[ident, item, "run", "subsequence", "answered", "cosine"])
 
     return run
