@@ -1,23 +1,26 @@
 """Variant spellings of names linked into entities (problem 1).
 
-Metric-space partitioning. Names are read (spelling.parse) into a block and a core; in each block a number of cores that
-grows with the block are pivots. A core is at home in the cell of its nearest pivot and is replicated to every cell whose
-pivot is no more than twice the radius farther: by the triangle inequality any two cores within the radius then meet in
-the home cell of either. Inside a cell an exact radius join runs with the unrestricted Damerau-Levenshtein distance, a
-true metric, after bounds from the pivot distances, the lengths and the letter counts. Cells that are too large for one
-task are cut into slices that meet pairwise.
-
-Edit distances of unrelated names hardly differ, so in a very large block every boundary holds nearly every name. Blocks
-of more than PER_PIVOT x MOST_PIVOTS cores therefore meet by deletion neighbourhoods instead: two cores within the radius
-share a string that both become by deleting at most that many letters. That is as exact, verified by the same distance,
-and grows in proportion.
-
-Equal readings are one key from the start, so repeated names cost nothing; links between keys make components.
+Two names are variants if their words match one to one, in any order, each pair equal, listed as forms of one word or
+within a few edits (spelling.parse reads the words). The work is done on the distinct words:
+
+Metric-space partitioning. In each type some distinct words are pivots. A word is at home in the cell of its nearest
+pivot and is replicated to every cell whose pivot is no more than twice the radius farther: by the triangle inequality
+any two words within the radius then meet in the home cell of either. Inside a cell an exact radius join runs with the
+unrestricted Damerau-Levenshtein distance, a true metric, after bounds from lengths, pivot distances and letter counts.
+Cells that are too large for one task are cut into slices that meet pairwise. It is one way at every size.
+
+Names then meet on two of their words: each stands in an index under every pair of its words, and asks for the pairs
+that its two rarest words and their near words make. Equal readings are one key from the start, so repeated names cost
+nothing. What meets is checked by the cheapest one-to-one match of the words. Links between keys make components.
+
+Names that leave something open (an initial, an abbreviation no list knows, a pet name of two names) join the one
+component that they can mean, nearest spelling first; where they can mean several they stay alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,17 +31,23 @@ from factloom.durable import cut
 from factloom.llm import spelling
 from factloom.operators.components import connected_components
 
-RADIUS = 1
-#: Cores for which a block gets one more pivot, and the most pivots of a block (they are the only thing broadcast).
-PER_PIVOT, MOST_PIVOTS = 512, 64
-#: Rows of a cell that one task joins with as many others.
+#: Edits allowed between two words by the letters that the shorter must have, and in a whole name.
+RADII = ((1, 4), (2, 8))
+EDITS = 2
+#: Runs of more letters aren't words that anyone misspells: they are equal to themselves only.
+LONGEST = 64
+#: Words for which a type gets one more pivot, and the most pivots of a type.
+PER_PIVOT, MOST_PIVOTS = 256, 24
+#: Words of a cell that one task joins with as many others.
 SLICE = 4000
-#: Blocks of which pivots are kept at all; those beyond (the smallest) are one cell each.
-PIVOTED_BLOCKS = 2000
+#: Two near words that both stand in so many names, the rarer in such a share of the other's, are different words.
+COMMON, SHARE = 5, 0.2
+
+_WORDS = "array<struct<w: string, means: array<string>>>"
 
 
 def read_names(entities: DataFrame, ident: str, name: str, kind: str) -> DataFrame:
-    """(ident, key, form, blocks, core, given): names with equal keys are variants at once. Null and blank names have no key."""
+    """(ident, key, kind, initial, words, short): names with equal keys are variants at once. Null and blank names have no key."""
     id_type = entities.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,41 +55,37 @@ def read_names(entities: DataFrame, ident: str, name: str, kind: str) -> DataFra
             rows = []
             for i, n, k in zip(b[ident], b[name], b[kind], strict=True):
                 if isinstance(n, str) and n.strip():
-                    form, blocks, core, given = spelling.parse(k, n)
-                    rows.append((i, "\x1f".join([str(k), form, *blocks, core]), form, blocks, core, given))
-            yield pd.DataFrame(rows, columns=[ident, "key", "form", "blocks", "core", "given"])
+                    r = spelling.parse(k if isinstance(k, str) else None, n)
+                    rows.append((i, r.key, r.kind, r.initial, [{"w": w, "means": list(m)} for w, m in r.words], list(r.short)))
+            yield pd.DataFrame(rows, columns=[ident, "key", "kind", "initial", "words", "short"])
 
-    return entities.select(ident, name, kind).mapInPandas(run, f"{ident} {id_type}, key string, form string, blocks array<string>, core string, given array<string>")
+    return entities.select(ident, name, kind).mapInPandas(run, f"{ident} {id_type}, key string, kind string, initial string, words {_WORDS}, short array<string>")
 
 
-def radius_join(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
+def radius_join(keys: DataFrame, radius: int) -> DataFrame:
     """(a, b, distance) of the pairs of `keys` (block, key, core; distinct) of one block whose cores are within `radius`.
 
-    Each pair once for a block, a < b by key. Empty cores are only equal to empty ones."""
-    spark = keys.sparkSession
-    counts = cut(keys.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > PER_PIVOT), "name-blocks")
-    sizes, huge = counts.where(F.col("n") <= PER_PIVOT * MOST_PIVOTS), counts.where(F.col("n") > PER_PIVOT * MOST_PIVOTS)
-    all_keys, keys = keys, keys.join(huge, "block", "left_anti")
-    large = sizes.orderBy(F.desc("n"), "block").limit(PIVOTED_BLOCKS)
-    ranked = keys.join(large, "block").where(F.xxhash64("key") % 1000 < 1000 * F.lit(2 * MOST_PIVOTS) / F.col("n") * F.greatest(F.lit(1.0), F.col("n") / 1e6))
-    few = F.slice(F.array_sort(F.collect_set("core")), 1, F.least(F.lit(MOST_PIVOTS), F.ceil(F.first("n") / PER_PIVOT).cast("int")))
-    pivots = spark.sparkContext.broadcast({r.block: r.cores for r in ranked.groupBy("block").agg(few.alias("cores")).collect()})
+    Each pair once, a < b by key."""
+    counts = keys.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > PER_PIVOT)
+    chosen = keys.join(counts, "block").where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < 1_000_000 * F.lit(4 * MOST_PIVOTS) / F.col("n"))
+    few = F.slice(F.transform(F.array_sort(F.collect_set(F.struct(F.xxhash64("core").alias("h"), "core"))), lambda x: x["core"]), 1, F.least(F.lit(MOST_PIVOTS), F.ceil(F.first("n") / PER_PIVOT).cast("int")))
+    pivots = chosen.groupBy("block").agg(few.alias("pivots"))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for block, part in b.groupby("block", sort=False):
-                cores, own = part["core"].tolist(), pivots.value.get(block) or []
-                if not own:
+                cores, own = part["core"].tolist(), part["pivots"].iloc[0]
+                if own is None or not len(own):
                     out.append(pd.DataFrame({"block": block, "cell": 0, "key": part["key"], "core": part["core"], "home": True, "far": 0}))
                     continue
                 d = np.stack([spelling.distances(cores, [p] * len(cores)) for p in own], axis=1)
                 near = d.argmin(axis=1)
                 row, cell = np.nonzero(d <= d.min(axis=1)[:, None] + 2 * radius)
                 out.append(pd.DataFrame({"block": block, "cell": cell, "key": part["key"].to_numpy()[row], "core": part["core"].to_numpy()[row], "home": near[row] == cell, "far": d[row, cell]}))
-            yield pd.concat(out) if out else b.iloc[:0]
+            yield pd.concat(out) if out else pd.DataFrame(columns=["block", "cell", "key", "core", "home", "far"])
 
-    placed = keys.select("block", "key", "core").mapInPandas(assign, "block string, cell int, key string, core string, home boolean, far int")
+    placed = keys.select("block", "key", "core").join(pivots, "block", "left").mapInPandas(assign, "block string, cell int, key string, core string, home boolean, far int")
     placed = cut(placed, "name-cells")
     slices = placed.groupBy("block", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / SLICE)).cast("int").alias("slices"))
     sliced = placed.join(slices, ["block", "cell"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
@@ -90,86 +95,240 @@ def radius_join(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
     def join(part: pd.DataFrame) -> pd.DataFrame:
         return _pairs(part, radius)
 
-    found = meeting.groupBy("block", "cell", "i", "j").applyInPandas(join, "a string, b string, distance int")
-    if not huge.isEmpty():
-        found = found.unionByName(_by_deletion(all_keys.join(huge, "block", "left_semi"), radius))
-    return found.distinct()
-
-
-def _by_deletion(keys: DataFrame, radius: int) -> DataFrame:
-    """As radius_join(), through shared deletion neighbours."""
-    shorter = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    variants = F.array("core")
-    for _ in range(radius):
-        variants = F.array_distinct(F.concat(variants, F.flatten(F.transform(variants, lambda w: F.when(F.length(w) > 0, shorter(w)).otherwise(F.array().cast("array<string>"))))))
-    spread = keys.select("block", "key", "core", F.explode(variants).alias("v"))
-    other = spread.select("block", "v", F.col("key").alias("b"), F.col("core").alias("core_b"))
-    met = spread.withColumnsRenamed({"key": "a", "core": "core_a"}).join(other, ["block", "v"]).where("a < b").select("a", "b", "core_a", "core_b").distinct()
-
-    @F.pandas_udf("int")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(spelling.distances(x.tolist(), y.tolist()) if len(x) else [], dtype="int32")
-
-    fits = met.withColumn("distance", distance("core_a", "core_b")).where(F.col("distance") <= radius)
-    return fits.where((F.col("distance") == 0) | (F.least(F.length("core_a"), F.length("core_b")) > 2 * radius)).select("a", "b", "distance")
+    return meeting.groupBy("block", "cell", "i", "j").applyInPandas(join, "a string, b string, distance int").distinct()
 
 
 def _pairs(part: pd.DataFrame, radius: int) -> pd.DataFrame:
     """Pairs within the radius, of which one is at home in the cell, and that aren't of one slice where two meet."""
-    part = part.sort_values("key").reset_index(drop=True)
+    part = part.assign(_n=part["core"].str.len()).sort_values(["_n", "key"]).reset_index(drop=True)
     codes, lengths = spelling.encode(part["core"].tolist())
     far, home, own = part["far"].to_numpy(), part["home"].to_numpy(), part["own"].to_numpy()
     across = part["i"].iloc[0] != part["j"].iloc[0]
-    counts = np.zeros((len(part), 32), np.int16)
+    counts = np.zeros((len(part), 32), np.int8)
     for j in range(codes.shape[1]):
         some = codes[:, j] > 0
         counts[np.nonzero(some)[0], codes[some, j] % 32] += 1
+    ends = np.searchsorted(lengths, lengths + radius, side="right")
     left, right = [], []
     for at in range(0, len(part), 256):
         rows = np.arange(at, min(len(part), at + 256))
-        close = np.abs(lengths[rows, None] - lengths[None, :]) <= radius
-        close &= np.abs(far[rows, None] - far[None, :]) <= radius
-        close &= rows[:, None] < np.arange(len(part))[None, :]
-        close &= home[rows, None] | home[None, :]
+        stop = int(ends[rows[-1]])  # longer words are out of reach
+        others = np.arange(at, stop)
+        close = lengths[others][None, :] - lengths[rows, None] <= radius
+        close &= np.abs(far[rows, None] - far[None, at:stop]) <= radius
+        close &= rows[:, None] < others[None, :]
+        close &= home[rows, None] | home[None, at:stop]
         if across:
-            close &= own[rows, None] != own[None, :]
+            close &= own[rows, None] != own[None, at:stop]
         i, j = np.nonzero(close)
-        bag = np.abs(counts[rows[i]] - counts[j]).sum(axis=1) <= 2 * radius
+        bag = np.abs(counts[rows[i]] - counts[others[j]]).sum(axis=1, dtype=np.int32) <= 2 * radius
         left.append(rows[i[bag]])
-        right.append(j[bag])
+        right.append(others[j[bag]])
     a, b = np.concatenate(left), np.concatenate(right)
     if not len(a):
         return pd.DataFrame({"a": [], "b": [], "distance": []}).astype({"a": str, "b": str, "distance": "int32"})
     cores, keys = part["core"].to_numpy(), part["key"].to_numpy()
     d = np.concatenate([spelling.distances(cores[a[k : k + 20_000]].tolist(), cores[b[k : k + 20_000]].tolist()) for k in range(0, len(a), 20_000)])
-    fits = (d <= radius) & ((d == 0) | (np.minimum(lengths[a], lengths[b]) > 2 * radius))
-    return pd.DataFrame({"a": keys[a[fits]], "b": keys[b[fits]], "distance": d[fits].astype("int32")})
+    fits = d <= radius
+    x, y = keys[a[fits]], keys[b[fits]]
+    swap = x > y
+    return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y), "distance": d[fits].astype("int32")})
+
+
+def near_words(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(support: type, w, n of the words as typed; near: type, w, v, p of the words v within p edits of an unlisted w).
+
+    Long given names of the list are compared as well, so a misspelt one is near to what it was meant to be."""
+    spark = keys.sparkSession
+    typed = keys.select(F.element_at(F.split("kind", r"\|"), 1).alias("type"), F.explode("words").alias("_w")).select("type", "_w.w", (F.array_contains("_w.means", F.col("_w.w")) & (F.size("_w.means") == 1)).alias("plain"))
+    support = cut(typed.groupBy("type", "w").agg(F.count("*").alias("n"), F.bool_and("plain").alias("plain")), "name-words")
+    given = spark.createDataFrame([("PERSON", w) for w in spelling.LONG_GIVEN], "type string, w string")
+    known = given.withColumn("given", F.lit(True))
+    vocabulary = support.where("plain").select("type", "w").unionByName(given).distinct()
+    vocabulary = cut(vocabulary.where(~F.col("w").rlike(r"\d")).select(F.col("type").alias("block"), F.concat_ws("\x1f", "type", "w").alias("key"), F.col("w").alias("core")), "name-vocabulary")
+    least = F.least(F.length(F.element_at(F.split("a", "\x1f"), 2)), F.length(F.element_at(F.split("b", "\x1f"), 2)))
+    # one join at the wider radius; short words may differ by less
+    allowed = F.greatest(*[F.when(least >= letters, radius).otherwise(0) for radius, letters in RADII])
+    found = radius_join(vocabulary.where(F.length("core").between(RADII[0][1], LONGEST)), RADII[-1][0]).where(F.col("distance") <= allowed)
+    side = lambda c: F.split(c, "\x1f")
+    pairs = found.select(side("a")[0].alias("type"), side("a")[1].alias("w"), side("b")[1].alias("v"), F.col("distance").alias("p"))
+    # two letters replaced by others make another word; of two edits at least one must add, drop or swap
+    letters = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(F.col(c), i, F.lit(1)))
+    changed = F.zip_with(letters("w"), letters("v"), lambda x, y: F.when(x == y, F.lit("=")).otherwise(F.concat(x, y)))
+    odd = F.filter(changed, lambda x: x != "=")
+    swapped = F.exists("_odd", lambda x: F.array_contains("_odd", F.reverse(x)))
+    pairs = pairs.withColumn("_odd", odd).where((F.col("p") < 2) | (F.length("w") != F.length("v")) | (F.size("_odd") > 2) | swapped).drop("_odd")
+    both = pairs.unionByName(pairs.select("type", F.col("v").alias("w"), F.col("w").alias("v"), "p"))
+    n = support.select("type", "w", "n")
+    rated = both.join(n.withColumnsRenamed({"n": "n_w"}), ["type", "w"], "left").join(n.withColumnsRenamed({"w": "v", "n": "n_v"}), ["type", "v"], "left")
+    rated = rated.join(known.withColumnsRenamed({"given": "given_w"}), ["type", "w"], "left").join(known.withColumnsRenamed({"w": "v", "given": "given_v"}), ["type", "v"], "left")
+    low, high = F.least(F.coalesce("n_w", F.lit(0)), F.coalesce("n_v", F.lit(0))), F.greatest(F.coalesce("n_w", F.lit(0)), F.coalesce("n_v", F.lit(0)))
+    different = (low >= COMMON) & (low >= SHARE * high)
+    # a listed word is never itself a misspelling; a word in common use isn't one of a listed name either
+    apart = F.coalesce(F.col("given_v"), F.lit(False)) & (F.col("n_w") >= COMMON) & (F.col("n_w") >= SHARE * F.coalesce("n_v", F.lit(0)))
+    return support, cut(rated.where("given_w is null and n_w is not null").where(~different & ~apart).select("type", "w", "v", "p", F.coalesce("given_v", F.lit(False)).alias("given")), "near-words")
+
+
+def abbreviated(keys: DataFrame, support: DataFrame) -> DataFrame:
+    """(type, short, means) of the words that an abbreviation can stand for: those it begins, and those of which it has
+    the first and the last letter and up to three between them, and words of the list that they contract. Both sides meet
+    on the short form."""
+    short = keys.select(F.element_at(F.split("kind", r"\|"), 1).alias("type"), F.explode("short").alias("short")).distinct()
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = set()
+            for t, w in zip(b["type"], b["w"], strict=True):
+                out |= {(t, w[:n], w) for n in range(2, min(6, len(w) - 1) + 1)}
+                if len(w) <= 24:
+                    out |= {(t, w[0] + "".join(m) + w[-1], w) for n in range(0, 4) for m in combinations(w[1:-1], n)}
+            yield pd.DataFrame(sorted(out), columns=["type", "short", "v"])
+
+    long = support.where(F.length("w") >= 4).join(short.select("type").distinct(), "type", "left_semi").select("type", "w").mapInPandas(spell, "type string, short string, v string")
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(t, w, v) for t, w in zip(b["type"], b["short"], strict=True) for v in sorted(spelling.listed(w, t))], columns=["type", "short", "v"])
+
+    met = short.join(long, ["type", "short"]).where(F.length("v") > F.length("short")).unionByName(short.mapInPandas(look_up, "type string, short string, v string"))
+    return met.groupBy("type", "short").agg(F.collect_set("v").alias("means"))
+
+
+_SLOTS = "array<struct<w: string, n: bigint, open: boolean, base: array<struct<v: string, p: int>>, more: array<struct<v: string, p: int>>>>"
+
+
+def _slots(keys: DataFrame) -> DataFrame:
+    """(key, kind, initial, loose, slots): each word of a name with what it means (base) and the words near it (more)."""
+    support, near = near_words(keys)
+    heads = keys.sparkSession.createDataFrame([(w, h) for w, hs in spelling.LONG_GIVEN.items() for h in hs], "v string, head string")
+    given = near.where("given").join(heads, "v").groupBy("type", "w", F.col("head").alias("v")).agg(F.min("p").alias("p"))
+    given = given.groupBy("type", "w").agg(F.collect_list(F.struct("v", "p")).alias("given"))
+    more = near.where("not given").groupBy("type", "w").agg(F.collect_list(F.struct("v", "p")).alias("more"))
+    words = keys.select("key", "kind", "initial", F.element_at(F.split("kind", r"\|"), 1).alias("type"), F.explode("words").alias("_w")).select("key", "kind", "initial", "type", F.col("_w.w").alias("w"), F.col("_w.means").alias("means"))
+    none = F.array().cast("array<struct<v: string, p: int>>")
+    meant = F.transform("means", lambda m: F.struct(m.alias("v"), F.lit(0).alias("p")))
+    # a misspelling that stands for one listed name is as good as that name, one edit away
+    words = words.join(support.select("type", "w", "n"), ["type", "w"], "left").join(given, ["type", "w"], "left").join(more, ["type", "w"], "left")
+    full = words.select("key", "kind", "initial", F.struct("w", "n", (F.size("means") > 1).alias("open"), F.concat(meant, F.coalesce("given", none)).alias("base"), F.coalesce("more", none).alias("more")).alias("slot"))
+    short = keys.select("key", "kind", "initial", F.element_at(F.split("kind", r"\|"), 1).alias("type"), F.explode("short").alias("short")).join(abbreviated(keys, support), ["type", "short"], "left")
+    own = F.array(F.struct(F.concat("short", F.lit(".")).alias("v"), F.lit(0).alias("p")))
+    wide = F.transform(F.coalesce("means", F.array().cast("array<string>")), lambda m: F.struct(m.alias("v"), F.lit(0).alias("p")))
+    short = short.select("key", "kind", "initial", F.struct(F.col("short").alias("w"), F.lit(1_000_000).cast("bigint").alias("n"), F.lit(True).alias("open"), own.alias("base"), wide.alias("more")).alias("slot"))
+    grouped = full.unionByName(short).groupBy("key", "kind", "initial").agg(F.collect_list("slot").alias("slots"))
+    return grouped.withColumn("loose", (F.col("initial") != "") | F.exists("slots", lambda x: x["open"]))
+
+
+def _begins(word: str, means) -> set[str]:
+    """Letters that an initial of the word can be."""
+    return {*spelling.initials(word), *(v[0] for v in means)}
+
+
+def _keys_of(slots, choose: int) -> list[str]:
+    """Pairs of values (single ones for one word) under which a name stands (0) or asks (1)."""
+    def readings(s) -> list[str]:
+        return sorted({x["v"] for x in s["base"]} | ({x["v"] for x in s["more"]} if choose else set()))
+
+    order = sorted(slots, key=lambda s: (s["n"] or 0, s["w"])) if choose else list(slots)
+    if len(order) == 1:
+        return readings(order[0])
+    pairs = [(order[0], order[1])] if choose else list(combinations(order, 2))
+    return sorted({"\x1e".join(sorted((x, y))) for s, t in pairs for x in readings(s) for y in readings(t)})
+
+
+def _emit(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, stood): (k, key) of what each name asks for and stands under. Names with an initial ask among those of one
+    word more, one of which begins with it; otherwise the number of words is the same."""
+
+    def run(choose: int):
+        def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = []
+                for key, kind, initial, slots in zip(b["key"], b["kind"], b["initial"], b["slots"], strict=True):
+                    slots = list(slots)
+                    if choose or initial:
+                        rows += [(f"{kind}|{len(slots)}|{initial}|{k}", key) for k in _keys_of(slots, choose)]
+                    if not choose and not initial:
+                        rows += [(f"{kind}|{len(slots)}||{k}", key) for k in _keys_of(slots, 0)]
+                        if kind == "PERSON|" and len(slots) > 1:  # as the person of an initial
+                            for at, s in enumerate(slots):
+                                letters = sorted(_begins(s["w"], [x["v"] for x in s["base"]]))
+                                rest = _keys_of(slots[:at] + slots[at + 1 :], 0)
+                                rows += [(f"{kind}|{len(slots) - 1}|{c}|{k}", key) for c in letters for k in rest]
+                yield pd.DataFrame(sorted(set(rows)), columns=["k", "key"])
+
+        return emit
+
+    rows = named.select("key", "kind", "initial", "slots")
+    return rows.mapInPandas(run(1), "k string, key string"), rows.mapInPandas(run(0), "k string, key string")
+
+
+def _plain(slots) -> list[tuple[str, dict, dict]]:
+    """(word, edits by value that it means, edits by value that is near it) of each word."""
+    return [(s["w"], {x["v"]: x["p"] for x in s["base"]}, {x["v"]: x["p"] for x in s["more"]}) for s in slots]
+
+
+def _cost(a: tuple, b: tuple) -> int:
+    """Fewest edits between two words: over the values that one can have and the other means; 99 if there is none."""
+    (_, base_a, more_a), (_, base_b, more_b) = a, b
+    ways = [p + base_b[v] for v, p in base_a.items() if v in base_b]
+    ways += [p + base_b[v] for v, p in more_a.items() if v in base_b] + [p + base_a[v] for v, p in more_b.items() if v in base_a]
+    return min(ways, default=99)
+
+
+def match(a: list[tuple], b: list[tuple], initial: str = "") -> int:
+    """Edits of the cheapest one-to-one match of the words of two names; 99 where there is none. With an initial, one word
+    of `b` that can begin with it stays over."""
+    best = 99
+    for over in range(len(b)) if initial else [-1]:
+        if over >= 0 and initial not in _begins(b[over][0], b[over][1]):
+            continue
+        others = [s for i, s in enumerate(b) if i != over]
+        if len(others) != len(a):
+            continue
+        reached = {0: 0}
+        for s in a:
+            step: dict[int, int] = {}
+            for used, c in reached.items():
+                for j, t in enumerate(others):
+                    if not used >> j & 1 and (total := c + _cost(s, t)) <= EDITS:
+                        step[used | 1 << j] = min(total, step.get(used | 1 << j, 99))
+            reached = step
+        best = min([best, *reached.values()])
+    return best
+
+
+def _checked(met: DataFrame) -> DataFrame:
+    """(a, b, loose_a, loose_b, edits) of the pairs that match."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            edits = [match(_plain(x), _plain(y), i if not j else "") for x, y, i, j in zip(b["slots_a"], b["slots_b"], b["initial_a"], b["initial_b"], strict=True)]
+            out = b[["a", "b", "loose_a", "loose_b"]].assign(edits=np.array(edits, np.int32))
+            yield out[out["edits"] <= EDITS]
+
+    return met.mapInPandas(run, "a string, b string, loose_a boolean, loose_b boolean, edits int")
 
 
 def same_entity(entities: DataFrame, ident: str = "entity_id", name: str = "name", kind: str = "type") -> DataFrame:
     """(ident, group_key): rows with the same group_key name the same entity. Rows without a name, or with a blank one,
-    are in no group.
-
-    An initial goes to the person of its surname (the nearest spelling of it) whose given name begins with it, if all
-    such persons can be one; otherwise it only joins equal initials. Repeated rows are one."""
+    are in no group. Repeated rows are one; names of nothing but marks are equal only to equal ones."""
     rows = cut(read_names(entities, ident, name, kind), "names")
-    keys = rows.groupBy("key").agg(F.first("form").alias("form"), F.first("blocks").alias("blocks"), F.first("core").alias("core"), F.first("given").alias("given"))
+    keys = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("kind", "initial", "words", "short")])
     keys = cut(keys, "name-keys")
-    pairs = radius_join(keys.select(F.explode("blocks").alias("block"), "key", "core"))
-    form = keys.select("key", "form", "given")
-    side = lambda s: form.select(F.col("key").alias(s), F.col("form").alias(f"form_{s}"), F.col("given").alias(f"given_{s}"))
-    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b"), "name-pairs")
-    whole = pairs.where("form_a = form_b and form_a <> 'initial'").select("a", "b")
-    mixed = pairs.where("form_a <> form_b and (form_a = 'initial' or form_b = 'initial')")
-    start = F.col("form_a") == "initial"
-    mixed = mixed.select(F.when(start, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(start, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(start, F.col("given_b")).otherwise(F.col("given_a")).alias("given"), "distance")
-    nearest = mixed.join(mixed.groupBy("a").agg(F.min("distance").alias("distance")), ["a", "distance"])
-    # all given names that the nearest persons can have, against the number of those persons
-    names = nearest.select("a", "b", F.explode("given").alias("g")).groupBy("a", "g").agg(F.countDistinct("b").alias("n"))
-    certain = names.groupBy("a").agg(F.max("n").alias("n")).join(nearest.groupBy("a").agg(F.countDistinct("b").alias("m")), "a").where("n = m").select("a")
-    attached = nearest.join(certain, "a", "left_semi").select("a", "b")
-    lonely = pairs.where("form_a = 'initial' and form_b = 'initial'").select("a", "b")
-    taken = nearest.select("a").distinct()
-    lonely = lonely.join(taken, "a", "left_anti").join(taken.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b")
-    parts = connected_components(whole.unionByName(attached).unionByName(lonely)).withColumnsRenamed({"node": "key", "component": "group_key"})
+    named = cut(_slots(keys), "name-slots")
+    asked, stood = _emit(named)
+    met = asked.withColumnRenamed("key", "a").join(stood.withColumnRenamed("key", "b"), "k").where("a <> b").select("a", "b")
+    side = lambda s: named.select(F.col("key").alias(s), F.col("slots").alias(f"slots_{s}"), F.col("initial").alias(f"initial_{s}"), F.col("loose").alias(f"loose_{s}"))
+    # an initial comes first where only one has it, else any order does
+    met = met.distinct().join(side("a"), "a").join(side("b"), "b").where("initial_a = initial_b or initial_b = ''")
+    fits = cut(_checked(met), "name-pairs")
+    strict = connected_components(fits.where("not loose_a and not loose_b").select("a", "b"))
+    component = named.where("not loose").select(F.col("key").alias("b")).join(strict.withColumnRenamed("node", "b"), "b", "left").select("b", F.coalesce("component", "b").alias("component"))
+    ways = fits.where("loose_a and not loose_b").select("a", "b", "edits").unionByName(fits.where("loose_b and not loose_a").select(F.col("b").alias("a"), F.col("a").alias("b"), "edits"))
+    ways = cut(ways.join(component, "b").groupBy("a", "component").agg(F.min("edits").alias("edits")), "name-ways")
+    nearest = ways.groupBy("a").agg(F.min_by("component", "edits").alias("component"), F.min("edits").alias("edits"), F.count("*").alias("_all"))
+    certain = ways.join(nearest.select("a", F.col("edits").alias("_least")), "a").where("edits = _least").groupBy("a").agg(F.count("*").alias("n"), F.first("component").alias("component")).where("n = 1")
+    taken = nearest.select("a")
+    lonely = fits.where("loose_a and loose_b").select("a", "b").join(taken, "a", "left_anti").join(taken.withColumnRenamed("a", "b"), "b", "left_anti")
+    links = fits.where("not loose_a and not loose_b").select("a", "b").unionByName(certain.select("a", F.col("component").alias("b"))).unionByName(lonely.select("a", "b"))
+    parts = connected_components(links).withColumnsRenamed({"node": "key", "component": "group_key"})
     return rows.join(parts, "key", "left").select(ident, F.coalesce("group_key", "key").alias("group_key")).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -67,29 +68,29 @@ TITLES = set("dr prof professor hon minister amb ambassador gen general col colo
 # Words of organisations, places and events, each with its abbreviations and other spellings.
 WORDS = {
     "ORG": """
-research res resrch
-centre center ctr cntr cent
-company co coy cmpny
-association assn assoc ass asso
-corporation corp corpn
-statistics stat stats statist statistical
-agricultural agri agric agr agriculture
-security sec secur scrty
+research res
+centre center ctr cntr
+company co coy
+association assn assoc
+corporation corp
+statistics stat stats statistical
+agricultural agri agric agriculture
+security sec
 department dept dep dpt
-energy engy enrgy en nrg
-maritime mar marit mrtm
-border bdr brdr bord
-shipping shpg ship shippg
-limited ltd lim lmtd
-grain grn gr
+energy
+maritime mar
+border bdr
+shipping shpg ship
+limited ltd
+grain gr
 telecommunications telecom telecoms tel telco telecomm
-commission cmsn comm commn comsn
-environmental env environ envir enviro environment
-foundation fdn found fndn
-international intl int intern internat
-defence def defense dfnce
+commission comm commn
+environmental env environ environment
+foundation fdn found
+international intl int
+defence def defense
 institute inst instit
-ministry min mnstry minist
+ministry min
 authority auth
 agency agcy
 bureau bur
@@ -117,7 +118,7 @@ east e
 west w
 mount mt mnt
 port pt prt
-lowlands lowl lowland
+lowlands lowland
 highlands highl
 district dist
 county cty
@@ -129,10 +130,10 @@ saint st
 city
 """,
     "EVENT": """
-summit smt sum
-conference conf cnf
+summit smt
+conference conf
 operation op oper opn
-exercise ex exer exc
+exercise ex exer
 forum
 congress congr
 campaign camp
@@ -195,106 +196,145 @@ def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+#: Cells of the distance tables that are held at once.
+CELLS = 4_000_000
+
+
 def distances(left: list[str], right: list[str]) -> np.ndarray:
-    """Distances of the word pairs left[i], right[i]."""
-    codes, lengths = encode([*left, *right])
-    alphabet, compact = np.unique(codes, return_inverse=True)
-    compact = compact.reshape(codes.shape)
+    """Distances of the word pairs left[i], right[i], in parts of like length."""
     n = len(left)
-    return damerau(compact[:n], lengths[:n], compact[n:], lengths[n:], len(alphabet))
+    size = np.array([max(len(a), len(b)) for a, b in zip(left, right, strict=True)], np.int64)
+    out, order, at = np.zeros(n, np.int64), np.argsort(size, kind="stable"), 0
+    while at < n:
+        end = at + 1
+        while end < n and (end - at + 1) * (size[order[end]] + 2) ** 2 <= CELLS:
+            end += max(1, min(n - end - 1, (end - at) // 2))
+        end = min(end, n)
+        rows = order[at:end]
+        codes, lengths = encode([*[left[i] for i in rows], *[right[i] for i in rows]])
+        alphabet, compact = np.unique(codes, return_inverse=True)
+        compact, m = compact.reshape(codes.shape), len(rows)
+        out[rows] = damerau(compact[:m], lengths[:m], compact[m:], lengths[m:], len(alphabet))
+        at = end
+    return out
+
 
+_near: dict[tuple[str, str], frozenset[str]] = {}
 
-_near: dict[tuple[str, str], str | None] = {}
 
+def is_contraction(short: str, word: str) -> bool:
+    """Whether `short` keeps the first letter of `word` and some later ones in their order."""
+    rest = iter(word[1:])
+    return 2 <= len(short) < len(word) and short[0] == word[0] and all(c in rest for c in short[1:])
 
-def nearest(word: str, kind: str, forms: dict) -> str | None:
-    """The one long form of `forms` within one edit of `word`, if any."""
+
+def listed(word: str, kind: str) -> frozenset[str]:
+    """The words of the kind's list that an unlisted word can stand for: its one-edit misspellings of long forms, else
+    the contractions of a first form (three letters or more)."""
     key = (kind, word)
     if key not in _near:
-        near = [f for f in forms if len(f) >= 5 and abs(len(f) - len(word)) <= 1]
-        hits = [f for f, d in zip(near, distances([word] * len(near), near), strict=True) if d <= 1] if near and len(word) >= 4 else []
-        _near[key] = min(hits) if hits else None
         if len(_near) > 200_000:
             _near.clear()
-            return min(hits) if hits else None
+        forms = _WORDS[kind]
+        near = [f for f in forms if len(f) >= 5 and abs(len(f) - len(word)) <= 1] if len(word) >= 4 else []
+        hits = {forms[f] for f, d in zip(near, distances([word] * len(near), near), strict=True) if d <= 1} if near else set()
+        if not hits and len(word) >= 3:
+            hits = {h for h in set(forms.values()) if len(h) >= 5 and is_contraction(word, h)}
+        _near[key] = frozenset(hits)
     return _near[key]
 
 
-def parse(kind: str | None, name: str) -> tuple[str, list[str], str, list[str]]:
-    """(form, blocks, core, given) of a name.
+@dataclass(frozen=True)
+class Name:
+    """A name as it is read. kind: what two names must share besides words (type, year of an event). initial: the letter
+    that stands for a given name, or empty. words: (word as typed, what it can mean), in order of the words; short: those
+    of them that are written as abbreviations no list knows (with a full stop, or without a vowel)."""
+
+    kind: str
+    initial: str
+    words: tuple[tuple[str, tuple[str, ...]], ...]
+    short: tuple[str, ...] = ()
+
+    @property
+    def key(self) -> str:
+        return "\x1f".join([self.kind, self.initial, *("/".join(m) for _, m in self.words), *(f"{w}." for w in self.short)])
 
-    form: 'plain' or, for persons, 'full' or 'initial'. Only names that share a block can be variants of one another: the
-    block holds the type, the words of the kind of organisation, place or event and its year, or a given name (of an
-    initial, the letter). core: the words that tell entities of a block apart. given: the given names that may be meant."""
+
+def parse(kind: str | None, name: str) -> Name:
+    """The words of a name without order, titles, small words and additions in brackets.
+
+    A word of a list means the first words of its lines, any other means itself; lists only make words equal, nothing is
+    kept apart by them. Misspelt or contracted words of organisations, places and events mean the listed word as well."""
     folded = fold(name)
-    if kind == "PERSON":
-        return _person(name, folded)
-    if kind in _WORDS:
-        return _thing(kind, folded)
-    words = [w for w in _TOKEN.findall(folded) if w not in SMALL]
-    return "plain", [str(kind)], " ".join(sorted(words)), []
+    return _person(folded) if kind == "PERSON" else _thing(str(kind), folded)
+
+
+def _last(word: str) -> str:
+    """The last letter that a contraction keeps: the last consonant."""
+    return next((c for c in reversed(word) if c not in _VOWELS), word[-1])
+
+
+def _sorted(words: list[tuple[str, tuple[str, ...]]]) -> tuple:
+    return tuple(sorted(words, key=lambda w: (w[1], w[0])))
 
 
-def _thing(kind: str, folded: str) -> tuple[str, list[str], str, list[str]]:
-    known = _WORDS[kind]
-    folded = folded.replace("int'l", "intl").replace("dep't", "dept").replace("nat'l", "natl").replace("ass'n", "assn")
+def _thing(kind: str, folded: str) -> Name:
+    known = _WORDS.get(kind, {})
+    for written, word in (("int'l", "intl"), ("dep't", "dept"), ("nat'l", "natl"), ("ass'n", "assn")):
+        folded = folded.replace(written, word)
     bare = re.sub(r"\((?!\s*'?\d)[^()]*\)", " ", folded)
-    heads, core, year = set(), [], ""
-    for w in _TOKEN.findall(bare):
-        if w in known:
-            heads.add(known[w])
-        elif kind == "EVENT" and re.fullmatch(r"'\d\d|(?:19|20)\d\d", w):
+    bare = bare if _TOKEN.search(bare) else folded
+    words, short, year = [], [], ""
+    for m in _TOKEN.finditer(bare):
+        w = m.group()
+        if kind == "EVENT" and re.fullmatch(r"'\d\d|(?:19|20)\d\d", w):
             year = "20" + w[1:] if w[0] == "'" else w
-        elif w not in SMALL:
-            core.append(w)
-    if len(core) > 1 or core and not heads:  # a misspelt word of the kind
-        for w in list(core):
-            if len(core) > 1 and (form := nearest(w, kind, known)):
-                heads.add(known[form])
-                core.remove(w)
-    return "plain", ["|".join([kind, *sorted(heads), year])], " ".join(sorted(core)), []
-
-
-def _person(name: str, folded: str) -> tuple[str, list[str], str, list[str]]:
-    halves = [[w for w in _TOKEN.findall(h) if w not in TITLES] for h in re.sub(r"\([^()]*\)", " ", folded).split(",", 1)]
-    if len(halves) == 2 and halves[0] and halves[1]:
-        surname, rest = halves[0], halves[1]
-    else:
-        words = [w for h in halves for w in h]
-        full = [w for w in words if len(w) > 1]
-        if not full:
-            return "plain", ["PERSON"], " ".join(words) or folded.strip(), []
-        if len(full) == 1:
-            surname, rest = full, [w for w in words if len(w) == 1]
+        elif w in known:
+            words.append((w, (known[w],)))
+        elif w in SMALL:
+            continue
         else:
-            at = next((i for i, w in enumerate(words) if w in _GIVEN), None)
-            if at is None:
-                at = next((i for i, w in enumerate(words) if len(w) > 1 and nearest(w, "PERSON", _GIVEN)), None)
-            if at is None:  # no name we know: the last is the surname, unless only the first is in capitals
-                raw = [w for w in re.findall(r"[^\W_]+", name) if fold(w) in full]
-                at = len(words) - 1 if len(raw) > 1 and raw[0].isupper() and not raw[-1].isupper() else 0
-            rest = [words[at], *[w for i, w in enumerate(words) if i != at and len(w) == 1]]
-            surname = [w for i, w in enumerate(words) if i != at and len(w) > 1]
-    core = " ".join(surname)
-    if not rest:
-        return "plain", ["PERSON"], core, []
-    first = next((w for w in rest if len(w) > 1), rest[0])
-    if len(first) == 1:
-        return "initial", [f"PERSON|{g}" for g in sorted(_INITIALS.get(first, ()))] + [f"PERSON|{first}."], core, [first]
-    given = _GIVEN.get(first)
-    if given is None:
-        near = nearest(first, "PERSON", _GIVEN)
-        given = _GIVEN[near] if near else frozenset({first})
-    return "full", [f"PERSON|{g}" for g in sorted(given)] + sorted({f"PERSON|{g[0]}." for g in given if g not in _GIVEN}), core, sorted(given)
-
-
-def _initials() -> dict[str, set[str]]:
+            hits = listed(w, kind) if known else frozenset()
+            clipped = known and 2 <= len(w) <= 6 and w.isalpha() and (bare[m.end() : m.end() + 1] == "." or not set(w) & _VOWELS)
+            if hits and not (clipped and not all(w[-1] == _last(h) for h in hits)):
+                words.append((w, tuple(sorted(hits))))
+            elif clipped:
+                short.append(w)
+            else:
+                words.append((w, (w,)))
+    return Name(f"{kind}|{year}", "", _sorted(words), tuple(sorted(short)))
+
+
+def _person(folded: str) -> Name:
+    bare = re.sub(r"\([^()]*\)", " ", folded)
+    halves = [[w for w in _TOKEN.findall(h) if w not in TITLES] for h in (bare if _TOKEN.search(bare) else folded).split(",", 1)]
+    words = [w for h in halves for w in h]
+    full = [w for w in words if len(w) > 1]
+    single = [w for w in words if len(w) == 1]
+    first = len(halves) == 2 and halves[0] and halves[1] and len(halves[1][0]) == 1  # "Surname, I."
+    lead = len(halves) < 2 and words and len(words[0]) == 1
+    initial = ""
+    if full and single and (len(full) == 1 or first or lead):
+        initial = halves[1][0] if first else single[0]
+    own = full or words or [folded.strip()]
+    return Name("PERSON|", initial, _sorted([(w, tuple(sorted(_GIVEN.get(w, (w,))))) for w in own]))
+
+
+def initials(word: str) -> frozenset[str]:
+    """Letters that can stand for a given name: of the word itself, of its full forms, and of like foreign forms."""
+    return frozenset({word[0], *(g[0] for g in _GIVEN.get(word, ())), *(c for g in _GIVEN.get(word, ()) for c in _LETTERS.get(g, ()))})
+
+
+def _letters() -> dict[str, set[str]]:
     out: dict[str, set[str]] = {}
     for form, heads in _GIVEN.items():
         for g in heads:
-            if form == g or len(form) >= _FULL_LENGTH and form[0] != g[0] and distances([form[1:]], [g[1:]])[0] <= 1:
-                out.setdefault(form[0], set()).add(g)
+            if len(form) >= _FULL_LENGTH and form[0] != g[0] and distances([form[1:]], [g[1:]])[0] <= 1:
+                out.setdefault(g, set()).add(form[0])
     return out
 
 
-_INITIALS = _initials()
+_VOWELS = set("aeiouyаеиоуыэюя")
+_LETTERS = _letters()
+#: Given names of five letters or more, as the words that a misspelling is compared with.
+LONG_GIVEN = {form: tuple(sorted(heads)) for form, heads in _GIVEN.items() if len(form) >= 5}
