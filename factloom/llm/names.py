@@ -104,26 +104,27 @@ def _pairs(part: pd.DataFrame, radius: int) -> pd.DataFrame:
     codes, lengths = spelling.encode(part["core"].tolist())
     far, home, own = part["far"].to_numpy(), part["home"].to_numpy(), part["own"].to_numpy()
     across = part["i"].iloc[0] != part["j"].iloc[0]
-    counts = np.zeros((len(part), 32), np.int8)
+    # the letters that a word has, as bits of which an edit changes two at most, and how often it has each
+    counts, bits = np.zeros((len(part), 32), np.int8), np.zeros(len(part), np.uint32)
     for j in range(codes.shape[1]):
-        some = codes[:, j] > 0
-        counts[np.nonzero(some)[0], codes[some, j] % 32] += 1
-    ends = np.searchsorted(lengths, lengths + radius, side="right")
-    left, right = [], []
-    for at in range(0, len(part), 256):
-        rows = np.arange(at, min(len(part), at + 256))
-        stop = int(ends[rows[-1]])  # longer words are out of reach
-        others = np.arange(at, stop)
-        close = lengths[others][None, :] - lengths[rows, None] <= radius
-        close &= np.abs(far[rows, None] - far[None, at:stop]) <= radius
-        close &= rows[:, None] < others[None, :]
-        close &= home[rows, None] | home[None, at:stop]
+        some = np.nonzero(codes[:, j] > 0)[0]
+        letter = codes[some, j] % 32
+        counts[some, letter] += 1
+        bits[some] |= np.uint32(1) << letter.astype(np.uint32)
+    at_home = np.nonzero(home)[0]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(at_home), 256):
+        rows = at_home[at : at + 256]
+        start, stop = np.searchsorted(lengths, lengths[rows[0]] - radius), np.searchsorted(lengths, lengths[rows[-1]] + radius, side="right")
+        i, j = np.nonzero(np.bitwise_count(bits[rows, None] ^ bits[None, start:stop]) <= 2 * radius)
+        i, j = rows[i], j + start
+        close = (i != j) & (np.abs(lengths[i] - lengths[j]) <= radius) & (np.abs(far[i] - far[j]) <= radius) & ~(home[j] & (j < i))
         if across:
-            close &= own[rows, None] != own[None, at:stop]
-        i, j = np.nonzero(close)
-        bag = np.abs(counts[rows[i]] - counts[others[j]]).sum(axis=1, dtype=np.int32) <= 2 * radius
-        left.append(rows[i[bag]])
-        right.append(others[j[bag]])
+            close &= own[i] != own[j]
+        i, j = i[close], j[close]
+        bag = np.abs(counts[i] - counts[j]).sum(axis=1, dtype=np.int32) <= 2 * radius
+        left.append(i[bag])
+        right.append(j[bag])
     a, b = np.concatenate(left), np.concatenate(right)
     if not len(a):
         return pd.DataFrame({"a": [], "b": [], "distance": []}).astype({"a": str, "b": str, "distance": "int32"})
@@ -150,6 +151,7 @@ def near_words(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     # one join at the wider radius; short words may differ by less
     allowed = F.greatest(*[F.when(least >= letters, radius).otherwise(0) for radius, letters in RADII])
     found = radius_join(vocabulary.where(F.length("core").between(RADII[0][1], LONGEST)), RADII[-1][0]).where(F.col("distance") <= allowed)
+    found = cut(found, "near-pairs")
     side = lambda c: F.split(c, "\x1f")
     pairs = found.select(side("a")[0].alias("type"), side("a")[1].alias("w"), side("b")[1].alias("v"), F.col("distance").alias("p"))
     # two letters replaced by others make another word; of two edits at least one must add, drop or swap

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -228,6 +229,11 @@ def is_contraction(short: str, word: str) -> bool:
     return 2 <= len(short) < len(word) and short[0] == word[0] and all(c in rest for c in short[1:])
 
 
+@functools.lru_cache(maxsize=10_000)
+def _bits(word: str) -> int:
+    return functools.reduce(lambda bits, c: bits | 1 << ord(c) % 64, word, 0)
+
+
 def listed(word: str, kind: str) -> frozenset[str]:
     """The words of the kind's list that an unlisted word can stand for: its one-edit misspellings of long forms, else
     the contractions of a first form (three letters or more)."""
@@ -236,7 +242,8 @@ def listed(word: str, kind: str) -> frozenset[str]:
         if len(_near) > 200_000:
             _near.clear()
         forms = _WORDS[kind]
-        near = [f for f in forms if len(f) >= 5 and abs(len(f) - len(word)) <= 1] if len(word) >= 4 else []
+        own = _bits(word)  # one edit changes two letters at most
+        near = [f for f in forms if len(f) >= 5 and abs(len(f) - len(word)) <= 1 and (_bits(f) ^ own).bit_count() <= 2] if len(word) >= 4 else []
         hits = {forms[f] for f, d in zip(near, distances([word] * len(near), near), strict=True) if d <= 1} if near else set()
         if not hits and len(word) >= 3:
             hits = {h for h in set(forms.values()) if len(h) >= 5 and is_contraction(word, h)}
