@@ -1,6 +1,6 @@
 """Records that are equal but for formatting, collapsed with the number of their copies (problem 6).
 
-Progressive refinement: classes by cheap JVM invariants (source skeleton, stripped length, counts of a few letters), then
+Progressive refinement: classes by cheap invariants (source, stripped length, counts of a few letters), then
 by the whole letter histogram, then by the exact key, each only for rows whose class has several members so far. Classes
 are counted with map-side combine and joined back; no class is ever gathered, so a group of copies may hold any part of
 all rows.
@@ -16,34 +16,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.durable import cut
+
 _SEPARATOR = re.compile(r"(?<=\s)(?:\||::|•|–|—|-)(?=\s)")
 _LETTERS = "aeinorst"
+_ASCII = r"^[\x00-\x7F]*$"
 
 
-def _base_letters() -> tuple[str, str]:
-    """Composed letters and the base letters they are built on, from the Unicode tables."""
-    found = {}
-    for cp in range(0xC0, 0x2C00):
-        ch = chr(cp)
-        base = unicodedata.normalize("NFD", ch)[0]
-        if base != ch and ch.isalpha() and ch == ch.lower() and base.isalpha():
-            found[ch] = base
-    return "".join(found), "".join(found.values())
+def letters(text: str) -> str:
+    """The letters and digits of `text`, composed and without case."""
+    folded = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    return "".join(c for c in folded if c.isalnum())
 
 
-_COMPOSED, _BASES = _base_letters()
+@F.pandas_udf(T.StringType())
+def _letters_of(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: letters(t) if isinstance(t, str) else None)
 
 
 def skeleton(text: Column) -> Column:
-    """Letters and digits in lower case without marks: equal for texts that differ in formatting or composition only."""
-    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    return F.regexp_replace(F.translate(low, _COMPOSED, _BASES), r"[^\p{L}\p{N}]+", "")
-
-
-def letters(text: str) -> str:
-    """The letters and digits of `text`, composed and without case."""
-    folded = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
-    return "".join(c for c in folded if c.isalnum())
+    """letters() of a text: in JVM expressions where it is ASCII, which most texts are, in Python batches for the others
+    only. Equal exact keys have equal letters, so every invariant that is made of them holds inside a class of copies."""
+    plain = text.rlike(_ASCII)
+    return F.when(plain, F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", ""))).otherwise(_letters_of(F.when(~plain, text)))
 
 
 def exact_key(source: str, title: str) -> str:
@@ -68,11 +63,12 @@ def copy_groups(items: DataFrame, ident: str = "item_id", source: str = "source"
     Repeated rows of one identifier count once. A record without identifier, source or title is equal to none; titles
     of punctuation only are equal if their sources are."""
     rows = items.select(F.col(ident).alias("id"), F.col(source).alias("s"), F.col(title).alias("t")).where("id is not null and s is not null and t is not null")
-    bare = rows.withColumn("_k", skeleton(F.col("t")))
+    bare = rows.withColumns({"_k": skeleton(F.col("t")), "_o": skeleton(F.col("s"))})
     counts = [F.length("_k") - F.length(F.replace(F.col("_k"), F.lit(c), F.lit(""))) for c in _LETTERS]
-    cheap = bare.select("id", "s", "t", F.xxhash64(skeleton(F.col("s")), F.length("_k"), *counts).alias("h1"))
-    first = _several(cheap, "h1")
-    spelled = first.select("id", "s", "t", F.xxhash64("h1", F.array_join(F.array_sort(F.split(skeleton(F.col("t")), "")), "")).alias("h2"))
+    # written once: its classes are counted, then its rows are met with them
+    cheap = cut(bare.select("id", "s", "t", F.xxhash64("_o", F.length("_k"), *counts).alias("h1")), "copy-classes")
+    first = _several(cheap, "h1").withColumn("_k", skeleton(F.col("t")))
+    spelled = first.select("id", "s", "t", F.xxhash64("h1", F.array_join(F.array_sort(F.split("_k", "")), "")).alias("h2"))
     second = _several(spelled, "h2")
     keyed = second.select("id", _exact("s", "t").alias("key")).distinct()
     keeps = keyed.groupBy("key").agg(F.min("id").alias("keep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")

@@ -63,13 +63,21 @@ def test_exact_key():
     assert key("w", "été") == key("w", "été") != key("w", "ete")
 
 
-def test_skeleton_agrees_with_the_key(spark):
-    """Records with equal keys always share the cheap invariants."""
-    texts = ["Straße", "STRASSE", "É l'eau", "é L’EAU", "É l eau", "й И", "й И", "İx", "ΣΑΣ", "σας"]
-    got = {t: s for t, s in spark.createDataFrame([(t,) for t in texts], "t string").select("t", formatting_copies.skeleton(F.col("t"))).collect()}
-    for a, b in itertools.combinations(texts, 2):
-        if formatting_copies.letters(a) == formatting_copies.letters(b):
-            assert got[a] == got[b], (a, b)
+def test_skeleton_is_the_letters(spark):
+    """The invariants are made of what the exact key is made of, for any text of Unicode."""
+    texts = ["Straße", "STRASSE", "É l'eau", "é L’EAU", "E\u0301 l eau", "й И", "и\u0306 И", "İx", "ΣΑΣ", "σας", "ﬁle", "File", "がぎ", "か\u3099き\u3099", "한글", "\u1112\u1161\u11ab\u1100\u1173\u11af", "", "--", "𝔘nicode", "Ⅷ"]
+    rng = random.Random(4)
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x500), rng.randrange(0x1E00, 0x3100), rng.randrange(0xAC00, 0xD7A3), rng.randrange(0xF900, 0xFFDC)])) for _ in range(12)) for _ in range(400)]
+    texts += [unicodedata.normalize("NFD", t) for t in texts] + [t.upper() for t in texts]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", formatting_copies.skeleton(F.col("t")).alias("s")).collect()
+    assert all(r.s == formatting_copies.letters(r.t) for r in got)
+
+
+def test_copies_in_other_scripts(spark):
+    pairs = [("がぎぐ情報", unicodedata.normalize("NFD", "がぎぐ情報")), ("한글 소식", unicodedata.normalize("NFD", "한글 소식")), ("ﬁle report", "FILE: report"), ("Étude | ßig", "SSIG - e\u0301tude")]
+    rows = [(2 * k + n, "Wire", t) for k, pair in enumerate(pairs) for n, t in enumerate(pair)]
+    got = formatting_copies.copy_groups(spark.createDataFrame(rows, "item_id int, source string, title string"))
+    assert {(r.keep, r["copy"]) for r in got.collect()} == {(2 * k, 2 * k + 1) for k in range(len(pairs))}
 
 
 @settings(max_examples=40, deadline=None)
