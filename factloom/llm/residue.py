@@ -29,13 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents that the models are fitted on, and the width of the hashed passage features.
-SAMPLE_DOCS = 8_000
+SAMPLE_DOCS = 12_000
 WIDTH = 1 << 16
 ROUNDS = 8
 #: Characters on either side of a place that hold its two neighbouring words.
 NEAR = 80
 #: Weight of the ordinary words' distribution in that of quoted placeholders.
 SMOOTHING = 2.0
+#: Share of the words of all passages in either class's distribution, and what is taken off each count: words that a class
+#: has once, or that no passage has, say next to nothing about it.
+BACKGROUND, DISCOUNT = 0.3, 1.0
+#: Log odds from which on a pair of words is clear evidence.
+CLEAR = 0.5
 #: Places masked in each ordinary sentence.
 MASKED = 3
 #: Words from which on a passage with an end mark is a sentence of content.
@@ -121,18 +126,20 @@ def _hash(word: str) -> int:
 
 
 def record_features(own: list[Passage]) -> set[int]:
-    """What a record lends to each of its passages: how many sentences it has, and the words of its short lines."""
-    short = {_hash("near:" + w) % WIDTH for p in own if not p.sentence and len(p.words) < 8 for w in p.words}
-    short.add(_hash(f"sentences:{min(3, sum(p.sentence for p in own))}") % WIDTH)
-    return short
+    """What a record lends to each of its passages: the words of its short lines."""
+    return {_hash("near:" + w) % WIDTH for p in own if not p.sentence and len(p.words) < 8 for w in p.words}
+
+
+def _pairs(passage: Passage) -> list[int]:
+    hashes = [_hash(w) for w in passage.words]
+    return [(a * 0x9E3779B1 + b) % WIDTH for a, b in zip(hashes, hashes[1:])]
 
 
 def _features(passage: Passage, around: set[int]) -> list[int]:
     if not passage.words:
         return []
-    hashes = [_hash(w) for w in passage.words]
-    out = {h % WIDTH for h in hashes}
-    out.update((a * 0x9E3779B1 + b) % WIDTH for a, b in zip(hashes, hashes[1:]))
+    out = {_hash(w) % WIDTH for w in passage.words}
+    out.update(_pairs(passage))
     out |= around if passage.sentence else around - {_hash("near:" + w) % WIDTH for w in passage.words}
     return sorted(out)
 
@@ -165,8 +172,13 @@ class Models:
     unknown: float = 0.0
 
     def error(self, passage: Passage, around: set[int]) -> bool:
+        """Whether a passage speaks for error more than for content, and not by a few everyday words alone: two words that
+        stand together must speak for it, or half of all its words, or wording that is trusted anyway."""
         f = _features(passage, around)
-        return bool(f) and self.bias + float(self.passage[f].sum()) > 0
+        if not f or self.bias + float(self.passage[f].sum()) <= 0:
+            return False
+        pairs, words = _pairs(passage), [_hash(w) % WIDTH for w in passage.words]
+        return not pairs or float(self.passage[pairs].max()) > CLEAR or float((self.passage[words] > CLEAR).mean()) >= 0.5 or is_trusted(passage)
 
     def left_over(self, context: tuple[str, ...]) -> bool:
         return sum(self.quoted.get(c, self.unknown) for c in context) <= 0
@@ -180,10 +192,10 @@ def _expectation_maximisation(trusted: list[list[int]], unlabelled: list[list[in
     w = np.zeros(len(rows))
     w[: len(trusted)] = 1.0
     log_odds, bias = np.zeros(WIDTH), -1.0
+    every = np.bincount(flat, minlength=WIDTH) + 1.0 / WIDTH
+    common = every / every.sum()
     for _ in range(ROUNDS):
-        one = np.bincount(flat, weights=w[of], minlength=WIDTH) + 0.05
-        zero = np.bincount(flat, weights=1 - w[of], minlength=WIDTH) + 0.05
-        log_odds = np.log(one / one.sum()) - np.log(zero / zero.sum())
+        log_odds = np.log(_distribution(flat, w[of], common)) - np.log(_distribution(flat, 1 - w[of], common))
         bias = float(np.log((w.sum() + 1) / (len(w) - w.sum() + 1)))
         score = bias + np.bincount(of, weights=log_odds[flat], minlength=len(rows))
         w = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
@@ -192,6 +204,13 @@ def _expectation_maximisation(trusted: list[list[int]], unlabelled: list[list[in
     return log_odds, bias
 
 
+def _distribution(flat: np.ndarray, weight: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """A class's features: its discounted counts with the distribution of both classes behind them. A feature that the
+    class hasn't is as likely as that background, in either class the same share, so size alone says nothing."""
+    held = np.maximum(np.bincount(flat, weights=weight, minlength=WIDTH) - DISCOUNT, 0.0)
+    return (1 - BACKGROUND) * held / max(held.sum(), 1e-9) + BACKGROUND * common
+
+
 def fit(texts: list[str]) -> Models:
     """Models from a sample of texts. Without trusted passages nothing is an error passage."""
     trusted, unlabelled, negative, ordinary, found = [], [], [], [], []
@@ -263,7 +282,6 @@ def excludes(models: Models, text: str | None) -> bool:
         full = marked and sum(1 for _ in itertools.islice(_WORD.finditer(p), CONTENT_WORDS)) == CONTENT_WORDS
         (sentences if full else others).append(p)
     around = {h for p in others if len(ws := _words(p)) < 8 for h in (_hash("near:" + w) % WIDTH for w in ws)}
-    around.add(_hash(f"sentences:{min(3, len(sentences))}") % WIDTH)
     error = functools.cache(lambda p: models.error(Passage.of(p), around))
     if all(map(error, sentences)) and any(map(error, own)):
         return True

@@ -116,6 +116,24 @@ def test_residue(spark):
     assert residue.score(empty).count() == 0 and residue.to_exclude(empty).count() == 0
 
 
+OTHER = [
+    "The harbour master closed the eastern quay after a crane failed. No one was hurt, and ferries will resume on Friday.", "Heavy rain flooded the lower town overnight.", "Our correspondent visited the bakery. Bread prices doubled in a month.",
+    "Parliament will vote tomorrow on the new fishing quotas. Two parties object.", "The museum opens at nine.", "Farmers expect a late harvest this year because of the cold spring. Yields may fall by a tenth. Cooperatives ask for aid.",
+    "She scored twice in the second half. The coach praised her patience.", "A lorry overturned near the bridge this morning.", "Lawyers for the miners filed an appeal. The court meets again in March. Both sides declined to comment.",
+]
+
+
+def test_short_real_texts_of_other_words_stay():
+    """Words that no passage of the sample had say nothing, whatever the length of the text."""
+    good, bad = texts(random.Random(9))
+    models = residue.fit(good + bad)
+    assert not any(residue.excludes(models, t) for t in OTHER)
+    assert not any(residue.excludes(models, s) for t in OTHER for s in t.split(". "))
+    assert all(residue.excludes(models, n) for n in NOTICE)
+    unseen = "qwy zxv plm bnk wrt ghj."
+    assert residue.decide(models, unseen)[0] == 0
+
+
 def test_gaps_and_passages():
     assert len(residue.gaps("a {{x}} b ${y} c [E2] d [12] e")) == 2
     assert residue.passages("<p>One two. Three!</p>\nFour") == ["One two.", "Three!", "Four"]
