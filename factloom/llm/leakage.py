@@ -1,19 +1,24 @@
 """Evaluation passages inside training text (problem 8).
 
 Latent semantic retrieval. Documents and items are cut into overlapping windows of words; a window is a TF-IDF vector over
-the items' vocabulary (weights from all documents). A randomised SVD, whose Gram matrix the executors add up, gives the
-latent space; windows are searched by cosine against the items' windows, and candidates are checked: the longest common
-run of words for passages taken over word for word, the longest common subsequence and the share of the item's telling
-words (its answer words) for paraphrases.
-
-Items come in blocks whose vocabulary is at most VOCABULARY words, so what is broadcast (the projection and the items'
-latent windows) has a fixed bound; documents are never gathered. A window of WINDOW words at every STEP contains every run
-of RUN words whole, and only windows with at least SUBSEQUENCE * RUN words of the vocabulary can hold one or a paraphrase.
+the items' word stems (weights from all documents). A randomised SVD, distributed, gives the latent space: a random test
+matrix is broadcast, every task multiplies its windows with it and back and adds up, the sums are added by executors, and
+the driver only ever holds a matrix of vocabulary x rank. Windows are searched by cosine against the items' windows, and
+candidates are checked: the longest common run of words for passages taken over word for word, the longest common
+subsequence and the share of the item's telling words (its answer words) for paraphrases. Runs have an exact way besides:
+what shares as many words with an item as a run has is checked at any cosine.
+
+The corpus is read once, whatever the number of items. Items come in blocks whose vocabulary is at most VOCABULARY stems,
+so what is broadcast for a block (test matrix, space, latent windows) has a fixed bound; documents are never gathered. A
+window of WINDOW words at every STEP contains every run of RUN words whole, and every stretch of WINDOW - STEP. Only
+windows are written that can pass a check: RUN words in a row that items have, or as many stems of telling words as the
+least answer needs.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +30,19 @@ from pyspark.sql import functions as F
 from factloom.durable import cut
 
 RUN = 12
-WINDOW, STEP = 24, 12
+WINDOW, STEP = 36, 12
+#: Words of an item's window for runs and for paraphrases, and the steps between them.
+ASKED = ((RUN, 3), (24, 6))
 VOCABULARY = 8192
-RANK = 768
-#: Cosine from which on a window can be a paraphrase (runs are looked for at any), and the share of a window's words and telling words for a paraphrase.
-COSINE = 0.3
-SUBSEQUENCE, ANSWER = 0.75, 0.75
+RANK, OVERSAMPLE, ROUNDS = 160, 16, 1
+#: Different words of all items together, which every task knows; more are refused.
+MOST_WORDS = 2_000_000
+#: Letters of a word's stem.
+STEM = 6
+#: Cosine from which on a window can be a paraphrase (runs are looked for at any), the share of an item window's telling
+#: stems in order and in any order, and how many it must have. Telling: in no more than this share of the items.
+COSINE, SUBSEQUENCE, ANSWER = 0.4, 0.6, 0.7
+LEAST_TELLING, TELLING_SHARE = 6, 0.04
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -63,185 +75,264 @@ def longest_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 @dataclass
-class Block:
-    """Items with their words as numbers, and the vocabulary."""
+class Asked:
+    """All items: their words and stems as numbers, and which stems tell."""
 
     ids: list
+    words: dict[str, int]
+    stems: dict[str, int]
+    runs: list[np.ndarray]
     sequences: list[np.ndarray]
-    vocabulary: dict[str, int]
+    telling: np.ndarray
 
 
-def blocks(items: list[tuple[object, str]]) -> list[Block]:
-    """Items in blocks of at most VOCABULARY different words; items without words are left out."""
-    out: list[Block] = []
+def read_items(items: list[tuple[object, str]]) -> Asked:
+    """Items without words are left out."""
+    out = Asked([], {}, {}, [], [], np.zeros(0, bool))
+    held: Counter = Counter()
     for ident, text in items:
         own = words(text)
-        if not own:
-            continue
-        if not out or len(out[-1].vocabulary.keys() | set(own)) > VOCABULARY and out[-1].ids:
-            out.append(Block([], [], {}))
-        v = out[-1].vocabulary
-        out[-1].ids.append(ident)
-        out[-1].sequences.append(np.array([v.setdefault(w, len(v)) for w in own], dtype=np.int64))
+        if own:
+            out.ids.append(ident)
+            out.runs.append(np.array([out.words.setdefault(w, len(out.words)) for w in own], dtype=np.int64))
+            out.sequences.append(np.array([out.stems.setdefault(w[:STEM], len(out.stems)) for w in own], dtype=np.int64))
+            held.update(set(out.sequences[-1].tolist()))
+    if len(out.words) > MOST_WORDS:
+        raise ValueError(f"{len(out.words)} different words in the items; split them into sets of at most {MOST_WORDS}")
+    out.telling = np.array([held[i] <= max(1, TELLING_SHARE * len(out.ids)) for i in range(len(out.stems))], dtype=bool)
     return out
 
 
-def _windows(seq: np.ndarray, size: int, step: int) -> list[tuple[int, np.ndarray]]:
+@dataclass
+class Block:
+    """Items whose stems fit a vocabulary: positions in Asked, and the stems' numbers there in order of their own."""
+
+    members: list[int]
+    stems: np.ndarray
+
+
+def blocks(asked: Asked) -> list[Block]:
+    out: list[tuple[list[int], dict[int, None]]] = []
+    for j, seq in enumerate(asked.sequences):
+        own = dict.fromkeys(seq.tolist())
+        if not out or len(out[-1][1].keys() | own.keys()) > VOCABULARY and out[-1][0]:
+            out.append(([], {}))
+        out[-1][0].append(j)
+        out[-1][1].update(own)
+    return [Block(members, np.array(sorted(stems), dtype=np.int64)) for members, stems in out]
+
+
+def _windows(seq: np.ndarray, size: int, step: int) -> list[np.ndarray]:
     last = max(0, len(seq) - size)
-    return [(i, seq[i : i + size]) for i in sorted({*range(0, last + 1, step), last})]
+    return [seq[i : i + size] for i in sorted({*range(0, last + 1, step), last})]
 
 
-def _document_windows(docs: DataFrame, ident: str, text: str, block: Block) -> DataFrame:
-    """Rows of windows (kind 0: ident, ids) and of document frequencies (kind 1: n documents hold word; word -1: all)."""
+def _document_windows(docs: DataFrame, ident: str, text: str, asked: Asked) -> DataFrame:
+    """Rows of windows (kind 0: ident, ids of words, stems) and of document frequencies (kind 1: n documents hold a stem;
+    stem -1: all)."""
     kind = docs.schema[ident].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(block.vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((asked.words, asked.stems, asked.telling))
+    need = int(np.ceil(ANSWER * LEAST_TELLING))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = shared.value
+        known, stems, telling = shared.value
         for b in batches:
-            df = np.zeros(len(v) + 1, np.int64)
-            owner, found = [], []
+            df = np.zeros(len(stems) + 1, np.int64)
+            owner, found, stemmed = [], [], []
             for ident_, t in zip(b[ident], b[text], strict=True):
-                seq = np.array([v.get(w, -1) for w in words(t)], dtype=np.int64)
-                df[np.unique(seq[seq >= 0])] += 1
+                own = words(t)
+                seq = np.array([known.get(w, -1) for w in own], dtype=np.int64)
+                stem = np.array([stems.get(w[:STEM], -1) for w in own], dtype=np.int64)
+                df[np.unique(stem[stem >= 0])] += 1
                 df[-1] += 1
-                known = np.concatenate([[0], np.cumsum(seq >= 0)])
-                for i in range(0, max(1, len(seq) - RUN + 1), STEP):
+                in_items = np.concatenate([[0], np.cumsum(seq >= 0)])
+                tells = np.concatenate([[0], np.cumsum((stem >= 0) & telling[stem])])
+                whole = np.concatenate([[0], np.cumsum(in_items[RUN:] - in_items[:-RUN] == RUN)]) if len(seq) >= RUN else None
+                for i in range(0, max(1, len(seq) - WINDOW + STEP), STEP):
                     end = min(len(seq), i + WINDOW)
-                    if known[end] - known[i] >= SUBSEQUENCE * RUN:
+                    if end - i >= RUN and whole[end - RUN + 1] > whole[i] or tells[end] - tells[i] >= need:
                         owner.append(ident_)
                         found.append(seq[i:end])
+                        stemmed.append(stem[i:end])
             if owner:
-                yield pd.DataFrame({"kind": 0, ident: pd.Series(owner, dtype=b[ident].dtype), "word": -2, "n": 0, "ids": found})
+                yield pd.DataFrame({"kind": 0, ident: pd.Series(owner, dtype=b[ident].dtype), "stem": -2, "n": 0, "ids": found, "stems": stemmed})
             some = np.nonzero(df)[0]
-            yield pd.DataFrame({"kind": 1, ident: pd.Series([None] * len(some), dtype=object), "word": np.where(some == len(v), -1, some), "n": df[some], "ids": None})
+            yield pd.DataFrame({"kind": 1, ident: pd.Series([None] * len(some), dtype=object), "stem": np.where(some == len(stems), -1, some), "n": df[some], "ids": None, "stems": None})
+
+    return docs.select(ident, text).mapInPandas(run, f"kind int, {ident} {kind}, stem int, n bigint, ids array<int>, stems array<int>")
+
+
+def _vectors(windows: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, weight) of the unit TF-IDF vectors of windows of the block's own stem numbers (-1: none)."""
+    lengths = np.array([len(w) for w in windows], dtype=np.int64)
+    flat, row = np.concatenate(windows) if len(windows) else np.zeros(0, np.int64), np.repeat(np.arange(len(windows)), lengths)
+    keep = flat >= 0
+    key, n = np.unique(row[keep] * len(idf) + flat[keep], return_counts=True)
+    row, word = key // len(idf), key % len(idf)
+    x = n * idf[word]
+    norm = np.sqrt(np.bincount(row, weights=x * x, minlength=len(windows)))
+    return row, word, (x / norm[row]).astype(np.float32)
 
-    return docs.select(ident, text).mapInPandas(run, f"kind int, {ident} {kind}, word int, n bigint, ids array<int>")
+
+def _times(row: np.ndarray, word: np.ndarray, x: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
+    """The windows' vectors times a matrix of stems x columns; rows in ascending order."""
+    out = np.zeros((n, matrix.shape[1]), np.float32)
+    if len(row):
+        first = np.nonzero(np.concatenate([[True], row[1:] != row[:-1]]))[0]
+        out[row[first]] = np.add.reduceat(matrix[word] * x[:, None], first, axis=0)
+    return out
+
+
+def _back(row: np.ndarray, word: np.ndarray, x: np.ndarray, y: np.ndarray, total: np.ndarray) -> None:
+    """Adds the transposed vectors times `y` to `total`."""
+    if len(row):
+        order = np.argsort(word, kind="stable")
+        first = np.nonzero(np.concatenate([[True], np.diff(word[order]) != 0]))[0]
+        total[word[order][first]] += np.add.reduceat(y[row[order]] * x[order, None], first, axis=0)
+
+
+#: Stems whose sums travel as one row.
+_CHUNK = 256
 
 
-def _gram(windows: DataFrame, idf: np.ndarray) -> list:
-    """(a, b, s): entries of the Gram matrix of the windows' unit TF-IDF vectors; bounded by the vocabulary."""
-    size = len(idf)
+def _local(stems: np.ndarray, lookup: np.ndarray) -> np.ndarray:
+    """Stems as the block's own numbers."""
+    return np.where(stems >= 0, lookup[stems], -1)
+
+
+def _gram_times(windows: DataFrame, lookup: np.ndarray, idf: np.ndarray, matrix: np.ndarray, extra: list[np.ndarray]) -> np.ndarray:
+    """The Gram matrix of the windows' vectors times `matrix`, without that Gram matrix: tasks multiply there and back,
+    executors add up. `extra`: windows of the items, added on the driver."""
+    size, columns = matrix.shape
+    shared = windows.sparkSession.sparkContext.broadcast((lookup, idf, matrix.astype(np.float32)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lookup_, idf_, m = shared.value
+        total = np.zeros((size, columns), np.float64)
         for b in batches:
-            keys, values = [], []
-            for ids in b["ids"]:
-                w, x = _vector(np.asarray(ids), idf)
-                keys.append((w[:, None] * size + w[None, :]).ravel())
-                values.append((x[:, None] * x[None, :]).ravel())
-            if keys:
-                key, at = np.unique(np.concatenate(keys), return_inverse=True)
-                yield pd.DataFrame({"a": key // size, "b": key % size, "s": np.bincount(at, weights=np.concatenate(values))})
-
-    return windows.select("ids").mapInPandas(run, "a bigint, b bigint, s double").groupBy("a", "b").agg(F.sum("s").alias("s")).toPandas().to_numpy()
-
-
-def _vector(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and their weights, of unit length, of a window's TF-IDF vector."""
-    w, n = np.unique(ids[ids >= 0], return_counts=True)
-    x = n * idf[w]
-    return w, x / np.sqrt((x * x).sum())
-
-
-def latent_space(gram: np.ndarray, rank: int, rounds: int = 2, seed: int = 7) -> np.ndarray:
-    """Leading right singular vectors of a matrix, from its Gram matrix by a randomised range finder."""
-    rank = min(rank, len(gram))
-    y = gram @ np.random.default_rng(seed).standard_normal((len(gram), rank), dtype=np.float32)
-    for _ in range(rounds):
-        y, _ = np.linalg.qr(gram @ np.linalg.qr(y)[0])
-    y, _ = np.linalg.qr(y)
-    inner = y.T @ (gram @ y)
+            for at in range(0, len(b), 1024):
+                own = [_local(np.asarray(w, dtype=np.int64), lookup_) for w in b["stems"].iloc[at : at + 1024]]
+                v = _vectors(own, idf_)
+                _back(*v, _times(*v, len(own), m), total)
+        parts = [(c, total[c * _CHUNK : (c + 1) * _CHUNK]) for c in range(-(-size // _CHUNK))]
+        yield pd.DataFrame([(c, p.astype(np.float32).tobytes()) for c, p in parts if p.any()], columns=["chunk", "v"])
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(v, np.float32).astype(np.float64) for v in part["v"]], axis=0)
+        return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "v": [total.astype(np.float32).tobytes()]})
+
+    # one partial sum a core, however many windows there are
+    parts = windows.select("stems").coalesce(max(1, windows.sparkSession.sparkContext.defaultParallelism)).mapInPandas(run, "chunk int, v binary")
+    out = np.zeros((size, columns), np.float64)
+    for r in parts.groupBy("chunk").applyInPandas(add, "chunk int, v binary").collect():  # vocabulary x rank numbers
+        rows = np.frombuffer(r.v, np.float32).reshape(-1, columns)
+        out[r.chunk * _CHUNK : r.chunk * _CHUNK + len(rows)] += rows
+    v = _vectors(extra, idf)
+    _back(*v, _times(*v, len(extra), matrix.astype(np.float32)), out)
+    return out
+
+
+def latent_space(windows: DataFrame, lookup: np.ndarray, idf: np.ndarray, extra: list[np.ndarray], rank: int = RANK, seed: int = 7) -> np.ndarray:
+    """Leading right singular vectors of the windows' matrix by a randomised range finder with ROUNDS power rounds."""
+    columns = min(rank + OVERSAMPLE, len(idf))
+    q = np.random.default_rng(seed).standard_normal((len(idf), columns))
+    for _ in range(ROUNDS + 1):
+        q, _r = np.linalg.qr(_gram_times(windows, lookup, idf, q, extra))
+    inner = q.T @ _gram_times(windows, lookup, idf, q, extra)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-    return (y @ vectors[:, ::-1])[:, values[::-1] > 1e-6].astype(np.float32)
+    keep = values[::-1][: min(rank, len(idf))] > 1e-6
+    return (q @ vectors[:, ::-1][:, : len(keep)][:, keep]).astype(np.float32)
 
 
 def _project(windows: list[np.ndarray], idf: np.ndarray, space: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(windows), space.shape[1]), np.float32)
-    for i, ids in enumerate(windows):
-        w, x = _vector(ids, idf)
-        out[i] = x.astype(np.float32) @ space[w]
+    out = _times(*_vectors(windows, idf), len(windows), space)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def search(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(ident, item, run, subsequence, answered, cosine) of the candidate documents and items that can be leaks, each pair once.
 
-    run: longest common run of words, 0 where too few words are shared for RUN; answered: share of an item window's
-    telling words that the document's window holds; subsequence: longest common subsequence over that window's words, 0
-    where too few are answered; both of the item's best window among those near enough, 0 if none is. Texts without words match nothing;
-    repeated documents give the same rows, once for an identifier. The items are the query set: they are read to the
-    driver and split into blocks of bounded vocabulary."""
+    run: longest common run of words, 0 where too few words are shared for RUN; answered and subsequence: shares of the
+    telling stems of an item's window that a document's window holds, in any order and in order, of the best window among
+    those near enough, 0 if none is. Texts without words match nothing; repeated documents give the same rows, once for
+    an identifier. The items are the query set: they are read to the driver, MOST_WORDS bounds their words."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[ident].dataType.simpleString(), items.schema[item].dataType.simpleString()
     schema = f"{ident} {kind}, {item} {item_kind}, run int, subsequence double, answered double, cosine double"
-    results = spark.createDataFrame([], schema)
-    for block in blocks([tuple(r) for r in items.select(item, item_text).orderBy(item).collect()]):
-        rows = cut(_document_windows(docs, ident, text, block), "leak-windows")
-        windows = rows.where("kind = 0").select(ident, "ids")
-        df = {r.word: r.n for r in rows.where("kind = 1").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # at most VOCABULARY + 1 rows
-        total = df.get(-1, 0)
-        idf = np.log((total + 1) / (np.array([df.get(i, 0) for i in range(len(block.vocabulary))]) + 1)) + 0.1
-        queries = [(i, w) for i, seq in enumerate(block.sequences) for _, w in _windows(seq, RUN, 3)]
-        gram = np.zeros((len(idf), len(idf)), np.float32)
-        for _, w in [*queries, *[(i, w) for i, seq in enumerate(block.sequences) for _, w in _windows(seq, WINDOW, STEP)]]:
-            at, x = _vector(w, idf)
-            gram[np.ix_(at, at)] += np.outer(x, x).astype(np.float32)
-        for a, b, s in _gram(windows, idf):
-            gram[int(a), int(b)] += s
-        space = latent_space(gram, RANK)
-        known = spark.sparkContext.broadcast((idf, space, _project([w for _, w in queries], idf, space), [i for i, _ in queries], [w for _, w in queries], block.ids, block.sequences))
-        results = results.unionByName(windows.mapInPandas(_searcher(known, ident, item), schema))
+    asked = read_items([tuple(r) for r in items.select(item, item_text).orderBy(item).collect()])
+    if not asked.ids:
+        return spark.createDataFrame([], schema)
+    rows = cut(_document_windows(docs, ident, text, asked), "leak-windows")
+    windows = rows.where("kind = 0").select(ident, "ids", "stems")
+    df = {r.stem: r.n for r in rows.where("kind = 1").groupBy("stem").agg(F.sum("n").alias("n")).collect()}  # the items' vocabulary
+    total = df.get(-1, 0)
+    results = None
+    for block in blocks(asked):
+        idf = np.log((total + 1) / (np.array([df.get(int(i), 0) for i in block.stems]) + 1)) + 0.1
+        lookup = np.full(len(asked.stems), -1, np.int64)
+        lookup[block.stems] = np.arange(len(block.stems))
+        own = [(j, k, w) for j in block.members for k, (size, step) in enumerate(ASKED) for w in _windows(asked.sequences[j], size, step)]
+        local = [_local(w, lookup) for _, _, w in own]
+        space = latent_space(windows, lookup, idf, local)
+        known = spark.sparkContext.broadcast((lookup, idf, space, _project(local, idf, space), [j for j, _, _ in own], local, asked.telling[block.stems], asked.ids, {j: asked.runs[j] for j in block.members}, len(asked.words)))
+        found = windows.mapInPandas(_searcher(known, ident, item), schema)
+        results = found if results is None else results.unionByName(found)
     best = F.max(F.struct("run", "subsequence", "answered", "cosine"))
     return results.groupBy(ident, item).agg(best.alias("_b"), F.max("subsequence").alias("subsequence"), F.max("answered").alias("answered")).select(ident, item, "_b.run", "subsequence", "answered", "_b.cosine")
 
 
 def _searcher(known, ident: str, item: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf, space, latent, of, asked, ids, sequences = known.value
+        lookup, idf, space, latent, of, asked, telling, ids, runs, n_words = known.value
         of = np.array(of)
-        starts = np.unique(of, return_index=True)[1]  # each item's windows stand together
-        telling = np.median(idf)
-        tells = np.zeros((len(idf), len(asked)), np.uint8)
-        for k, w in enumerate(asked):
-            tells[w[idf[w] >= telling], k] = 1
-        told = tells.sum(axis=0, dtype=np.int64)
-        holds = np.zeros((len(idf), len(ids)), np.int16)
-        for j, seq in enumerate(sequences):
-            holds[seq, j] = 1
+        members = np.array(sorted(runs))
+        starts = np.searchsorted(of, members)  # each item's windows stand together
+        tells = [w[telling[w]] for w in asked]
+        told = np.array([len(set(w.tolist())) for w in tells])
+        can = told >= LEAST_TELLING
+        # items that hold a word, by word
+        holders: list[list[int]] = [[] for _ in range(n_words)]
+        for k, j in enumerate(members):
+            for w in np.unique(runs[j]):
+                holders[w].append(k)
+        holders = [np.array(h, dtype=np.int64) for h in holders]
+        none = np.zeros(0, np.int64)
         for b in batches:
             out = []
             for at in range(0, len(b), 512):
                 part = b.iloc[at : at + 512]
-                windows = [np.asarray(x, dtype=np.int64) for x in part["ids"]]
-                # the words that a window shares with an item bound both the run and the subsequence
-                shared = np.stack([holds[w[w >= 0]].sum(axis=0) for w in windows])
-                able = np.nonzero(shared.max(axis=1) >= SUBSEQUENCE * RUN)[0]
-                if not len(able):
-                    continue
-                cosines = _project([windows[i] for i in able], idf, space) @ latent.T
+                stems = [_local(np.asarray(x, dtype=np.int64), lookup) for x in part["stems"]]
+                cosines = _project(stems, idf, space) @ latent.T
                 owners = part[ident].to_numpy()
-                for row, i in zip(cosines, able, strict=True):
-                    hits = np.nonzero((row >= COSINE) & (shared[i][of] >= SUBSEQUENCE * RUN))[0]
-                    runs = np.nonzero(shared[i] >= RUN)[0]  # what shares RUN words can hold a run, however far away it is
-                    held = np.unique(windows[i][windows[i] >= 0])
-                    answered = tells[np.ix_(held, hits)].sum(axis=0, dtype=np.int64) / np.maximum(told[hits], 1)
+                for n, (row, x) in enumerate(zip(cosines, part["ids"], strict=True)):
+                    seq = np.asarray(x, dtype=np.int64)
+                    hits = np.nonzero((row >= COSINE) & can)[0]
                     best: dict[int, tuple[float, float]] = {}
-                    for k, share in zip(hits[answered >= ANSWER], answered[answered >= ANSWER], strict=True):
-                        j, w = int(of[k]), asked[k]
-                        if np.isin(windows[i], w).sum() >= SUBSEQUENCE * len(w):
-                            best[j] = max(best.get(j, (0.0, 0.0)), (longest_subsequence(windows[i], w) / len(w), float(share)))
-                    nearest = np.maximum.reduceat(row, starts)
-                    for j in sorted({*runs.tolist(), *best}):
-                        run_ = longest_run(windows[i], sequences[j]) if shared[i][j] >= RUN else 0
-                        out.append((owners[i], ids[j], run_, *best.get(j, (0.0, 0.0)), float(nearest[j])))
+                    if len(hits):
+                        held = np.unique(stems[n][stems[n] >= 0])
+                        for k in hits.tolist():
+                            share = len(np.intersect1d(tells[k], held)) / told[k]
+                            if share >= ANSWER and (order := longest_subsequence(stems[n], tells[k]) / len(tells[k])) >= SUBSEQUENCE:
+                                best[int(of[k])] = max(best.get(int(of[k]), (0.0, 0.0)), (order, float(share)))
+                    # what shares RUN words with an item can hold a run, however far away it is
+                    exact: list[int] = []
+                    if "1" * RUN in "".join("1" if w >= 0 else "0" for w in x):
+                        # words count as often as they stand here, so repeats inside a run don't hide it
+                        places = np.concatenate([none, *[holders[w] for w in seq[seq >= 0]]])
+                        exact = members[np.nonzero(np.bincount(places, minlength=len(members)) >= RUN)[0]].tolist()
+                    if best or exact:
+                        nearest = np.maximum.reduceat(row, starts)
+                        for j in sorted({*exact, *best}):
+                            run_ = longest_run(seq, runs[j])
+                            if run_ >= RUN or j in best:
+                                out.append((owners[n], ids[j], run_ if run_ >= RUN else 0, *best.get(j, (0.0, 0.0)), float(nearest[np.searchsorted(members, j)])))
             yield pd.DataFrame(out, columns=[ident, item, "run", "subsequence", "answered", "cosine"])
 
     return run
 
 
 def leaks(found: DataFrame) -> DataFrame:
-    """Of search(): the pairs with a run of RUN words (exact), or with enough of a window's words in order and enough of
-    its telling words (paraphrase)."""
+    """Of search(): the pairs with a run of RUN words (exact), or with enough of a window's telling words, enough of them in
+    order (paraphrase)."""
     kind = F.when(F.col("run") >= RUN, "exact").when((F.col("subsequence") >= SUBSEQUENCE) & (F.col("answered") >= ANSWER), "paraphrase")
     return found.withColumn("kind", kind).where("kind is not null")

@@ -70,14 +70,57 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert leakage.search(d.limit(0), i).count() == 0 and leakage.search(d, i.limit(0)).count() == 0
 
 
-def test_paraphrase(spark):
-    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima mike november"
-    w = item.split()
-    swapped = " ".join(x if k not in (4, 9) else "and" for k, x in enumerate(w))
-    docs = spark.createDataFrame([(1, f"the {swapped} and more the and"), (2, "nothing of the kind and the like")], "doc_id int, text string")
-    items = spark.createDataFrame([(7, item), (8, "the and more like kind of nothing here whatever one two three and four")], "item_id int, text string")
-    found = {(r.doc_id, r.item_id, r.kind) for r in leakage.leaks(leakage.search(docs, items)).collect()}
-    assert (1, 7, "paraphrase") in found and not any(d == 2 and i == 7 for d, i, _ in found)
+def rewritten(rng, text):
+    """A rewording: small words changed, a quarter of the others replaced or inflected, the halves swapped now and then."""
+    out = []
+    for w in text.split():
+        if len(w) <= 3:
+            out += [rng.choice(["the", "of", "with", "that", "on"])] if rng.random() < 0.6 else []
+        elif rng.random() < 0.12:
+            out += ["otherwise"]
+        else:
+            out += [w + rng.choice(["", "", "s", "ed"]) if len(w) >= 6 else w]
+    if rng.random() < 0.3:
+        at = rng.randrange(2, 6)
+        out = out[at:] + ["and", *out[:at]]
+    return " ".join(out)
+
+
+def test_paraphrases_are_found(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(n))
+    pool = [word(rng.randrange(2, 5)) for _ in range(900)]
+    small = ["of", "the", "a", "in", "to", "for"]
+    sentence = lambda n: " ".join(rng.choice(small) if k % 3 == 1 else rng.choice(pool) for k in range(n))
+    items = [(i, sentence(26)) for i in range(60)]
+    docs = [(100 + i, f"{sentence(40)} {rewritten(rng, t)} {sentence(40)}") for i, t in items] + [(1000 + k, sentence(120)) for k in range(200)]
+    found = leakage.leaks(leakage.search(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    right = {(100 + i, i) for i, _ in items}
+    assert len(got & right) >= 0.9 * len(right) and len(got - right) <= 0.05 * len(right)
+
+
+def test_a_run_without_telling_words(spark):
+    """Common words only, repeated ones among them, still make a run."""
+    items = [(k, "the cat and the dog and the bird and the fish and the fox ran") for k in range(3)] + [(9, "another one with the words of its own that nobody else has at all today")]
+    docs = spark.createDataFrame([(1, "x y the cat and the dog and the bird and the fish and z"), (2, "the cat and the dog and the bird and the")], "doc_id int, text string")
+    found = leakage.leaks(leakage.search(docs, spark.createDataFrame(items, "item_id int, text string"))).where("kind = 'exact'")
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 0), (1, 1), (1, 2)}
+
+
+def test_latent_space_keeps_the_leading_directions(spark):
+    """Against a full decomposition of the same matrix."""
+    rng = np.random.default_rng(3)
+    topics = [rng.permutation(60)[:12] for _ in range(6)]
+    windows = [rng.choice(topics[k % 6], 10) for k in range(300)]
+    df = spark.createDataFrame([(w.tolist(),) for w in windows], "stems array<int>").repartition(3)
+    idf = np.linspace(1, 2, 60)
+    space = leakage.latent_space(df, np.arange(60), idf, [], rank=6)
+    row, col, x = leakage._vectors(windows, idf)
+    full = np.zeros((300, 60))
+    full[row, col] = x
+    best = np.linalg.svd(full)[1][:6]
+    assert np.linalg.norm(full @ space) >= 0.97 * np.sqrt((best**2).sum()) and np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-4)
 
 
 REAL = ["The port authority of Kimberg reported a drop in traffic.", "A former negotiator asked for more observers at the crossing.", "The river council suspended ferry services until further notice.", "An advisory published in Torgrad ordered a review of contracts.", "The customs office denied having lost contact with the convoy."]
