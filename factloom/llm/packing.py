@@ -10,6 +10,7 @@ from bucket counts alone; items find their container by their rank inside the bu
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,11 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CAPACITY = 2048
 BUCKETS = 96
-SALTS = 64
-#: Longer texts are tokenised in parts of about so many characters, cut before a blank.
+#: Pieces of a bucket that one task numbers.
+NUMBERED = 100_000
+#: Longer texts are tokenised in parts of at least so many characters.
 PART = 50_000
+_CUT = re.compile(r"\S(?= )")
 
 _encoders: dict[str, object] = {}
 
@@ -43,13 +46,13 @@ def _encoder(path: str):
 
 
 def parts(text: str, size: int = PART) -> Iterator[str]:
-    """`text` in parts of at most `size` characters, cut before a blank where there is one."""
+    """`text` in parts that have the tokens of the whole: cut only between a character that is no white space and a blank.
+    No alternative of PATTERN reaches over such a place or looks past it, so the pre-tokens, and with them the tokens, are
+    the same. A text without such a place stays whole."""
     at = 0
-    while len(text) - at > size:
-        end = text.rfind(" ", at + 1, at + size)
-        end = end if end > at else at + size
-        yield text[at:end]
-        at = end
+    while len(text) - at > size and (m := _CUT.search(text, at + size - 1)):
+        yield text[at : m.end()]
+        at = m.end()
     yield text[at:]
 
 
@@ -132,17 +135,27 @@ def pack(docs: DataFrame, ident: str = "doc_id", text: str = "text", capacity: i
     def bucket_of(n: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, n.to_numpy()))
 
-    salted = items.withColumns({"bucket": F.when(F.col("n_tokens") > 0, bucket_of("n_tokens")).otherwise(-1), "salt": F.pmod(F.xxhash64(ident, "piece"), F.lit(SALTS)).cast("int")})
-    held = {(r.bucket, r.salt): r.n for r in salted.groupBy("bucket", "salt").agg(F.count("*").alias("n")).collect()}  # at most buckets x SALTS rows
-    start = np.zeros((len(bounds) + 1, SALTS), np.int64)
-    for b in range(-1, len(bounds)):
-        start[b, 1:] = np.cumsum([held.get((b, s), 0) for s in range(SALTS - 1)])
+    # how many parts a bucket is numbered in grows with its pieces, so no task holds more than NUMBERED or so
+    salts = np.maximum(1, -(-in_bucket // NUMBERED))
+    first = np.concatenate([[0], np.cumsum(salts)])
+
+    @F.pandas_udf("int")
+    def salt_of(bucket: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series((h.to_numpy() % salts[bucket.to_numpy()]).astype(np.int32))
+
+    filled = items.where("n_tokens > 0").withColumn("bucket", bucket_of("n_tokens"))
+    salted = filled.withColumn("salt", salt_of("bucket", F.pmod(F.xxhash64(ident, "piece"), F.lit(1 << 40))))
+    held = np.zeros(first[-1] + 1, np.int64)
+    for r in salted.groupBy("bucket", "salt").agg(F.count("*").alias("n")).collect():  # at most pieces / NUMBERED + buckets rows
+        held[first[r.bucket] + r.salt + 1] = r.n
+    before = np.cumsum(held)
 
     @F.pandas_udf("bigint")
     def container_of(bucket: pd.Series, salt: pd.Series, nth: pd.Series) -> pd.Series:
         out = np.zeros(len(bucket), np.int64)
-        b, rank = bucket.to_numpy(), start[bucket.to_numpy(), salt.to_numpy()] + nth.to_numpy() - 1
-        for k in np.unique(b[b >= 0]):
+        b = bucket.to_numpy()
+        rank = before[first[b] + salt.to_numpy()] - before[first[b]] + nth.to_numpy() - 1
+        for k in np.unique(b):
             own, here = segments[segments.bucket == k], b == k
             at = np.searchsorted(own["rank"].to_numpy(), rank[here], side="right") - 1
             seg = own.iloc[at]
@@ -150,4 +163,5 @@ def pack(docs: DataFrame, ident: str = "doc_id", text: str = "text", capacity: i
         return pd.Series(out)
 
     nth = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy(ident, "piece"))
-    return salted.withColumn("_nth", nth).select(ident, "piece", "n_tokens", container_of("bucket", "salt", "_nth").alias("container_id"))
+    packed = salted.withColumn("_nth", nth).select(ident, "piece", "n_tokens", container_of("bucket", "salt", "_nth").alias("container_id"))
+    return packed.unionByName(items.where("n_tokens = 0").select(ident, "piece", "n_tokens", F.lit(0).cast("bigint").alias("container_id")))

@@ -96,6 +96,15 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
     return held.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.round(F.sum("tokens") / (F.count("*") * packing.CAPACITY), 4).alias("fill"))
 
 
+def p7_coverage(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that have a container, containers that hold too much, documents split without need, pieces lost."""
+    packed = cut(p7_containers(spark, root), "packed")
+    over = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > packing.CAPACITY).agg(F.count("*").alias("overfull"))
+    own = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.countDistinct("piece").alias("different"))
+    split = own.agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= packing.CAPACITY)).alias("split"), F.count_if(F.col("different") != F.greatest(F.lit(1), F.ceil(F.col("n") / packing.CAPACITY))).alias("lost"))
+    return split.crossJoin(over)  # one row each
+
+
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaks(leakage.search(table(spark, root, "documents"), table(spark, root, "eval_items")))
 
@@ -121,7 +130,7 @@ def p9_scores(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_languages, p3_segments, p5_found, p5_kept, p6_found, p6_collapsed, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_languages, p3_segments, p5_found, p5_kept, p6_found, p6_collapsed, p7_containers, p7_fill, p7_coverage, p8_found, p8_leaks, p9_found, p9_scores)}
 
 
 _RANKED = r"""
@@ -144,6 +153,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p6_found": f"WITH {_COPIES} SELECT keep AS keep_item_id, item_id AS copy_item_id FROM g WHERE item_id <> keep",
         "p6_collapsed": f"WITH {_COPIES} SELECT keep AS keep_item_id, count(*) AS copies FROM g GROUP BY keep HAVING count(*) > 1",
+        "p7_coverage": "SELECT count(DISTINCT doc_id) AS documents, 0 AS split, 0 AS lost, 0 AS overfull FROM documents",
         "p8_found": r"""WITH
             d AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents),
             i AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM eval_items),

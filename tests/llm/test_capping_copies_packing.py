@@ -116,6 +116,22 @@ def test_pack(spark):
     assert packing.pack(tokens.limit(0), tokens=tokens.limit(0)).count() == 0
 
 
+def test_pack_in_many_parts(spark, monkeypatch):
+    """A bucket of one size that holds nearly everything is numbered in parts."""
+    monkeypatch.setattr(packing, "NUMBERED", 7)
+    tokens = spark.createDataFrame([(i, 50 if i % 10 else 20) for i in range(400)], "doc_id bigint, n_tokens bigint")
+    out = packing.pack(tokens, capacity=50, buckets=4, tokens=tokens).toPandas()
+    assert out.groupby("container_id").n_tokens.sum().max() <= 50 and out.container_id.nunique() == 360 + 20
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab1.é \n\t'", max_size=80), st.integers(1, 9))
+def test_parts_have_the_tokens_of_the_whole(text, size):
+    enc = packing._encoder(packing.TOKENIZER)
+    parts = list(packing.parts(text, size))
+    assert "".join(parts) == text and [t for p in parts for t in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+
+
 def test_count_tokens(spark):
     long = "word " * 40_000 + "x" * 120_000
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|>"), (5, long)], "doc_id bigint, text string")
