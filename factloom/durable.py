@@ -1,14 +1,17 @@
 """Cutting lineage with tables in the folder that all executors share.
 
-The folder is the one the cluster names in spark.checkpoint.dir. Only where that is unset, as in tests, a folder of
-this machine is taken. Tables are removed when the process ends.
+The folder is the one the cluster names in spark.checkpoint.dir. Only where that is unset and everything runs on this
+machine, as in tests, a folder of it is taken; a cluster without a shared folder is refused. Tables are removed when the
+process ends, or earlier by clear() or at the end of a scope().
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="factloom-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
@@ -41,12 +46,25 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-@atexit.register
-def _remove() -> None:
-    for spark, path in _written:
+def clear(keep: int = 0) -> None:
+    """Removes the written tables but for the first `keep`. Only when nothing that was made of them is still to be read."""
+    while len(_written) > keep:
+        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # the session may be gone already; the cluster clears the folder then
             return
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """What is written inside goes at the end: for a query whose result has been written or read by then."""
+    start = len(_written)
+    try:
+        yield
+    finally:
+        clear(start)
+
+
+atexit.register(clear)

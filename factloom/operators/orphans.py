@@ -1,18 +1,23 @@
 """References to records that do not exist (problem 2), as an incrementally kept ledger.
 
-State lives in tables of the shared folder, one version for each applied batch:
+State lives in a folder of the shared file system:
 
-- keys: the parent index, one row per (target, key) that is alive;
-- refs: an append-only log of every reference seen;
-- pending: the references that wait for their parent.
+- keys: the parent index as deltas, one for each batch (target, key, alive), folded into one now and then;
+- refs: an append-only log of every reference seen, one part for each batch;
+- pending: the references that wait for their parent, written anew by each batch;
+- manifest: one small file for each applied batch, written last, that names the parts that count. A ledger opened on the
+  folder goes on from the newest manifest; what a broken batch left behind isn't named there and is overwritten.
 
-A batch costs what it brings plus what is pending: new references probe the parent index, arriving parents resolve
-waiting references, deletions reopen those in the log. All probes are equi-joins against distinct keys, so a key that a
-third of all references name stays one row on the index side and adaptive execution may split the other side.
+A batch writes what it brings and what is pending, never the index. New references probe the index, waiting ones only the
+batch's own arrivals, deletions only look into the log of the targets they touch. All probes are equi-joins, so a key that
+a third of all references name stays few rows on the index side and adaptive execution may split the other side.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,66 +25,103 @@ from factloom.durable import fresh_path
 
 REFERENCE = "ref_field string, target string, key string, doc_id string, entity_id string, at timestamp"
 KEY = "target string, key string"
+_COLUMNS = [c.split()[0] for c in REFERENCE.split(", ")]
+#: Deltas of the parent index that are read together before they are folded into one.
+DELTAS = 16
 
 
 class OrphanLedger:
     """Pending-orphan state over batches of references, arrivals and deletions.
 
     References with a null key wait for ever (no parent has a null key); drop them first if null means no reference.
-    Repeated references count once. An empty batch leaves the state as it is. A batch whose id was applied already is
-    skipped, so a replay after a failure changes nothing.
+    Repeated references count once, in whatever batches they come. An empty batch leaves the state as it is. A batch
+    whose id (a number or a text) was applied already is skipped, also after a restart, so a replay changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = path or fresh_path(spark, "ledger")
-        self.version = 0
-        self.applied: set[object] = set()
-        self._logs: list[str] = []
-
-    def _read(self, name: str, ddl: str) -> DataFrame:
-        if self.version == 0:
-            return self.spark.createDataFrame([], ddl)
-        return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}/v{self.version}")
+        newest = self._newest()
+        self.version: int = newest.get("version", 0)
+        self.applied: set[str] = set(newest.get("applied", []))
+        self._keys: list[str] = newest.get("keys", [])
+        self._logs: list[str] = newest.get("refs", [])
+        self._gone: bool = newest.get("gone", False)
+
+    def _hadoop(self):
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm
+
+    def _newest(self) -> dict:
+        folder, files, _ = self._hadoop()
+        if not files.exists(folder):
+            return {}
+        whole = [int(s.getPath().getName()[1:]) for s in files.listStatus(folder) if s.getPath().getName()[1:].isdigit() and files.exists(s.getPath().suffix("/_SUCCESS"))]
+        return json.loads(self.spark.read.text(f"{self.path}/manifest/v{max(whole)}").first()[0]) if whole else {}
+
+    def _commit(self, batch: object, version: int, keys: list[str], logs: list[str], gone: bool) -> None:
+        state = {"version": version, "applied": sorted({*self.applied, str(batch)}), "keys": keys, "refs": logs, "gone": gone}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/v{version}")
+        self.version, self.applied, self._keys, self._logs, self._gone = version, set(state["applied"]), keys, logs, gone
+
+    def _part(self, kind: str, name: str, ddl: str) -> DataFrame:
+        return self.spark.read.schema(ddl).parquet(f"{self.path}/{kind}/{name}")
 
     @property
     def pending(self) -> DataFrame:
-        return self._read("pending", REFERENCE)
+        return self._part("pending", f"v{self.version}", REFERENCE) if self.version else self.spark.createDataFrame([], REFERENCE)
+
+    def _alive(self, parts: list[str], gone: bool) -> DataFrame:
+        """Keys of the index; repeated where no delta deletes anything."""
+        if not parts:
+            return self.spark.createDataFrame([], KEY)
+        own = reduce(DataFrame.unionByName, [self._part("keys", n, f"{KEY}, alive boolean").withColumn("_v", F.lit(i)) for i, n in enumerate(parts)])
+        if not gone:
+            return own.select("target", "key")
+        return own.groupBy("target", "key").agg(F.max_by("alive", F.struct("_v", ~F.col("alive"))).alias("_alive")).where("_alive").select("target", "key")
 
     @property
     def keys(self) -> DataFrame:
-        return self._read("keys", KEY)
+        return self._alive(self._keys, self._gone).distinct()
 
     @property
     def refs(self) -> DataFrame:
-        return self.spark.read.schema(REFERENCE).parquet(*self._logs) if self._logs else self.spark.createDataFrame([], REFERENCE)
+        return self._read_logs(self._logs)
+
+    def _read_logs(self, logs: list[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self._part("refs", n, REFERENCE) for n in logs]) if logs else self.spark.createDataFrame([], REFERENCE)
 
     def apply(self, batch: object, refs: DataFrame | None = None, arrived: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
         """One batch. `arrived` and `deleted`: (target, key); a key in both is gone afterwards."""
-        if batch in self.applied:
+        if str(batch) in self.applied:
             return
-        nxt = f"v{self.version + 1}"
-        keys = self.keys
-        if arrived is not None:
-            arrived = arrived.select("target", "key").where("key is not null")
-            keys = keys.unionByName(arrived).distinct()
-        if deleted is not None:
-            deleted = deleted.select("target", "key").distinct()
-            keys = keys.join(deleted, ["target", "key"], "left_anti")
-        keys.write.parquet(f"{self.path}/keys/{nxt}")
-        alive = self.spark.read.schema(KEY).parquet(f"{self.path}/keys/{nxt}")
+        version = self.version + 1
+        name, parts, logs, gone = f"v{version}", list(self._keys), list(self._logs), self._gone or deleted is not None
+        changes = [d.select("target", "key", F.lit(alive).alias("alive")).where("key is not null") for d, alive in ((arrived, True), (deleted, False)) if d is not None]
+        own_arrivals = None
+        if changes:
+            reduce(DataFrame.unionByName, changes).write.mode("overwrite").parquet(f"{self.path}/keys/{name}")
+            parts.append(name)
+            own_arrivals = self._alive([name], deleted is not None)
         waiting = self.pending
+        if own_arrivals is not None and self.version:
+            waiting = waiting.join(own_arrivals, ["target", "key"], "left_anti")
         if refs is not None:
-            log = f"{self.path}/refs/{nxt}"
-            refs.select(*[c.split()[0] for c in REFERENCE.split(", ")]).distinct().write.parquet(log)
-            waiting = waiting.unionByName(self.spark.read.schema(REFERENCE).parquet(log))
+            refs.select(*_COLUMNS).write.mode("overwrite").parquet(f"{self.path}/refs/{name}")
+            logs.append(name)
+            new = self._part("refs", name, REFERENCE).join(self._alive(parts, gone), ["target", "key"], "left_anti").select(*_COLUMNS)
+            waiting = waiting.select(*_COLUMNS).unionByName(new)
         if deleted is not None:
-            waiting = waiting.unionByName(self.refs.join(deleted, ["target", "key"], "left_semi")).distinct()
-        if refs is not None:
-            self._logs.append(log)
-        waiting.join(alive, ["target", "key"], "left_anti").select(*[c.split()[0] for c in REFERENCE.split(", ")]).write.parquet(f"{self.path}/pending/{nxt}")
-        self.version += 1
-        self.applied.add(batch)
+            lost = self._part("keys", name, f"{KEY}, alive boolean").where("not alive").select("target", "key").distinct()
+            targets = [r.target for r in lost.select("target").distinct().collect()]  # names of tables
+            reopened = self._read_logs(self._logs).where(F.col("target").isin(targets)).join(lost, ["target", "key"], "left_semi")
+            waiting = waiting.select(*_COLUMNS).unionByName(reopened.select(*_COLUMNS))
+        waiting.select(*_COLUMNS).distinct().write.mode("overwrite").parquet(f"{self.path}/pending/{name}")
+        if len(parts) > DELTAS:
+            self._alive(parts, gone).distinct().withColumn("alive", F.lit(True)).write.mode("overwrite").parquet(f"{self.path}/keys/{name}-all")
+            parts, gone = [f"{name}-all"], False
+        self._commit(batch, version, parts, logs, gone)
 
     def snapshot(self) -> DataFrame:
         """Pending references by table, field and month of the reference."""

@@ -14,10 +14,10 @@ def ingest(stream: DataFrame, table: str, checkpoint: str, order: str = "ingeste
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(table).select("doc_id")
-        except Exception:  # no table yet
-            stored = batch.select("doc_id").limit(0)
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+        # only a missing table counts as empty: any other failure to read it ends the batch, which then runs again
+        there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        stored = spark.read.parquet(table).select("doc_id") if there else batch.select("doc_id").limit(0)
         fresh, _counts = persist.persist(batch, stored, F.col(order))
         fresh.write.mode("append").parquet(table)
 

@@ -48,6 +48,39 @@ def test_random_batches(spark):
         assert sorted((r.key, r.doc_id) for r in ledger.pending.collect()) == sorted(x for x in seen if x[0] not in alive)
 
 
+def test_a_reference_of_two_batches_counts_once(spark):
+    ledger = orphans.OrphanLedger(spark)
+    ledger.apply(1, refs=refs(spark, ["x", "y"]))
+    ledger.apply(2, refs=refs(spark, ["x", "y"]))
+    assert pending(ledger) == ["x", "y"] and ledger.snapshot().first().orphans == 2
+    ledger.apply(3, arrived=keys(spark, ["x"]))
+    ledger.apply(4, refs=refs(spark, ["x", "y"]), deleted=keys(spark, ["x"]))
+    assert pending(ledger) == ["x", "y"]
+
+
+def test_a_reopened_ledger_goes_on(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    orphans.OrphanLedger(spark, path).apply("a", refs=refs(spark, ["x", "y"]), arrived=keys(spark, ["z"]))
+    # a broken batch: data without a manifest
+    refs(spark, ["lost"]).write.parquet(f"{path}/refs/v2")
+    again = orphans.OrphanLedger(spark, path)
+    assert pending(again) == ["x", "y"] and again.version == 1
+    again.apply("a", refs=refs(spark, ["w"]))
+    assert pending(again) == ["x", "y"]
+    again.apply("b", refs=refs(spark, ["z"]), arrived=keys(spark, ["y"]), deleted=keys(spark, ["z"]))
+    assert pending(orphans.OrphanLedger(spark, path)) == ["x", "z"] and orphans.OrphanLedger(spark, path).refs.count() == 3
+
+
+def test_folded_index(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "DELTAS", 2)
+    ledger = orphans.OrphanLedger(spark)
+    for n, (come, go) in enumerate([(["a"], ["q"]), (["b"], ["a"]), (["c"], []), (["a"], ["b"]), (["d"], [])]):
+        ledger.apply(n, arrived=keys(spark, come), deleted=keys(spark, go) if go else None)
+    assert sorted(r.key for r in ledger.keys.collect()) == ["a", "c", "d"] and len(ledger._keys) <= 2
+    ledger.apply("probe", refs=refs(spark, ["a", "b", "c", "d"]))
+    assert pending(ledger) == ["b"]
+
+
 def test_corpus(spark):
     at = datetime(2025, 2, 3)
     articles = spark.createDataFrame([("d1", " Wire ", at, 1), ("d2", "  ", at, 1), ("d3", None, at, 1), ("d4", "ghost", None, 1)], "doc_id string, source string, ingested_at timestamp, n int")
