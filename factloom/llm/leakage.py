@@ -290,6 +290,9 @@ def _searcher(known, ident: str, item: str):
         tells = [w[telling[w]] for w in asked]
         told = np.array([len(set(w.tolist())) for w in tells])
         can = told >= LEAST_TELLING
+        answers = np.zeros((len(idf), len(asked)), np.uint8)
+        for k, t in enumerate(tells):
+            answers[t, k] = 1
         # items that hold a word, by word
         holders: list[list[int]] = [[] for _ in range(n_words)]
         for k, j in enumerate(members):
@@ -310,10 +313,10 @@ def _searcher(known, ident: str, item: str):
                     best: dict[int, tuple[float, float]] = {}
                     if len(hits):
                         held = np.unique(stems[n][stems[n] >= 0])
-                        for k in hits.tolist():
-                            share = len(np.intersect1d(tells[k], held)) / told[k]
-                            if share >= ANSWER and (order := longest_subsequence(stems[n], tells[k]) / len(tells[k])) >= SUBSEQUENCE:
-                                best[int(of[k])] = max(best.get(int(of[k]), (0.0, 0.0)), (order, float(share)))
+                        shares = answers[held][:, hits].sum(axis=0, dtype=np.int64) / told[hits]
+                        for k, share in zip(hits[shares >= ANSWER].tolist(), shares[shares >= ANSWER].tolist(), strict=True):
+                            if (order := longest_subsequence(stems[n], tells[k]) / len(tells[k])) >= SUBSEQUENCE:
+                                best[int(of[k])] = max(best.get(int(of[k]), (0.0, 0.0)), (order, share))
                     # what shares RUN words with an item can hold a run, however far away it is
                     exact: list[int] = []
                     if "1" * RUN in "".join("1" if w >= 0 else "0" for w in x):
