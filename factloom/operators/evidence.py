@@ -8,6 +8,8 @@ rest go through a grouped map, with nothing but positions and times.
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +24,19 @@ EPISODE_SECONDS = R.EPISODE_MINUTES * 60
 
 
 def iso_seconds(published: Column) -> Column:
-    """Seconds since 1970 of an ISO date or date-time (no zone: UTC), with fractions; null for anything else."""
-    iso = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
-    whole = F.regexp_replace(F.regexp_replace(published, " ", "T"), r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
-    whole = F.regexp_replace(whole, r"(T\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})?$", "$1:00$2")
-    zoned = F.when(whole.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), F.regexp_replace(whole, r"([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(F.concat(whole, F.lit("Z")))
-    return F.when(published.rlike(iso), F.unix_micros(F.try_to_timestamp(zoned)) / 1e6)
+    """Seconds since 1970 of an ISO date or date-time, with or without dashes and colons, with fractions (no zone: UTC);
+    null for anything else."""
+    iso = r"^(\d{4})-?(\d{2})-?(\d{2})(?:[Tt ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+    # dashes in a date stand at both places or at none, colons likewise
+    even = published.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{8})([Tt ]|$)") & ~published.rlike(r"[Tt ]\d{2}(:\d{2}\d|\d{2}:)")
+    parts = F.split(F.regexp_replace(published, iso, "$1-$2-$3|$4|$5|$6|$7|$8"), r"\|")
+    two = lambda i: F.when(parts[i] == "", "00").otherwise(parts[i])
+    whole = F.unix_seconds(F.try_to_timestamp(F.concat(parts[0], F.lit("T"), two(1), F.lit(":"), two(2), F.lit(":"), two(3), F.lit("Z"))))
+    fraction = F.when(parts[4] == "", 0).otherwise(F.rpad(F.substring(parts[4], 1, 6), 6, "0").try_cast("int")) / 1e6
+    digits = F.regexp_replace(parts[5], "[^0-9]", "")
+    east = (F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))) * 60
+    offset = F.when(digits == "", 0).when(parts[5].startswith("-"), -east).otherwise(east)
+    return F.when(published.rlike(iso) & even, whole + fraction - offset)
 
 
 def identity(source: Column, title: Column) -> Column:
@@ -50,35 +59,41 @@ def clusters(rows: DataFrame, window: float = EPISODE_SECONDS) -> DataFrame:
 
     def greedy(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
-        found: list[tuple[list[float], int]] = []
+        # members of all clusters in order of time, each with its cluster's number: those within the window are a slice
+        times: list[float] = []
+        owner: list[int] = []
+        firsts: list[int] = []
         slots = []
         for pos, at in zip(part["pos"], part["at"], strict=True):
-            hit = next((c for c in found if any(abs(at - t) <= window for t in c[0])), None)
-            if hit is None:
-                found.append(([at], pos))
-                slots.append(pos)
-            else:
-                hit[0].append(at)
-                slots.append(hit[1])
+            near = owner[bisect.bisect_left(times, at - window) : bisect.bisect_right(times, at + window)]
+            hit = min(near, default=len(firsts))
+            if hit == len(firsts):
+                firsts.append(pos)
+            k = bisect.bisect_right(times, at)
+            times.insert(k, at)
+            owner.insert(k, hit)
+            slots.append(firsts[hit])
         return pd.DataFrame({"pos": part["pos"], "slot": slots})
 
     hard = joined.where(F.col("_span") > window).select("ident", "_session", "pos", "at").groupBy("ident", "_session").applyInPandas(greedy, "pos bigint, slot bigint")
     return loose.unionByName(simple).unionByName(hard)
 
 
-def deduplicate(items: DataFrame, pos: str = "pos") -> DataFrame:
+def deduplicate(items: DataFrame, pos: str = "pos", by: str | None = None) -> DataFrame:
     """Evidence items in order of `pos` (distinct), each record and each episode of a source once.
 
     Items of one doc_id are one; of the rest, items of one source and title within the window are. The richest item
     (longest summary, an address, a time; the first of equals) stands in its episode's first place. Items without a
-    usable time are only collapsed by doc_id; a null doc_id is equal to none."""
+    usable time are only collapsed by doc_id; a null doc_id is equal to none. With `by`, items of different values of that
+    column are never one."""
+    part = F.concat(F.coalesce(F.col(by).cast("string"), F.lit("")), F.lit("\x1d")) if by else F.lit("")
     ranked = items.withColumn("_pos", F.col(pos).cast("bigint"))
     detail = F.struct(F.length(F.coalesce("summary", F.lit(""))), F.col("url").isNotNull(), F.col("published").isNotNull(), -F.col("_pos"))
-    owner = F.coalesce(F.col("doc_id"), F.concat(F.lit("\x1f"), F.col("_pos").cast("string")))
-    ranked = ranked.withColumn("_owner", owner)
-    firsts = ranked.groupBy("_owner").agg(F.min("_pos").alias("_first"), F.min_by(F.struct("source", "title", "published"), "_pos").alias("_f"))
+    owner = F.concat(part, F.coalesce(F.col("doc_id"), F.concat(F.lit("\x1f"), F.col("_pos").cast("string"))))
+    ranked = ranked.withColumn("_owner", owner).withColumn("_part", part)
+    firsts = ranked.groupBy("_owner").agg(F.min("_pos").alias("_first"), F.min_by(F.struct("source", "title", "published", "_part"), "_pos").alias("_f"))
     firsts = durable.cut(firsts, "firsts")
-    rows = firsts.select(F.col("_first").alias("pos"), identity(F.col("_f.source"), F.col("_f.title")).alias("ident"), iso_seconds(F.col("_f.published")).alias("at"))
+    rows = firsts.select(F.col("_first").alias("pos"), F.concat(F.col("_f._part"), identity(F.col("_f.source"), F.col("_f.title"))).alias("ident"), iso_seconds(F.col("_f.published")).alias("at"))
     slot = clusters(rows).withColumnRenamed("pos", "_first")
     placed = ranked.join(firsts.select("_owner", "_first"), "_owner").join(slot, "_first")
     best = placed.groupBy("slot").agg(F.max_by(F.struct(*items.columns), detail).alias("_r"))

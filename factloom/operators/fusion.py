@@ -22,35 +22,39 @@ def lanes(query: Column, names: Mapping[str, list[str]] = R.LANE_NAMES) -> Colum
     subject = text.subject_tokens(q)
     both = F.array_union(subject, F.transform(F.filter(subject, lambda t: t.endswith("s")), lambda t: F.regexp_replace(t, "s$", "")))
     touched = F.filter(everything, lambda lane: (lane == "osint") | F.coalesce(*[F.when(lane == n, F.arrays_overlap(both, text.words(*w))) for n, w in R.LANE_WORDS.items()], F.lit(False)))
-    return F.when(q.rlike(R.ALL_SOURCE), everything).when(F.size(named) > 0, named).when(F.size(subject) == 0, everything).otherwise(touched)
+    return F.when(text.asks_all_sources(q), everything).when(F.size(named) > 0, named).when(F.size(subject) == 0, everything).otherwise(touched)
 
 
 def reason(query: Column, names: Mapping[str, list[str]] = R.LANE_NAMES) -> Column:
     """Which of the four rules decided."""
     q = text.text_or_empty(query)
     named = q.rlike("(?i)" + "|".join(p for ps in names.values() for p in ps))
-    return F.when(q.rlike(R.ALL_SOURCE), "all sources asked for").when(named, "named lanes").when(F.size(text.subject_tokens(q)) == 0, "no subject").otherwise("open sources and lanes whose words occur")
+    return F.when(text.asks_all_sources(q), "all sources asked for").when(named, "named lanes").when(F.size(text.subject_tokens(q)) == 0, "no subject").otherwise("open sources and lanes whose words occur")
 
 
-def interleave(items: DataFrame, pos: str = "pos", lane: str = "lane") -> DataFrame:
-    """Items (lane, pos, …) with `pos` renumbered so that the lanes take turns, in lane order."""
-    order = F.coalesce(*[F.when(F.col(lane) == n, F.lit(i)) for i, n in enumerate(R.LANES)], F.lit(len(R.LANES)))
-    return intervals.row_numbers(items, lane, pos, "_turn").withColumn("_lane", order).withColumn(pos, (F.col("_turn") * (len(R.LANES) + 1) + F.col("_lane")).cast("bigint")).drop("_turn", "_lane")
+def _lane_number(lane: str = "lane") -> Column:
+    return F.coalesce(*[F.when(F.col(lane) == n, F.lit(i)) for i, n in enumerate(R.LANES)], F.lit(len(R.LANES)))
+
+
+def interleave(items: DataFrame, pos: str = "pos", lane: str = "lane", limits: Mapping[str, int] | None = None) -> DataFrame:
+    """Items (lane, pos, …) with `pos` renumbered so that the lanes take turns, in lane order; of a lane with a limit only
+    its first so many."""
+    numbered = intervals.row_numbers(items, lane, pos, "_turn")
+    for name, most in (limits or {}).items():
+        numbered = numbered.where((F.col(lane) != name) | (F.col("_turn") <= most))
+    return numbered.withColumn(pos, (F.col("_turn") * (len(R.LANES) + 1) + _lane_number(lane)).cast("bigint")).drop("_turn")
 
 
 def fuse(by_lane: Mapping[str, DataFrame], limits: Mapping[str, int] | None = None) -> DataFrame:
-    """The routed lanes' evidence: each deduplicated and limited, taken in turns, deduplicated across lanes."""
-    parts = []
-    for lane in R.LANES:
-        if lane in by_lane:
-            one = evidence.deduplicate(by_lane[lane])
-            if limits and lane in limits:
-                one = one.orderBy("pos").limit(limits[lane])
-            parts.append(one.withColumn("lane", F.lit(lane)))
+    """The routed lanes' evidence: each deduplicated and limited, taken in turns, deduplicated across lanes. All lanes go
+    through each step together, their name being part of what has to be equal."""
+    parts = [by_lane[lane].withColumn("lane", F.lit(lane)) for lane in R.LANES if lane in by_lane]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p, allowMissingColumns=True)
-    return evidence.deduplicate(durable.cut(interleave(union), "lanes"))
+    apart = union.withColumn("pos", (F.col("pos") * (len(R.LANES) + 1) + _lane_number()).cast("bigint"))
+    own = evidence.deduplicate(apart, by="lane")
+    return evidence.deduplicate(durable.cut(interleave(own, limits=limits), "lanes"))
 
 
 def gather(spark, question: str, fetch: Mapping[str, Callable[[str], DataFrame]], limits: Mapping[str, int] | None = None) -> tuple[DataFrame, list[str]]:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def last_of_batch(batch: DataFrame, key: str, order: Column) -> DataFrame:
-    """One row per key, the last by `order`; rows without key are left out. Ties in order keep any one of them."""
+    """One row per key, the last by `order`; rows without key are left out. Of ties in order the one whose values hash
+    highest stays, so a second run keeps the same."""
     rows = batch.where(F.col(key).isNotNull())
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("_r")).select("_r.*")
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(order, F.xxhash64(*plain))).alias("_r")).select("_r.*")
 
 
 def new_rows(batch: DataFrame, existing: DataFrame, key: str) -> DataFrame:

@@ -2,24 +2,55 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom import registries as R
+from factloom.durable import cut
 from factloom.functions import grades, vectors
 from factloom.operators import intervals
 
 
+#: Members of an event that one task compares with as many others.
+BLOCK = 1000
+
+
 def divergence(members: DataFrame, key: str, ident: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """(key, divergence): one less the smallest cosine of two members, between 0 and 1; 0 for a single member.
-
-    Pairs of one key by equi-join with a residual order; vectors without length have cosine 0 with all."""
-    m = members.select(key, F.col(ident).alias("_a"), F.col(vector).alias("_va"))
-    pairs = m.join(m.select(key, F.col("_a").alias("_b"), F.col("_va").alias("_vb")), key).where("_a < _b")
-    low = pairs.groupBy(key).agg(F.min(vectors.cosine(F.col("_va"), F.col("_vb"))).alias("_low"))
-    spread = F.when(F.col("_low").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("_low"))))
-    return members.select(key).distinct().join(low, key, "left").select(key, spread.alias("divergence"))
+    """(key, divergence): one less the smallest cosine of two members, between 0 and 1; 0 for a single member. Vectors
+    without length have cosine 0 with all. Members without a vector take no part; vectors of one key have one length.
+
+    Angles are a metric. The member farthest from the centroid and the one farthest from it give a first large angle; two
+    members whose angles to the centroid add up to no more can't be farther apart. What is left, mostly few, is compared in
+    blocks by matrix products, so no row is made for a pair and no task holds an event."""
+    rows = members.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("k"), F.col(ident).alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("v")).distinct()
+    rows = cut(rows.withColumn("n", F.sqrt(vectors.dot(F.col("v"), F.col("v")))), "framing")
+    flat = rows.groupBy("k").agg(F.count("*").alias("_all"), F.count_if(F.col("n") == 0).alias("_flat"))
+    unit = rows.where("n > 0").select("k", "i", F.transform("v", lambda x: F.try_divide(x, F.col("n"))).alias("v"))
+    centre = vectors.centroids(unit, "k", "v").withColumnRenamed("centroid", "c")
+    angle = lambda a, b: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vectors.cosine(F.col(a), F.col(b)))))
+    placed = cut(unit.join(centre, "k").withColumn("t", angle("v", "c")).drop("c"), "framing-angles")
+    start = placed.groupBy("k").agg(F.max_by("v", F.struct("t", "i")).alias("a"), F.max("t").alias("most"))
+    first = placed.join(start, "k").withColumn("d", angle("v", "a")).groupBy("k").agg(F.max("d").alias("known"), F.first("most").alias("most"))
+    left = placed.join(first, "k").where(F.col("t") + F.col("most") >= F.col("known") - 1e-9)
+    sizes = left.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = left.join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    meeting = dealt.select("*", other).select("k", "v", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        m, own = np.stack(part["v"].to_list()), part["own"].to_numpy()
+        a, b = m[own == part["p"].iloc[0]], m[own == part["q"].iloc[0]]
+        return pd.DataFrame({"k": part["k"].iloc[:1], "low": [float((a @ b.T).min()) if len(a) and len(b) else 1.0]})
+
+    kind = members.schema[key].dataType.simpleString()
+    low = meeting.groupBy("k", "p", "q").applyInPandas(compare, f"k {kind}, low double").groupBy("k").agg(F.min("low").alias("low"))
+    found = flat.join(low, "k", "left").withColumn("low", F.when((F.col("_flat") > 0) & (F.col("_all") > 1), F.least(F.coalesce("low", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("low")))
+    spread = F.when(F.col("_all") > 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("low")))).otherwise(0.0)
+    per = found.select(F.col("k").alias(key), spread.alias("divergence"))
+    return members.select(key).distinct().join(per, key, "left").select(key, F.coalesce("divergence", F.lit(0.0)).alias("divergence"))
 
 
 def event_view(membership: DataFrame, docs: DataFrame) -> DataFrame:

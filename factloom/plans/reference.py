@@ -14,6 +14,7 @@ from factloom import registries as R
 from factloom import schemas
 from factloom.functions import grades, text, vectors
 from factloom.operators import assess, briefs, clustering, entities, evaluate, evidence, export, fusion, intervals, orphans, persist, retrieval, timestamps, views
+from factloom.plans import problems
 from factloom.session import table
 from factloom.sources import feeds, pages
 
@@ -40,9 +41,12 @@ def docs(spark: SparkSession, root: str) -> DataFrame:
     return timed.withColumn("published_at", F.timestamp_micros("published_at")).withColumn("source_key", timestamps.label_key(F.col("source")))
 
 
-DOCS = r"""docs AS (SELECT *, CASE WHEN regexp_full_match(published, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z') THEN try_strptime(published, '%Y-%m-%dT%H:%M:%SZ') END AS published_at,
-  nullif(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '') AS source_key
+DOCS = r"""docs AS (SELECT *, nullif(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '') AS source_key
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ingested_at DESC) AS rn FROM articles) WHERE rn = 1)"""
+#: The same with the instant of every spelling of the published time.
+TIMED = problems._instants() + r""", docs AS (SELECT a.*, make_timestamp(f.utc_micros) AS published_at, nullif(lower(regexp_replace(a.source, '^\s+|\s+$', '', 'g')), '') AS source_key
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ingested_at DESC) AS rn FROM articles) a
+  LEFT JOIN (SELECT DISTINCT record_key, published, utc_micros FROM found WHERE table_name = 'articles' AND utc_micros IS NOT NULL) f ON f.record_key = a.doc_id AND f.published = a.published WHERE rn = 1)"""
 
 
 def graded(spark: SparkSession, root: str) -> DataFrame:
@@ -51,7 +55,9 @@ def graded(spark: SparkSession, root: str) -> DataFrame:
     return docs(spark, root).join(grade, "source_key", "left").withColumn("reliability", F.coalesce("grade", F.lit("F")))
 
 
-GRADED = DOCS + """, graded AS (SELECT d.*, s.name, coalesce(s.reliability, 'F') AS reliability FROM docs d LEFT JOIN sources s ON d.source_key = lower(s.label))"""
+_GRADED = """, graded AS (SELECT d.*, s.name, coalesce(s.reliability, 'F') AS reliability FROM docs d LEFT JOIN sources s ON d.source_key = lower(s.label))"""
+GRADED = DOCS + _GRADED
+TIMED_GRADED = TIMED + _GRADED
 
 
 def vdocs(spark: SparkSession, root: str) -> DataFrame:
@@ -94,11 +100,11 @@ def sql_list(words) -> str:
 
 # ---- sources
 
-@op(r"""SELECT lower(a.source) || ':' || sha256(url)[:24] AS doc_id, lower(a.source) AS source, CASE WHEN title = '' THEN url ELSE title END AS title, url,
-  epoch_us(date_trunc('second', ingested_at)) AS published_us FROM articles a WHERE source IS NOT NULL AND source <> '' AND url <> ''""")
+@op(r"""SELECT coalesce(nullif(lower(a.source), ''), 'gdelt') || ':' || sha256(url)[:24] AS doc_id, coalesce(nullif(lower(a.source), ''), 'gdelt') AS source, CASE WHEN title = '' THEN url ELSE title END AS title, url,
+  epoch_us(date_trunc('second', ingested_at)) AS published_us FROM articles a WHERE url <> ''""")
 def op_S2_gdelt_parse(spark, root):
     """Article-list JSON, made of the whole table, parsed again."""
-    a = table(spark, root, "articles").where("source is not null and source <> ''")
+    a = table(spark, root, "articles")
     row = F.struct("url", "title", F.col("source").alias("domain"), "language", F.col("country").alias("sourcecountry"), F.date_format("ingested_at", "yyyyMMdd'T'HHmmss'Z'").alias("seendate"))
     payload = a.select(F.to_json(F.struct(F.array(row).alias("articles"))).alias("payload"))
     return feeds.parse_gdelt(payload).select("doc_id", "source", "title", "url", F.unix_micros("published").alias("published_us"))
@@ -107,13 +113,25 @@ def op_S2_gdelt_parse(spark, root):
 PHRASES = [(1, "US and IRAN dynamics"), (2, "What does the EU say on grain"), (3, "an ox"), (4, "U.S. strike near Hodeidah, Yemen"), (5, "UN envoy in Kyiv")]
 
 
-@op()
+_SHORT = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.SHORT_NAMES.items())
+_ASKED = f"asked AS (SELECT query_id, query FROM golds UNION ALL SELECT * FROM {values([(-i, p) for i, p in PHRASES], 'query_id, query')})"
+_KEYWORDS = rf"""word AS (SELECT query_id, unnest(string_split_regex(trim(query), '\s+')) AS w, generate_subscripts(string_split_regex(trim(query), '\s+'), 1) AS i FROM asked),
+  bare AS (SELECT *, regexp_replace(w, '^[,.;:!?()]+|[,.;:!?()]+$', '', 'g') AS b FROM word),
+  kept AS (SELECT query_id, i, coalesce(CASE lower(b) {_SHORT} END, CASE WHEN length(b) >= 3 THEN w END) AS k FROM bare),
+  keywords AS (SELECT a.query_id, coalesce(string_agg(k, ' ' ORDER BY i), any_value(query)) AS keywords FROM asked a LEFT JOIN kept ON kept.query_id = a.query_id AND k IS NOT NULL GROUP BY 1)"""
+
+
+@op(f"WITH {GOLDS}, {_ASKED}, {_KEYWORDS} SELECT * FROM keywords")
 def op_S3_keyword_query(spark, root):
     rows = golds(spark, root).select("query_id", "query").unionByName(literal(spark, [(-i, p) for i, p in PHRASES], "query_id bigint, query string"))
     return rows.select("query_id", text.keyword_query(F.col("query")).alias("keywords"))
 
 
-@op()
+@op(rf"""WITH {GOLDS}, {_ASKED}, {_KEYWORDS}, noun AS (SELECT query_id, t, min(i) AS i FROM (SELECT query_id, unnest(n) AS t, generate_subscripts(n, 1) AS i
+    FROM (SELECT query_id, regexp_extract_all(query, '(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])([A-Z][\p{{L}}\p{{M}}\p{{N}}_.''-]*[\p{{L}}\p{{M}}\p{{N}}_]|[A-Z])', 1) AS n FROM asked)) GROUP BY ALL),
+  shown AS (SELECT query_id, i, coalesce(CASE lower(t) {_SHORT} END, CASE WHEN length(t) >= 3 THEN CASE WHEN t = upper(t) THEN upper(t[1]) || lower(t[2:]) ELSE t END END) AS k FROM noun),
+  joined AS (SELECT query_id, string_agg(k, ' ' ORDER BY i) AS nouns FROM shown WHERE k IS NOT NULL GROUP BY 1)
+  SELECT a.query_id, CASE WHEN nouns <> keywords THEN nouns END AS nouns FROM asked a JOIN keywords USING (query_id) LEFT JOIN joined j ON j.query_id = a.query_id""")
 def op_S4_proper_noun_query(spark, root):
     rows = golds(spark, root).select("query_id", "query").unionByName(literal(spark, [(-i, p) for i, p in PHRASES], "query_id bigint, query string"))
     return rows.select("query_id", text.proper_noun_query(F.col("query")).alias("nouns"))
@@ -126,22 +144,22 @@ def _xml(c: str):
 @op()
 def op_S5_rss(spark, root):
     """Every article as an RSS item of a feed of its own, read again."""
-    a = docs(spark, root).where("source_key is not null")
+    a = docs(spark, root).withColumn("source_key", F.coalesce("source_key", F.lit("unknown")))
     xml = F.concat(F.lit("<rss version='2.0'><channel><title>t</title><item><title>"), _xml("title"), F.lit("</title><link>"), _xml("url"), F.lit("</link><description>"), _xml("summary"), F.lit("</description><pubDate>"), _xml("published"), F.lit("</pubDate></item></channel></rss>"))
     return feeds.parse_rss(a.select(F.col("source_key").alias("source"), xml.alias("xml"))).select("doc_id", "source", "title", "summary", F.unix_micros("published").alias("published_us"))
 
 
 @op()
 def op_S6_atom(spark, root):
-    a = docs(spark, root).where("source_key is not null")
+    a = docs(spark, root).withColumn("source_key", F.coalesce("source_key", F.lit("unknown")))
     xml = F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><title>t</title><entry><title>"), _xml("title"), F.lit("</title><link rel='self' href='x:y'/><link rel='alternate' href='"), F.replace(_xml("url"), F.lit("'"), F.lit("&apos;")), F.lit("'/><id>"), _xml("doc_id"), F.lit("</id><summary>"), _xml("summary"), F.lit("</summary><updated>"), _xml("published"), F.lit("</updated></entry></feed>"))
     return feeds.parse_atom(a.select(F.col("source_key").alias("source"), xml.alias("xml"))).select("doc_id", "source", "title", "summary", F.unix_micros("published").alias("published_us"))
 
 
-@op()
+@op("SELECT label AS source FROM sources WHERE length(label) % 3 = 0")
 def op_S7_unknown_feeds(spark, root):
-    """Sources whose payload is no feed at all: here every third source's."""
-    s = table(spark, root, "sources").select(F.col("label").alias("source"), F.when(F.pmod(F.xxhash64("label"), F.lit(3)) == 0, "<html/>").otherwise("<rss><channel/></rss>").alias("xml"))
+    """Sources whose payload is no feed at all: here those whose label has a length divisible by three."""
+    s = table(spark, root, "sources").select(F.col("label").alias("source"), F.when(F.length("label") % 3 == 0, "<html/>").otherwise("<rss><channel/></rss>").alias("xml"))
     return feeds.parse_feeds(s)[1].select("source")
 
 
@@ -156,22 +174,38 @@ def _page():
     return F.concat(F.lit("<html><head><script>var a = '<p>no</p>';</script></head><body><nav><p>menu entry that is long enough to look like prose but must not be kept</p></nav><article><p>"), F.regexp_replace(F.col("text"), "\n", "</p><p>"), F.lit("</p></article><footer><p>footer</p></footer></body></html>"))
 
 
-@op(r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE NOT regexp_matches(text, '<|&')),
-  c AS (SELECT doc_id, i, trim(regexp_replace(line, '[\s\x{A0}]+', ' ', 'g')) AS t FROM p),
+def _unescaped(c: str) -> str:
+    """SQL of the entities that the texts hold."""
+    for name, char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("#39", "chr(39)"), ("#x27", "chr(39)"), ("apos", "chr(39)"), ("nbsp", "chr(160)"), ("mdash", "'—'"), ("ndash", "'–'"), ("hellip", "'…'"), ("amp", "'&'")):
+        c = f"replace({c}, '&{name};', {char})"
+    return c
+
+
+_FURNITURE = "page"
+for _name in R.PAGE_FURNITURE:
+    _FURNITURE = rf"regexp_replace({_FURNITURE}, '(?is)<{_name}\b.*?</{_name}>', ' ', 'g')"
+
+
+@op(rf"""WITH pages AS (SELECT doc_id, '<article><p>' || replace(text, chr(10), '</p><p>') || '</p></article>' AS page FROM documents WHERE text IS NOT NULL),
+  bare AS (SELECT doc_id, regexp_replace({_FURNITURE}, '(?s)<!--.*?-->', ' ', 'g') AS page FROM pages),
+  inside AS (SELECT doc_id, regexp_extract_all(regexp_extract(page, '(?is)<article\b.*?</article>'), '(?is)<p\b[^>]*>(.*?)</p>', 1) AS ps FROM bare),
+  p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM inside),
+  c AS (SELECT doc_id, i, trim(regexp_replace({_unescaped("regexp_replace(p, '<[^>]+>', ' ', 'g')")}, '[\s\x{{0b}}\x{{A0}}]+', ' ', 'g')) AS t FROM p),
   k AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c WHERE length(t) >= 60 AND contains(t, ' '))
-  SELECT d.doc_id, coalesce(substr(string_agg(t, ' ' ORDER BY i), 1, 1800), '') AS body FROM (SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '<|&')) d
-  LEFT JOIN k ON k.doc_id = d.doc_id AND coalesce(before, 0) < 1800 GROUP BY d.doc_id""")
+  SELECT d.doc_id, coalesce(substr(string_agg(t, ' ' ORDER BY i), 1, 1800), '') AS body FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND coalesce(before, 0) < 1800 GROUP BY d.doc_id""")
 def op_S9_main_text(spark, root):
     """The text of each document read back out of a page around it, markup of its own treated as the page's."""
     return table(spark, root, "documents").select("doc_id", text.main_text(_page()).alias("body"))
 
 
-@op()
+@op(rf"""WITH {DOCS}, p AS (SELECT doc_id, url, summary, length(coalesce(url, '')) > 0 AND length(coalesce(summary, '')) < 80 AS thin, trim(regexp_replace({_unescaped("regexp_replace(repeat(title || ' and ', 3), '<[^>]+>', ' ', 'g')")}, '[\s\x{{0b}}\x{{A0}}]+', ' ', 'g')) AS t FROM docs),
+  one AS (SELECT url, min(substr(t, 1, 1800)) FILTER (length(t) >= 60) AS t, count(DISTINCT t) AS n FROM p WHERE url IS NOT NULL GROUP BY 1)
+  SELECT p.doc_id, thin AND one.t IS NOT NULL AS hydrated, length(CASE WHEN thin AND one.t IS NOT NULL THEN one.t ELSE summary END) AS n FROM p LEFT JOIN one USING (url)""")
 def op_S10_hydrate(spark, root):
     """Thin articles filled from pages: each page here is the article's title written out."""
     d = docs(spark, root).select("doc_id", "url", "summary", "title")
     p = d.where("url is not null").select("url", F.concat(F.lit("<p>"), F.repeat(F.concat("title", F.lit(" and ")), 3), F.lit("</p>")).alias("html"))
-    return pages.hydrate(d, p).select("doc_id", "hydrated", F.length("summary").alias("n"))
+    return pages.hydrate(d, p).select("doc_id", F.coalesce("hydrated", F.lit(False)).alias("hydrated"), F.length("summary").alias("n"))
 
 
 @op(f"WITH {DOCS} SELECT count(*) AS all_rows, count(enriched_at) AS enriched, count(*) FILTER (enriched_at IS NULL) AS waiting FROM docs")
@@ -325,7 +359,14 @@ def op_P14_meta(spark, root):
     return golds(spark, root).select("query_id", "query").unionByName(more).select("query_id", text.is_meta(F.col("query")).alias("meta"))
 
 
-@op(f"WITH {GOLDS} SELECT query_id, regexp_matches(query, '{R.ATTRIBUTION}') AS attribution FROM golds")
+_BLAMES = (
+    "(regexp_matches(lower(query), 'who\\s+(is|was|are|were)?\\s*(really\\s+)?(behind|responsible)\\b') OR regexp_matches(lower(query), '\\bwho\\s+(did|caused|ordered|fired|attacked|launched|sabotaged)\\b')"
+    " OR regexp_matches(lower(query), '\\b(is|was|are|were)\\s+.{0,60}\\b(caused|carried\\s+out|orchestrated|staged|ordered)\\b') OR regexp_matches(lower(query), '\\bwhy\\s+(did|is|was|are|were)\\b')"
+    " OR regexp_matches(lower(query), '\\b(attribution|attributing|blame)\\b|\\bculpab|\\bwho\\s+fired\\s+first\\b'))"
+)
+
+
+@op(f"WITH {GOLDS} SELECT query_id, {_BLAMES} AS attribution FROM golds")
 def op_P15_attribution(spark, root):
     return golds(spark, root).select("query_id", text.asks_attribution(F.col("query")).alias("attribution"))
 
@@ -446,12 +487,27 @@ def op_F4_singular(spark, root):
     return table(spark, root, "articles").select("doc_id", F.array_join(F.array_sort(F.array_distinct(text.singular_forms(text.subject_tokens(F.col("title"))))), " ").alias("tokens"))
 
 
-@op()
+def _relevance_sql(expr: str) -> str:
+    """SQL of the subject words of a text in both numbers with the vocabularies that they call up."""
+    both = f"(SELECT list_distinct(list_concat(x, list_transform(list_filter(x, lambda t: length(t) > 4 AND ends_with(t, 's')), lambda t: t[:-2]))) FROM (SELECT {_subject_sql(expr)} AS x))"
+    wide = "x"
+    for anchors, group in R.SUBJECT_GROUPS:
+        wide = f"list_concat({wide}, CASE WHEN list_has_any(x, {sql_list(anchors)}) THEN {sql_list(group)} ELSE [] END)"
+    return f"(SELECT list_distinct({wide}) FROM (SELECT {both} AS x))"
+
+
+@op(f"WITH {GOLDS} SELECT query_id, array_to_string(list_sort({_relevance_sql('query')}), ' ') AS tokens FROM golds")
 def op_F5_relevance_tokens(spark, root):
     return golds(spark, root).select("query_id", F.array_join(F.array_sort(text.relevance_tokens(F.col("query"))), " ").alias("tokens"))
 
 
-@op()
+_RELEVANT = f"""asked AS (SELECT query_id, unnest({_relevance_sql('query')}) AS t FROM golds),
+  content AS (SELECT item_id, list_filter(list_distinct({_TOK.format("concat_ws(' ', title, summary)")}), lambda x: NOT list_contains({_STOP}, x)) AS w FROM evidence_items),
+  own AS (SELECT item_id, unnest(list_distinct(list_concat(w, list_transform(list_filter(w, lambda x: length(x) > 4 AND ends_with(x, 's')), lambda x: x[:-2])))) AS t FROM content),
+  relevant AS (SELECT query_id, count(DISTINCT item_id) AS relevant FROM own JOIN asked USING (t) GROUP BY 1)"""
+
+
+@op(f"WITH {GOLDS}, {_RELEVANT} SELECT * FROM relevant")
 def op_J9_relevant_evidence(spark, root):
     """How many evidence items share a subject word with each gold question, by token equi-join."""
     asked = golds(spark, root).select("query_id", F.explode(text.relevance_tokens(F.col("query"))).alias("t"))
@@ -524,7 +580,7 @@ def op_A1_counts(spark, root):
 _MEMBERSHIP = "m AS (SELECT source_key AS event_id, * FROM graded WHERE source_key IS NOT NULL)"
 
 
-@op(f"""WITH {GRADED}, {_MEMBERSHIP} SELECT event_id, count(*) AS doc_count, count(DISTINCT language) AS kinds, epoch_us(min(published_at)) AS first_us, epoch_us(max(published_at)) AS last_us,
+@op(f"""WITH {TIMED_GRADED}, {_MEMBERSHIP} SELECT event_id, count(*) AS doc_count, count(DISTINCT language) AS kinds, epoch_us(min(published_at)) AS first_us, epoch_us(max(published_at)) AS last_us,
   arg_min(title, doc_id) AS title FROM m GROUP BY 1""")
 def op_A2_group_roll_up(spark, root):
     """The roll-up of an event view over a given membership: here articles by source, members in order of doc_id."""
@@ -561,12 +617,6 @@ def op_A5_entity_roll_up(spark, root):
     return r.select("entity_id", "mentions", "documents", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"))
 
 
-@op()
-def op_A4_F6_F8_mentions(spark, root):
-    d = docs(spark, root).withColumn("text", text.document_text(F.col("title"), F.col("summary")))
-    return entities.mentions(d, "doc_id", "text").groupBy("entity_id").agg(F.min("name").alias("name"), F.sum("count").alias("mentions"))
-
-
 @op(f"WITH {GRADED} SELECT source_key, avg(CASE WHEN upper(reliability) IN ('D','E','F') THEN 1.0 ELSE 0.0 END) AS low_share FROM (SELECT coalesce(language, '') AS source_key, reliability FROM graded) GROUP BY 1")
 def op_A7_low_share(spark, root):
     g = graded(spark, root).select(F.coalesce("language", F.lit("")).alias("source_key"), "reliability")
@@ -577,13 +627,13 @@ _BURST = """b AS (SELECT source_key, published_at, count(published_at) OVER (PAR
   burst AS (SELECT source_key, CASE WHEN count(published_at) >= 2 THEN max(n) FILTER (published_at IS NOT NULL) / count(*) ELSE 0 END AS burstiness FROM b GROUP BY 1)"""
 
 
-@op(f"WITH {GRADED}, {_BURST} SELECT source_key, round(burstiness, 6) AS burstiness FROM burst")
+@op(f"WITH {TIMED_GRADED}, {_BURST} SELECT source_key, round(burstiness, 6) AS burstiness FROM burst")
 def op_W1_burstiness(spark, root):
     d = docs(spark, root).where("source_key is not null")
     return views.burstiness(d, "source_key", F.col("published_at")).select("source_key", F.round("burstiness", 6).alias("burstiness"))
 
 
-@op(f"WITH {GRADED}, {_BURST}, low AS (SELECT source_key, avg(CASE WHEN reliability IN ('D','E','F') THEN 1.0 ELSE 0.0 END) AS s FROM graded WHERE source_key IS NOT NULL GROUP BY 1) SELECT source_key, round(burstiness * (0.5 + 0.5 * s), 4) AS coordination FROM burst JOIN low USING (source_key)")
+@op(f"WITH {TIMED_GRADED}, {_BURST}, low AS (SELECT source_key, avg(CASE WHEN reliability IN ('D','E','F') THEN 1.0 ELSE 0.0 END) AS s FROM graded WHERE source_key IS NOT NULL GROUP BY 1) SELECT source_key, round(burstiness * (0.5 + 0.5 * s), 4) AS coordination FROM burst JOIN low USING (source_key)")
 def op_A8_coordination(spark, root):
     g = graded(spark, root).where("source_key is not null")
     both = views.burstiness(g, "source_key", F.col("published_at")).join(views.low_share(g, "source_key", F.col("reliability")), "source_key")
@@ -626,8 +676,7 @@ def op_A17_A18_over_confident(spark, root):
   SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY 1""")
 def op_A19_V1_terms(spark, root):
     """Document and corpus frequency of every term."""
-    postings, _ = retrieval.corpus(table(spark, root, "documents"), "doc_id", "text")
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return retrieval.postings(table(spark, root, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @op(f"WITH {GRADED} SELECT coalesce(kind, '-') AS lane, count(*) AS n FROM graded g LEFT JOIN (SELECT label, kind FROM sources) s ON s.label = g.source_key GROUP BY 1")
@@ -660,12 +709,11 @@ def op_V2_W5_bm25(spark, root):
 
 
 @op(f"""WITH {GOLDS}, {VDOCS}, q AS (SELECT query_id, embedding AS v FROM golds JOIN embeddings ON vec_id = query_id),
-  s AS (SELECT query_id, doc_id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM vdocs, q)
-  SELECT query_id, doc_id, score, rank FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM s) WHERE rank <= 5""")
+  s AS (SELECT query_id, doc_id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 9) AS score FROM vdocs, q)
+  SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM s) WHERE rank <= 5""")
 def op_V3_W2_dense(spark, root):
     q = golds(spark, root).join(table(spark, root, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
-    s = retrieval.dense(vdocs(spark, root), q).withColumn("score", F.round("score", 6))
-    return retrieval.competition_ranks(s).where("rank <= 5")
+    return retrieval.dense(vdocs(spark, root), q, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @op(f"WITH {VDOCS} SELECT topic, i AS i, round(avg(x::DOUBLE), 6) AS x FROM (SELECT topic, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM vdocs) GROUP BY 1, 2")
@@ -684,7 +732,7 @@ def op_V5_fusion(spark, root):
     q = golds(spark, root)
     qv = q.join(table(spark, root, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
     d = table(spark, root, "documents").select("doc_id", "text")
-    top = retrieval.fuse(retrieval.bm25(d, q), retrieval.dense(vdocs(spark, root), qv), d, q, 10)
+    top = retrieval.fuse(retrieval.bm25(d, q), retrieval.Dense(vdocs(spark, root), qv), d, q, 10)
     return top.select("query_id", "doc_id", "rank", F.round("score", 9).alias("score"))
 
 
@@ -701,28 +749,30 @@ def op_V7_V8_encode(spark, root):
 
 
 @op(f"""WITH {GOLDS}, {_BM25}, r AS (SELECT l.query_id, l.doc_id, coalesce(d.source, '') AS source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex l JOIN documents d USING (doc_id)),
-  n AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS nth FROM r WHERE rank <= 60), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nth > 3, rank) AS pick FROM n)
+  n AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS nth FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nth > 3, rank) AS pick FROM n)
   SELECT query_id, doc_id, pick FROM k WHERE pick <= 12""")
 def op_W3_diverse(spark, root):
     d, q = table(spark, root, "documents"), golds(spark, root)
-    ranked = retrieval.top_k(retrieval.bm25(d, q), d, 60).join(d.select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
+    ranked = retrieval.bm25(d, q).join(d.select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
     return retrieval.diverse(ranked, R.CONTEXT_ITEMS).select("query_id", "doc_id", "pick")
 
 
 @op()
 def op_V10_W15_gather(spark, root):
     """The whole retrieval pipeline over the articles for every gold question."""
-    return retrieval.gather(docs(spark, root).select("doc_id", "title", "summary", "source", "credibility"), golds(spark, root), table(spark, root, "sources"))
+    d = docs(spark, root).select("doc_id", "title", "summary", "source", "credibility", "url")
+    pages_ = d.where("url is not null").select("url", F.concat(F.lit("<p>"), F.repeat(F.concat("title", F.lit(" and ")), 3), F.lit("</p>")).alias("html"))
+    return retrieval.gather(d, golds(spark, root), table(spark, root, "sources"), pages=pages_)
 
 
 # ---- windows, sorts, limits (the reports' own limits)
 
-@op(f"WITH {DOCS} SELECT doc_id, title FROM docs ORDER BY published_at DESC NULLS LAST, doc_id LIMIT 200")
+@op(f"WITH {TIMED} SELECT doc_id, title FROM docs ORDER BY published_at DESC NULLS LAST, doc_id LIMIT 200")
 def op_W6_latest_published(spark, root):
     return docs(spark, root).orderBy(F.desc_nulls_last("published_at"), "doc_id").limit(200).select("doc_id", "title")
 
 
-@op(f"WITH {DOCS} SELECT doc_id FROM docs ORDER BY published_at DESC NULLS LAST, ingested_at DESC, doc_id LIMIT 1")
+@op(f"WITH {TIMED} SELECT doc_id FROM docs ORDER BY published_at DESC NULLS LAST, ingested_at DESC, doc_id LIMIT 1")
 def op_W7_latest(spark, root):
     return docs(spark, root).orderBy(F.desc_nulls_last("published_at"), F.desc("ingested_at"), "doc_id").limit(1).select("doc_id")
 
@@ -794,7 +844,7 @@ def op_D3_episodes(spark, root):
 @op("SELECT entity_id, 'evt:' || substr(sha256(string_agg(doc_id, '|' ORDER BY doc_id)), 1, 21) AS event_id FROM (SELECT DISTINCT entity_id, doc_id FROM document_entities) GROUP BY 1")
 def op_D6_cluster_ids(spark, root):
     m = table(spark, root, "document_entities").select("entity_id", "doc_id").distinct()
-    return m.groupBy("entity_id").agg(clustering.cluster_id("evt", F.collect_list("doc_id")).alias("event_id"))
+    return clustering.cluster_ids(m, ["entity_id"], "evt").withColumnRenamed("cluster_id", "event_id")
 
 
 @op("SELECT lane, count(*) AS n FROM (SELECT 'a' AS lane FROM articles UNION ALL SELECT 'e' FROM evidence_items) GROUP BY 1")
@@ -811,20 +861,43 @@ def op_D8_sets(spark, root):
 
 # ---- functions
 
-@op(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9_''-]+(?:[ \t\n\r]+(?:of|the|and|[A-Z][A-Za-z0-9_''-]+)){0,4})', 1), lambda x: trim(x)), lambda x: length(x) >= 3 AND NOT list_contains(['The','A','An','This','That','These','Those','It','But','And','In','On'], regexp_extract(x, '^\S+'))))), '|') AS spans FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+_W, _WS = r"[\p{L}\p{M}\p{N}_''-]", r"[\s\x{0b}\x{85}\p{Z}]"
+_SPANS = (
+    rf"list_filter(list_transform(regexp_extract_all({{0}}, '(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])([A-Z]{_W}+(?:{_WS}+(?:of|the|and|[A-Z]{_W}+)){{0,4}})', 1), lambda x: trim(x)), lambda x: length(x) >= 3 AND NOT list_contains({sql_list(R.SENTENCE_OPENERS)}, "
+    rf"regexp_extract(x, '^[^\s\x{{0b}}\x{{85}}\p{{Z}}]+')))"
+).replace("{0}", "@@")
+
+
+def spans_sql(expr: str) -> str:
+    """SQL of the name spans of a text."""
+    return _SPANS.replace("@@", expr)
+
+
+@op(f"SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct({spans_sql('text')})), '|'), '') AS spans FROM documents")
 def op_F6_name_spans(spark, root):
     """Name spans of every text."""
     return table(spark, root, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(text.name_spans(F.col("text")))), "|").alias("spans"))
 
 
+@op(f"""WITH {DOCS}, t AS (SELECT doc_id, unnest({spans_sql("CASE WHEN length(coalesce(summary, '')) > 0 THEN title || '. ' || summary ELSE title END")}) AS name FROM docs)
+  SELECT substr(sha256('ENTITY:' || lower(trim(name))), 1, 24) AS entity_id, min(name) AS name, count(*) AS mentions FROM t GROUP BY 1""")
+def op_A4_F6_F8_mentions(spark, root):
+    d = docs(spark, root).withColumn("text", text.document_text(F.col("title"), F.col("summary")))
+    return entities.mentions(d, "doc_id", "text").groupBy("entity_id").agg(F.min("name").alias("name"), F.sum("count").alias("mentions"))
+
+
 @op("SELECT entity_id AS id, substr(sha256(type || ':' || lower(trim(name))), 1, 24) AS key FROM entities")
 def op_F8_F26_entity_keys(spark, root):
     return table(spark, root, "entities").select(F.col("entity_id").alias("id"), text.entity_key(F.col("name"), F.col("type")).alias("key"))
 
 
-@op(r"SELECT item_id, CASE WHEN regexp_full_match(published, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z') THEN epoch_us(try_strptime(published, '%Y-%m-%dT%H:%M:%SZ')) END AS at_us FROM evidence_items WHERE regexp_full_match(published, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z')")
+@op(r"""WITH p AS (SELECT item_id, regexp_extract(published, '^(\d{4})-?(\d{2})-?(\d{2})(?:[Tt ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$', ['y', 'mo', 'd', 'h', 'mi', 's', 'f', 'z']) AS g,
+    regexp_matches(published, '^(\d{4}-\d{2}-\d{2}|\d{8})([Tt ]|$)') AND NOT regexp_matches(published, '[Tt ]\d{2}(:\d{2}\d|\d{2}:)') AS ok FROM evidence_items),
+  t AS (SELECT item_id, ok, g, try_cast(g.y || '-' || g.mo || '-' || g.d || ' ' || CASE WHEN g.h = '' THEN '00' ELSE g.h END || ':' || CASE WHEN g.mi = '' THEN '00' ELSE g.mi END || ':' || CASE WHEN g.s = '' THEN '00' ELSE g.s END AS TIMESTAMP) AS t FROM p)
+  SELECT item_id, CASE WHEN ok THEN epoch_us(t) + CASE WHEN g.f = '' THEN 0 ELSE rpad(substr(g.f, 1, 6), 6, '0')::BIGINT END
+    - CASE WHEN g.z IN ('', 'Z') THEN 0 ELSE (CASE WHEN g.z[1] = '-' THEN -1 ELSE 1 END) * (g.z[2:3]::BIGINT * 60 + CASE WHEN length(g.z) > 3 THEN right(g.z, 2)::BIGINT ELSE 0 END) * 60000000 END END AS at_us FROM t""")
 def op_F9_F22_iso_times(spark, root):
-    """The ISO time of every evidence item, null where iso_seconds() reads none (of ISO's spellings, the ones without dashes)."""
+    """The ISO time of every evidence item, with and without dashes and colons; null for what is no ISO time."""
     return table(spark, root, "evidence_items").select("item_id", F.round(evidence.iso_seconds(F.col("published")) * 1e6).cast("bigint").alias("at_us"))
 
 
@@ -841,19 +914,28 @@ def op_F12_sections(spark, root):
     return assess.sections(literal(spark, SECTIONED, "k bigint, body string"), "k", "body").drop("pos")
 
 
-@op()
+@op(r"""WITH line AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|[\n\x{0b}\f\r\x{85}\x{2028}\x{2029}]')) AS line FROM documents),
+  bare AS (SELECT doc_id, trim(regexp_replace(line, '\s*\[[^\]]*\]', '', 'g')) AS t FROM line),
+  parts AS (SELECT doc_id, t, list_transform(string_split_regex(t, '(?i)[.;]\s+|,?\s+(?:and|but|while|whereas|though|although|which|characteri[sz]ed\s+by)\s+|,\s+'), lambda p: regexp_replace(regexp_replace(regexp_replace(trim(p),
+    '(?i)^(?:we\s+assess[^,]*?that|it\s+is\s+(?:likely|probable|possible|assessed|unclear)\s+that|there\s+(?:is|are)\s+likely|it\s+appears\s+that|reporting\s+(?:suggests|indicates)\s+that)\s+', ''),
+    '(?i)^(?:likely|probably|possibly|reportedly|allegedly|apparently)\s+', ''), '^[ ,.]+|[ ,.]+$', '', 'g')) AS ps FROM bare),
+  whole AS (SELECT doc_id, t, list_filter(ps, lambda p: len(list_filter(string_split_regex(p, '\s+'), lambda w: w <> '')) >= 3) AS ps FROM parts)
+  SELECT doc_id, unnest(CASE WHEN len(ps) > 0 THEN ps WHEN t <> '' THEN [t] ELSE [] END) AS claim FROM whole""")
 def op_F14_claims(spark, root):
     """Checkable claims of every line of every document."""
     lines = table(spark, root, "documents").select("doc_id", F.explode(F.split("text", r"\R")).alias("line"))
     return lines.select("doc_id", F.explode(text.claims(F.col("line"))).alias("claim"))
 
 
-@op()
+@op(rf"""WITH x AS (SELECT doc_id, regexp_extract_all(text, '(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])([A-Z]{_W}+(?:{_WS}+[A-Z]{_W}+)+)', 1) AS n FROM documents),
+  o AS (SELECT doc_id, q, min(i) AS i FROM (SELECT doc_id, unnest(n) AS q, generate_subscripts(n, 1) AS i FROM x) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o)
+  SELECT d.doc_id, coalesce(string_agg(q, '|' ORDER BY k), '') AS queries FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND k <= 4 GROUP BY 1""")
 def op_F17_gap_queries(spark, root):
     return table(spark, root, "documents").select("doc_id", F.array_join(text.gap_queries(F.col("text")), "|").alias("queries"))
 
 
-@op()
+@op(f"""WITH h AS (SELECT label, sha1(unhex('{export.NAMESPACE.hex}') || encode('source:' || label)) AS h FROM sources)
+  SELECT label, 'identity--' || h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][1 + ((strpos('0123456789abcdef', h[17]) - 1) % 4)] || h[18:20] || '-' || h[21:32] AS id FROM h""")
 def op_F18_uuid5(spark, root):
     return table(spark, root, "sources").select("label", export.object_id("identity", F.concat(F.lit("source:"), "label")).alias("id"))
 
@@ -866,7 +948,14 @@ def op_F25_json(spark, root):
 
 # ---- routing, briefs, evaluation
 
-@op()
+_TOUCHED = "['osint'] || " + " || ".join(f"CASE WHEN list_has_any(w, {sql_list(R.LANE_WORDS[n])}) THEN ['{n}'] ELSE [] END" for n in R.LANES[1:])
+
+
+@op(rf"""WITH {GOLDS}, s AS (SELECT query_id, query, {_subject_sql('query')} AS x FROM golds), w AS (SELECT *, list_concat(x, list_transform(list_filter(x, lambda t: ends_with(t, 's')), lambda t: t[:-2])) AS w,
+    regexp_matches(lower(query), '\b(all[ -]source|all (available )?(sources|lanes)|every (source|lane))\b') AS every, CASE WHEN regexp_matches(lower(query), '\b(osint|gdelt|rss|open[ -]source( reporting)?)\b') THEN ['osint'] ELSE [] END
+    || CASE WHEN regexp_matches(lower(query), '\bsky lane\b') THEN ['sky'] ELSE [] END || CASE WHEN regexp_matches(lower(query), '\bocean lane\b') THEN ['ocean'] ELSE [] END || CASE WHEN regexp_matches(lower(query), '\bcyber lane\b') THEN ['cyber'] ELSE [] END AS named FROM s)
+  SELECT query_id, array_to_string(CASE WHEN every THEN ['osint', 'sky', 'ocean', 'cyber'] WHEN len(named) > 0 THEN named WHEN len(x) = 0 THEN ['osint', 'sky', 'ocean', 'cyber'] ELSE {_TOUCHED} END, ',') AS lanes,
+    CASE WHEN every THEN 'all sources asked for' WHEN len(named) > 0 THEN 'named lanes' WHEN len(x) = 0 THEN 'no subject' ELSE 'open sources and lanes whose words occur' END AS reason FROM w""")
 def op_R1_lanes(spark, root):
     q = golds(spark, root)
     return q.select("query_id", F.array_join(fusion.lanes(F.col("query")), ",").alias("lanes"), fusion.reason(F.col("query")).alias("reason"))
@@ -879,10 +968,21 @@ def op_R3_fused(spark, root):
     return fusion.fuse({lane: items.where(F.col("item_id") % 4 == i) for i, lane in enumerate(R.LANES)}).select("pos", "lane", "item_id")
 
 
-@op(f"""WITH {GOLDS} SELECT query_id, CASE WHEN regexp_matches(query, '{R.ATTRIBUTION}') THEN 'panel' ELSE 'quick' END AS mode FROM golds""")
+@op(f"""WITH {GOLDS}, {_BM25}, {VDOCS}, top AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM lex) WHERE r <= 12),
+  low AS (SELECT query_id, bool_and(coalesce(s.reliability, 'F') IN ('D', 'E', 'F')) AS low FROM top JOIN documents d USING (doc_id) LEFT JOIN sources s ON s.label = lower(regexp_replace(d.source, '^\\s+|\\s+$', '', 'g')) GROUP BY 1),
+  v AS (SELECT query_id, doc_id, embedding FROM top JOIN vdocs USING (doc_id)),
+  far AS (SELECT a.query_id, greatest(0, least(1, 1 - min(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])))) AS d FROM v a JOIN v b ON a.query_id = b.query_id AND a.doc_id < b.doc_id GROUP BY 1)
+  SELECT query_id, CASE WHEN {_BLAMES} OR coalesce(low, false) OR (d >= 0.30 AND d < 0.75) THEN 'panel' ELSE 'quick' END AS mode FROM golds LEFT JOIN low USING (query_id) LEFT JOIN far USING (query_id)""")
 def op_R5_effort(spark, root):
-    none = F.lit(None)
-    return golds(spark, root).select("query_id", assess.effort(F.col("query"), none.cast("boolean"), none.cast("double")).alias("mode"))
+    """How much effort each gold question gets, by its wording and by grades and framing of its twelve best documents."""
+    q, d = golds(spark, root), table(spark, root, "documents")
+    top = retrieval.top_k(retrieval.bm25(d.select("doc_id", "text"), q), d, R.CONTEXT_ITEMS).select("query_id", "doc_id")
+    grade = table(spark, root, "sources").select(F.col("label").alias("_l"), "reliability")
+    sourced = top.join(d.select("doc_id", timestamps.label_key(F.col("source")).alias("_l")), "doc_id").join(grade, "_l", "left")
+    low = sourced.groupBy("query_id").agg(F.bool_and(grades.low_tier(F.col("reliability"))).alias("low"))
+    far = views.divergence(top.join(vdocs(spark, root).select("doc_id", "embedding"), "doc_id"), "query_id")
+    rated = q.join(low, "query_id", "left").join(far, "query_id", "left")
+    return rated.select("query_id", assess.effort(F.col("query"), F.col("low"), F.col("divergence")).alias("mode"))
 
 
 @op("""WITH r AS (SELECT source, doc_id, title, upper(coalesce(nullif(reliability, ''), 'F')) || coalesce(nullif(credibility, 0), 6) AS g, row_number() OVER (PARTITION BY source ORDER BY item_id) AS n FROM evidence_items)
@@ -935,7 +1035,9 @@ def op_K8_snapshot(spark, root):
     return briefs.snapshot(_stored(spark, root)).where("brief_id is not null").select("brief_id", F.size(line).cast("bigint").alias("cited"))
 
 
-@op()
+@op("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY item_id) AS n FROM evidence_items)
+  SELECT source AS brief_id, coalesce('QUESTION: What does ' || source || ' say?' || chr(10) || chr(10), '') || 'KEY JUDGMENTS' || chr(10) || string_agg('- ' || title || ' [' || doc_id || ']', chr(10) ORDER BY n) FILTER (n <= 3) || chr(10) || chr(10) || 'CONFIDENCE' || chr(10) || 'low' || chr(10) || chr(10)
+    || 'CITED' || chr(10) || string_agg('- ' || doc_id, chr(10) ORDER BY n) FILTER (n <= 8) AS text FROM r GROUP BY 1""")
 def op_K10_render(spark, root):
     b = _stored(spark, root)
     return b.select("brief_id", briefs.render(b).alias("text"))
@@ -946,7 +1048,8 @@ def op_K4_worth_storing(spark, root):
     return briefs.worth_storing(_stored(spark, root)).where("brief_id is not null").select("brief_id")
 
 
-@op()
+@op(f"""WITH {GOLDS}, {_RELEVANT} SELECT query_id, CASE WHEN lower(query) IN ('hi', 'hello', 'help') THEN 'capabilities' WHEN coalesce(relevant, 0) = 0 THEN 'no_reporting' WHEN relevant < 3 THEN 'collect' ELSE 'brief' END AS answer
+  FROM golds LEFT JOIN relevant USING (query_id)""")
 def op_R6_triage(spark, root):
     """What each gold question gets, by the number of evidence items that share a subject word with it."""
     n = op_J9_relevant_evidence(spark, root)

@@ -1,5 +1,6 @@
 """Operators against plain Python, on random and awkward input."""
 
+import hashlib
 import json
 import random
 import uuid
@@ -112,6 +113,42 @@ def test_event_clusters_match_one_pass(spark):
     assert [r.doc_id for r in clustering.events(odd).collect()] == ["c"]
 
 
+def test_events_without_time_come_last(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((5, 8))
+    rows = [(f"d{i:02}", None if i % 4 == 0 else datetime(2025, 1, 1) + timedelta(days=float(rng.integers(0, 60))), [float(x) for x in base[i % 5] + 0.3 * rng.standard_normal(8)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id string, published timestamp, embedding array<float>")
+    ordered = sorted(rows, key=lambda r: (r[1] is None, r[1] or AT, r[0]))
+    cuts = clustering.greedy(np.array([r[2] for r in ordered], np.float32), np.array([np.nan if r[1] is None else r[1].timestamp() for r in ordered]), 0.78, 3 * 86400)
+    want = {frozenset(r[0] for r, c in zip(ordered, cuts, strict=True) if c == k) for k in set(cuts)}
+    found: dict = {}
+    for r in clustering.events(df).collect():
+        found.setdefault(r.event_id, set()).add(r.doc_id)
+    assert {frozenset(s) for s in found.values()} == want
+    only = df.where("published is null")
+    assert clustering.events(only).select("doc_id").distinct().count() == only.count() and clustering.events(df.limit(0)).count() == 0
+
+
+def test_cluster_ids(spark):
+    rows = [(k % 7, f"m{k % 30:02}") for k in range(500)] + [(1, None)]
+    got = {r.g: r.cluster_id for r in clustering.cluster_ids(spark.createDataFrame(rows, "g int, doc_id string").repartition(6), ["g"], "evt").collect()}
+    want = {g: "evt:" + hashlib.sha256("|".join(sorted({m for h, m in rows if h == g and m})).encode()).hexdigest()[:21] for g in range(7)}
+    assert got == want
+
+
+def test_divergence_random(spark, monkeypatch):
+    monkeypatch.setattr(views, "BLOCK", 20)
+    rng = np.random.default_rng(9)
+    rows = [(f"e{k % 5}", f"d{k:03}", [float(x) for x in np.array([3.0, 0, 0, 0]) * (k % 3) + rng.standard_normal(4)]) for k in range(300)] + [("one", "x", [1.0, 0.0, 0.0, 0.0]), ("flat", "x", [0.0] * 4), ("flat", "y", [1.0, 0.0, 0.0, 0.0]), ("none", "z", None)]
+    got = {r.event_id: r.divergence for r in views.divergence(spark.createDataFrame(rows, "event_id string, doc_id string, embedding array<float>"), "event_id").collect()}
+    for e in {r[0] for r in rows}:
+        m = np.array([r[2] for r in rows if r[0] == e and r[2]], np.float32).astype(float)
+        n = np.linalg.norm(m, axis=1, keepdims=True) if len(m) else m
+        unit = m / np.where(n == 0, 1, n) if len(m) else m
+        want = float(np.clip(1 - (unit @ unit.T)[np.triu_indices(len(m), 1)].min(), 0, 1)) if len(m) > 1 else 0.0
+        assert abs(got[e] - want) < 1e-9, e
+
+
 def test_narratives(spark):
     rows = [(f"d{i}", [1.0, 0.01 * i], f"s{i}", "t", None, AT + timedelta(hours=i)) for i in range(3)] + [("z", [0.0, 1.0], "s", "t", None, None)]
     df = spark.createDataFrame(rows, "doc_id string, embedding array<float>, source string, title string, summary string, published timestamp")
@@ -137,17 +174,74 @@ def test_burstiness_random(spark):
         assert abs(burst - (best / len(times) if len(known) >= 2 else 0)) < 1e-9
 
 
+def chosen(ranked, cap, k):
+    """(identifiers of the first k, at most `cap` of a source, filled up by rank) of (identifier, source) in order."""
+    first, rest, n = [], [], {}
+    for d, s in ranked:
+        (first if cap <= 0 or n.get(s, 0) < cap else rest).append(d)
+        n[s] = n.get(s, 0) + 1
+    return (first + rest)[:k]
+
+
 def test_diverse_random(spark):
     rng = random.Random(4)
     for cap, k in ((2, 5), (0, 4), (1, 9)):
-        ranked = [(1, f"d{i}", rng.choice("abc"), i + 1) for i in range(12)]
-        chosen, deferred, n = [], [], {}
-        for _, d, s, _r in ranked:
-            (chosen if cap <= 0 or n.get(s, 0) < cap else deferred).append(d)
-            n[s] = n.get(s, 0) + 1
-        want = (chosen + deferred)[:k]
-        df = spark.createDataFrame(ranked, "query_id int, doc_id string, source string, rank int")
-        assert [r.doc_id for r in retrieval.diverse(df, k, cap).orderBy("pick").collect()] == want
+        rows = [(1, f"d{i:02}", rng.choice("aaab"), float(rng.randrange(6))) for i in range(40)]
+        ranked = [(d, s) for _, d, s, _x in sorted(rows, key=lambda r: (-r[3], r[1]))]
+        df = spark.createDataFrame(rows, "query_id int, doc_id string, source string, score double")
+        assert [r.doc_id for r in retrieval.diverse(df, k, cap).orderBy("pick").collect()] == chosen(ranked, cap, k)
+
+
+def fused(docs, vectors_, lexical, qvectors):
+    """Reciprocal rank fusion of everything, by definition: {query: [(identifier, score) best first]}."""
+    out = {}
+    for q, v in qvectors.items():
+        cos = {d: round(float(np.dot(x, v) / ((np.linalg.norm(x) * np.linalg.norm(v)) or 1)), 9) for d, x in vectors_.items()}
+        lex = {d: s for (qq, d), s in lexical.items() if qq == q and s > 0}
+        score = {}
+        for d in docs:
+            lr = 1 + sum(x > lex[d] for x in lex.values()) if d in lex else len(lex) + 1
+            score[d] = 1 / (60 + lr) + (1 / (60 + 1 + sum(x > cos[d] for x in cos.values())) if d in cos else 0)
+        out[q] = sorted(((d, round(x, 12)) for d, x in score.items()), key=lambda t: (-t[1], t[0]))
+    return out
+
+
+def test_fusion_of_rankings_equals_definition(spark):
+    rng = np.random.default_rng(7)
+    docs = [f"d{i:03}" for i in range(400)]
+    vecs = {d: np.round(rng.standard_normal(4), 1) for d in docs[:300]}
+    vecs["d005"] = np.zeros(4)
+    qv = {q: rng.standard_normal(4) for q in (1, 2, 3, 4)}
+    # ties everywhere; question 3 matches little, question 4 nothing
+    lexical = {(q, d): float(rng.integers(1, 9)) for q, share in ((1, 0.6), (2, 0.2), (3, 0.01)) for d in docs if rng.random() < share}
+    dd = spark.createDataFrame([(d, [float(x) for x in vecs[d]] if d in vecs else None) for d in docs], "doc_id string, embedding array<float>").repartition(5)
+    qs = spark.createDataFrame([(q, [float(x) for x in v]) for q, v in qv.items()], "query_id int, vector array<double>")
+    lex = spark.createDataFrame([(q, d, s) for (q, d), s in lexical.items()], "query_id int, doc_id string, score double")
+    floats = {d: np.float32(v).astype(float) for d, v in vecs.items()}
+    want = fused(docs, floats, lexical, qv)
+    for k in (5, 40):
+        got: dict = {}
+        for r in retrieval.fuse(lex, retrieval.Dense(dd, qs), dd, qs, k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+        assert got == {q: w[:k] for q, w in want.items()}
+    sources = {d: "big" if rng.random() < 0.95 else f"s{rng.integers(4)}" for d in docs}
+    body = dd.join(spark.createDataFrame(list(sources.items()), "doc_id string, source string"), "doc_id")
+    picked: dict = {}
+    for r in retrieval._picked(lex, body, qs, 6, 2).orderBy("query_id", "pick").collect():
+        picked.setdefault(r.query_id, []).append(r.doc_id)
+    assert picked == {q: chosen([(d, sources[d]) for d, _ in w], 2, 6) for q, w in want.items()}
+    assert retrieval.dense(dd.limit(0), qs, 3).count() == 0 and retrieval.dense(dd, qs.limit(0), 3).count() == 0
+
+
+def test_gather(spark):
+    docs = spark.createDataFrame(
+        [("a", "Tanker seized near port", None, "S1", 2, "http://x/a"), ("b", "Tanker crew freed", "The crew of the tanker was freed on Monday and is on its way home by plane, the owner of the vessel said.", "s1", 3, None), ("c", "Harvest news", None, None, None, None)],
+        "doc_id string, title string, summary string, source string, credibility int, url string",
+    )
+    page = spark.createDataFrame([("http://x/a", "<p>" + "The tanker was seized by the coast guard near the port on Sunday night. " * 2 + "</p>")], "url string, html string")
+    asked, sources = spark.createDataFrame([(1, "tanker seizure")], "query_id int, query string"), spark.createDataFrame([("s1", "B")], "label string, reliability string")
+    got = {r.doc_id: (r.reliability, r.summary) for r in retrieval.gather(docs, asked, sources, pages=page).collect()}
+    assert set(got) == {"a", "b"} and got["a"][0] == "B" and got["a"][1].startswith("The tanker was seized")
 
 
 def test_bm25_fill_and_empty(spark):
