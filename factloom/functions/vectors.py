@@ -53,3 +53,10 @@ def hash_embedding(dim: int = 64):
             yield pd.Series(out)
 
     return embed
+
+
+def encode_missing(df: DataFrame, body: str, vector: str = "embedding", encode=None, dim: int = 64) -> DataFrame:
+    """`df` with a vector wherever there was none, made of `body`; only those texts go to the encoder."""
+    encode = encode or hash_embedding(dim)
+    missing = F.col(vector).isNull()
+    return df.withColumn(vector, F.coalesce(vector, encode(F.when(missing, F.col(body)))))

@@ -111,3 +111,43 @@ def digest(items: DataFrame, keys: list[str], pos: str = "pos", most: int = 8) -
     rows = top.withColumn("_line", line).withColumn("_j", F.concat("title", F.lit(" ["), F.col("doc_id"), F.lit("]")))
     agg = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", "_line", "_j", "doc_id"))).alias("_r"))
     return agg.select(*keys, F.array_join(F.transform("_r", lambda r: r["_line"]), "\n").alias("body"), F.transform(F.slice("_r", 1, 3), lambda r: r["_j"]).alias("judgments"), F.transform("_r", lambda r: r["doc_id"]).alias("citations"), F.lit("low").alias("confidence"))
+
+
+def render_ranking(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text): scored hypotheses as numbered lines, the least contradicted first. A matrix has few hypotheses."""
+    line = F.format_string("%d. %s  (disconfirm=%.2f, -%d/+%d)", F.col("rank"), F.col("hypothesis"), F.col("inconsistency"), F.col("inconsistent"), F.col("consistent"))
+    lines = scores.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("_l"))
+    return lines.select(*keys, F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("text"))
+
+
+def render_critiques(critiques: Column) -> Column:
+    """Critiques (severity, target_hypothesis, challenged_claim, rationale, citations) as lines."""
+    some = lambda c: F.when(F.length(F.coalesce(c, F.lit(""))) > 0, c)
+
+    def line(c: Column) -> Column:
+        cites = F.array_join(F.transform(F.coalesce(c["citations"], F.array().cast("array<string>")), lambda x: F.concat(F.lit("["), x, F.lit("]"))), " ")
+        against = F.coalesce(F.concat(F.lit(" (vs "), some(c["target_hypothesis"]), F.lit(")")), F.lit(""))
+        return F.rtrim(F.concat(F.lit("["), c["severity"], F.lit("]"), against, F.lit(" "), F.coalesce(some(c["challenged_claim"]), c["rationale"], F.lit("")), F.lit(" "), cites))
+
+    return F.array_join(F.transform(critiques, line), "\n")
+
+
+def render_finding(f: Column) -> Column:
+    """A structured finding (key_judgments of judgment and citations, confidence, confidence_rationale, key_assumptions,
+    indicators, alternative_hypothesis, collection_requirement, intelligence_gaps, critique_response) as a sectioned brief."""
+    empty = F.array().cast("array<string>")
+    listed = lambda c: F.when(F.size(F.coalesce(c, empty)) > 0, F.array_join(c, "; ")).otherwise("(none stated)")
+    given = lambda c: F.when(F.length(F.coalesce(c, F.lit(""))) > 0, c)
+    judgments = F.array_join(F.transform(f["key_judgments"], lambda j: F.rtrim(F.concat(F.lit("- "), j["judgment"], F.lit(" "), F.array_join(F.transform(F.coalesce(j["citations"], empty), lambda c: F.concat(F.lit("["), c, F.lit("]"))), " ")))), "\n")
+    other = F.trim(F.concat_ws(" ", given(f["alternative_hypothesis"]), F.concat(F.lit("Collection requirement: "), given(f["collection_requirement"]))))
+    part = lambda head, body: F.concat(F.lit(head), body)
+    return F.concat_ws(
+        "\n\n", part("KEY JUDGMENTS:\n", judgments), part("CONFIDENCE: ", F.concat(f["confidence"], F.lit(" — "), F.coalesce(f["confidence_rationale"], F.lit("")))), part("KEY ASSUMPTIONS: ", listed(f["key_assumptions"])),
+        part("INDICATORS: ", listed(f["indicators"])), part("ALTERNATIVES: ", F.when(other != "", other).otherwise("(none stated)")), part("INTELLIGENCE GAPS: ", listed(f["intelligence_gaps"])),
+        part("RED TEAM RESPONSE: ", given(f["critique_response"])),
+    )
+
+
+def neutral(hypotheses: DataFrame) -> DataFrame:
+    """Cells for hypotheses (hypothesis_pos, hypothesis) of which nothing was assessed: they score nothing, in their order."""
+    return hypotheses.select("hypothesis_pos", "hypothesis", F.lit(None).cast("string").alias("evidence"), F.lit("neutral").alias("assessment"))

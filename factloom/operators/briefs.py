@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom import registries as R
 from factloom.functions import text
@@ -57,9 +58,13 @@ def snapshot(briefs: DataFrame) -> DataFrame:
     return kept.select("brief_id", F.to_json(F.struct(*SNAPSHOT)).alias("line"))
 
 
+def plain(question: Column) -> Column:
+    """A question without case and with single blanks."""
+    return F.regexp_replace(F.lower(F.trim(question)), r"\s+", " ")
+
+
 def same_question(a: Column, b: Column) -> Column:
     """Whether two questions are equal but for case and white space."""
-    plain = lambda q: F.regexp_replace(F.lower(F.trim(q)), r"\s+", " ")
     return plain(a) == plain(b)
 
 
@@ -69,6 +74,14 @@ def saved(briefs: DataFrame, query: str, limit: int = 1) -> DataFrame:
     return kept.where(same_question(F.col("query"), F.lit(query))).orderBy(F.desc("created_at"), "brief_id").limit(limit)
 
 
+def saved_for(briefs: DataFrame, questions: DataFrame, query: str = "query_id", limit: int = 1) -> DataFrame:
+    """(query, brief_id, place): saved() for a table of questions (query, question) at once, by one equi-join."""
+    kept = briefs.where("backend is not null and backend not in ('template', 'triage')").select("brief_id", "created_at", plain(F.col("query")).alias("_q"))
+    met = questions.select(query, plain(F.col("question")).alias("_q")).join(kept, "_q")
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc_nulls_last("created_at"), "brief_id"))
+    return met.withColumn("place", place).where(F.col("place") <= limit).select(query, "brief_id", "place")
+
+
 def report(metrics: Mapping[str, float]) -> str:
     """Measured values as a Markdown table."""
     return "\n".join(["| metric | value |", "|-|-|", *(f"| {k} | {v:.3f} |" for k, v in metrics.items())])

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.operators.evaluate import citation_coverage
+
 #: Namespace of the identifiers of exported objects.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "factloom.invalid")
 EPOCH = "2020-01-01T00:00:00.000Z"
@@ -66,6 +68,29 @@ def bundle_objects(techniques: DataFrame, sources: DataFrame, narratives: DataFr
     return out.unionByName(reports(narratives)) if narratives is not None else out
 
 
+def bundle(objects: DataFrame, name: str = "all") -> DataFrame:
+    """(key, line): a whole bundle as lines in order of key, valid JSON when they are written one after another. Only the
+    first object has no comma before it, so no row or task ever holds the bundle."""
+    first = objects.agg(F.min("key").alias("_first"))
+    body = objects.crossJoin(F.broadcast(first)).select("key", F.concat(F.when(F.col("key") == F.col("_first"), "").otherwise(","), "object").alias("line"))  # first: one row
+    spark = objects.sparkSession
+    ident = f"bundle--{uuid.uuid5(NAMESPACE, 'bundle:' + name)}"
+    ends = spark.createDataFrame([("", f'{{"type":"bundle","id":"{ident}","objects":['), ("\U0010ffff", "]}")], "key string, line string")
+    return ends.unionByName(body).orderBy("key")
+
+
+def write_bundle(objects: DataFrame, path: str, name: str = "all") -> None:
+    """The bundle as text files whose names are in order: put together they are one JSON document."""
+    bundle(objects, name).select("line").write.text(path)
+
+
+def training_examples(briefs: DataFrame, system: str, least: float = 1.0) -> DataFrame:
+    """(brief_id, messages) of briefs that are fit to learn from: with judgments, citations and a body, and with so large a
+    share of judgments cited."""
+    fit = (F.size("judgments") > 0) & (F.size("citations") > 0) & (F.trim(F.coalesce("body", F.lit(""))) != "") & (citation_coverage(F.col("judgments")) >= least)
+    return briefs.where(F.coalesce(fit, F.lit(False))).select("brief_id", chat_example(system, F.col("query"), F.col("body")).alias("messages"))
+
+
 def train_valid(rows: DataFrame, key: Column, share: float = 0.2, seed: int = 0, buckets: int = 4096) -> DataFrame:
     """`rows` with `split`: exactly max(1, floor(n x share)) are 'valid' (none of fewer than two), chosen by a hash of the
     key and the seed. Ranks are counted by hash bucket, so no window holds all rows. Keys should be distinct."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,3 +86,30 @@ def overfetch(rows: DataFrame, keep: Column, limit: int, pos: str = "pos") -> Da
 
 def lane_counts(items: DataFrame, lane: str = "lane") -> DataFrame:
     return items.groupBy(lane).agg(F.count("*").alias("n"))
+
+
+_STATUS = "lane string, label string, configured boolean, reachable boolean, count bigint, count_label string, last_doc_id string, last_title string, detail string"
+
+
+def overview(spark, fetch: Mapping[str, Callable[[], DataFrame]], labels: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per lane, in lane order: whether it is set up and answers, how many items it holds, its latest item.
+
+    `fetch` gives a lane's items (doc_id, title, published as time). Lanes are asked side by side; one that fails is
+    reported as unreachable and hides no other, but the open-source lane's errors pass on, since that is the own store."""
+
+    def ask(lane: str) -> tuple:
+        label = (labels or {}).get(lane, lane.title())
+        if lane not in fetch:
+            return lane, label, False, False, None, "items", None, None, "not set up"
+        newest = F.max_by(F.struct("doc_id", "title"), F.struct(F.col("published").isNotNull(), "published", "doc_id"))
+        try:
+            row = fetch[lane]().agg(F.count("*").alias("n"), newest.alias("last")).first()
+        except Exception:
+            if lane == "osint":
+                raise
+            return lane, label, True, False, None, "items", None, None, "status check failed"
+        return lane, label, True, True, row.n, "documents" if lane == "osint" else "items", row.last and row.last.doc_id, row.last and row.last.title, None
+
+    with ThreadPoolExecutor(max_workers=len(R.LANES)) as pool:
+        rows = list(pool.map(ask, R.LANES))
+    return spark.createDataFrame(rows, _STATUS)

@@ -12,8 +12,9 @@ from pyspark.sql.window import Window
 
 from factloom import registries as R
 from factloom import schemas
+from factloom.durable import cut
 from factloom.functions import grades, text, vectors
-from factloom.operators import assess, briefs, clustering, entities, evaluate, evidence, export, fusion, intervals, orphans, persist, retrieval, timestamps, views
+from factloom.operators import assess, briefs, clustering, collection, entities, evaluate, evidence, export, fusion, intervals, orphans, persist, retrieval, timestamps, views
 from factloom.plans import problems
 from factloom.session import table
 from factloom.sources import feeds, pages
@@ -70,6 +71,12 @@ def vdocs(spark: SparkSession, root: str) -> DataFrame:
 VDOCS = """vdocs AS (SELECT d.doc_id, d.source, d.collected_at AS published, e.embedding, e.label AS topic FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)"""
 
 
+def encoded(spark: SparkSession, root: str) -> DataFrame:
+    """Articles with vectors of their titles and the time they were published."""
+    d = docs(spark, root).select("doc_id", F.col("source_key").alias("source"), "title", "summary", F.col("published_at").alias("published"), F.lit(None).cast("array<float>").alias("embedding"))
+    return cut(vectors.encode_missing(d, "title"), "articles-encoded")
+
+
 def golds(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "eval_items").where("kind = 'gold_query'").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "expectation")
 
@@ -245,12 +252,25 @@ def op_K2_ensure_sources(spark, root):
     return persist.ensure_sources(table(spark, root, "articles"), table(spark, root, "sources"))
 
 
-@op("SELECT count(*) AS objects, count(DISTINCT label) AS sources FROM (SELECT label FROM sources UNION ALL SELECT NULL FROM range(20))")
+def uuid5_sql(key: str) -> str:
+    """SQL of the name-based UUID of a text."""
+    h = f"sha1(unhex('{export.NAMESPACE.hex}') || encode({key}))"
+    return f"(SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][1 + ((strpos('0123456789abcdef', h[17]) - 1) % 4)] || h[18:20] || '-' || h[21:32] FROM (SELECT {h} AS h))"
+
+
+NARRATIVES = [("nar:1", "ports closed", [("T0002", "Facilitate State Propaganda", "Execute", 0.5)]), ("nar:2", "untagged", []), ("nar:3", "no tags known", None)]
+_TECHNIQUE_ROWS = values([tuple(r) for r in R.rows(R.TECHNIQUES)], "technique_id, name, phase, description")
+
+
+@op(f"""SELECT 'attack-pattern' AS type, 'attack-pattern--' || {uuid5_sql("'technique:' || technique_id")} AS id, name, 0 AS refs FROM {_TECHNIQUE_ROWS} UNION ALL SELECT 'identity', 'identity--' || {uuid5_sql("'source:' || label")}, coalesce(nullif(name, ''), label), 0 FROM sources
+  UNION ALL SELECT 'report', 'report--' || {uuid5_sql("'nar:1'")}, 'ports closed', 1""")
 def op_K5_bundle(spark, root):
-    """Objects of the exported bundle, with how many different identifiers they have among sources."""
-    objects = export.bundle_objects(R.techniques(spark), table(spark, root, "sources"))
-    kind = F.get_json_object("object", "$.type")
-    return objects.agg(F.count("*").alias("objects"), F.countDistinct(F.when(kind == "identity", F.get_json_object("object", "$.id"))).alias("sources"))
+    """The exported bundle, put together from its lines and read again: types, identifiers, names and references."""
+    told = literal(spark, NARRATIVES, "narrative_id string, label string, disarm array<struct<technique_id:string,name:string,phase:string,score:double>>").withColumns({"summary": F.lit(None).cast("string"), "last_seen": F.lit(None).cast("timestamp")})
+    lines = export.bundle(export.bundle_objects(R.techniques(spark), table(spark, root, "sources"), told))
+    whole = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda x: x["line"]), "").alias("json"))  # a registry
+    objects = F.from_json("json", "type string, id string, objects array<struct<type:string,id:string,name:string,object_refs:array<string>>>")["objects"]
+    return whole.select(F.explode(objects).alias("o")).select("o.type", "o.id", "o.name", F.coalesce(F.size("o.object_refs"), F.lit(0)).alias("refs")).withColumn("refs", F.greatest("refs", F.lit(0)))
 
 
 @op("SELECT split, n FROM (SELECT 'valid' AS split, greatest(1, floor(count(*) * 0.2))::BIGINT AS n FROM documents UNION ALL SELECT 'train', count(*) - greatest(1, floor(count(*) * 0.2))::BIGINT FROM documents)")
@@ -371,24 +391,35 @@ def op_P15_attribution(spark, root):
     return golds(spark, root).select("query_id", text.asks_attribution(F.col("query")).alias("attribution"))
 
 
-@op(f"WITH {GRADED} SELECT source_key, bool_or(reliability IN ('A','B','C')) AND bool_or(reliability IN ('D','E','F')) AS crosses FROM (SELECT substr(doc_id, length(doc_id)) AS source_key, reliability FROM graded) GROUP BY 1")
+@op(f"""WITH {VDOCS} SELECT (topic * 1000 + doc_id // 100)::BIGINT AS event_id, bool_or(coalesce(reliability, 'F') IN ('A','B','C')) AND bool_or(coalesce(reliability, 'F') IN ('D','E','F')) AS crosses FROM vdocs v LEFT JOIN sources s ON s.label = v.source GROUP BY 1""")
 def op_P16_tier_crossing(spark, root):
-    g = graded(spark, root).select(F.expr("substring(doc_id, length(doc_id))").alias("source_key"), "reliability")
-    return g.groupBy("source_key").agg(grades.crosses_tiers(F.col("reliability")).alias("crosses"))
+    """Whether an event (one topic, neighbouring identifiers) is reported by high and by low grades."""
+    grade = table(spark, root, "sources").select(F.col("label").alias("source"), "reliability")
+    m = vdocs(spark, root).join(grade, "source", "left").withColumn("event_id", (F.col("topic") * 1000 + F.floor(F.col("doc_id") / 100)).cast("bigint"))
+    return m.groupBy("event_id").agg(grades.crosses_tiers(F.col("reliability")).alias("crosses"))
+
 
+_CASE = lambda c, labels: f"CASE {c} " + " ".join(f"WHEN {k!r} THEN '{v}'" for k, v in labels.items()) + " END"
 
-@op(f"""WITH {GRADED} SELECT doc_id, upper(reliability) || coalesce(nullif(credibility, 0), 6) AS rating, label FROM (SELECT *, 'E' || row_number() OVER (ORDER BY ingested_at DESC, doc_id) AS label, row_number() OVER (ORDER BY ingested_at DESC, doc_id) AS n FROM graded) WHERE n <= 12""")
+
+@op(f"""WITH {GRADED}, top AS (SELECT *, row_number() OVER (ORDER BY ingested_at DESC, doc_id) AS n FROM graded), t AS (SELECT *, upper(reliability) AS r, coalesce(nullif(credibility, 0), 6) AS c FROM top WHERE n <= 12)
+  SELECT doc_id, 'E' || n AS label, '[E' || n || '] ' || r || c || ' (' || {_CASE('r', R.RELIABILITY_LABELS)} || '; ' || coalesce({_CASE('c', R.CREDIBILITY_LABELS)}, '{R.CREDIBILITY_LABELS[6]}') || ') ' || source || CASE WHEN length(coalesce(published, '')) > 0 THEN ' (' || published || ')' ELSE '' END
+    || ': ' || title || '. ' || CASE WHEN coalesce(summary, '') <> '' THEN summary ELSE title END AS line FROM t""")
 def op_P17_evidence_lines(spark, root):
-    """The twelve latest articles as labelled evidence."""
+    """The twelve latest articles as labelled evidence, as readers see it."""
     top = graded(spark, root).orderBy(F.desc("ingested_at"), "doc_id").limit(R.CONTEXT_ITEMS)
     n = top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("ingested_at"), "doc_id")))
-    return evidence.lines(n).join(n.select("doc_id", grades.rating(F.col("reliability"), F.col("credibility")).alias("rating")), "doc_id").select("doc_id", "rating", "label")
+    return evidence.lines(n).select("doc_id", "label", "line")
 
 
-@op(rf"WITH {DOCS} SELECT regexp_replace(lower(trim(title)), '\s+', ' ', 'g') AS q, count(*) AS n FROM docs GROUP BY 1 HAVING count(*) > 1")
-def op_P18_same_question(spark, root):
-    """Titles that are one question but for case and white space."""
-    return docs(spark, root).groupBy(F.regexp_replace(F.lower(F.trim("title")), r"\s+", " ").alias("q")).agg(F.count("*").alias("n")).where("n > 1")
+@op("SELECT source AS brief_id, source AS query_id FROM evidence_items WHERE source IS NOT NULL AND regexp_replace(lower(trim(source)), '\\s+', ' ', 'g') = lower(source) GROUP BY 1")
+def op_P18_saved(spark, root):
+    """Stored answers to questions that are asked again in other case and white space."""
+    b = _stored(spark, root).where("brief_id is not null").withColumn("created_at", F.lit(None).cast("timestamp"))
+    plain = b.where(F.regexp_replace(F.lower(F.trim("brief_id")), r"\s+", " ") == F.lower("brief_id"))
+    asked = plain.select(F.col("brief_id").alias("query_id"), F.concat(F.lit("  WHAT   does "), F.upper("brief_id"), F.lit(" say? ")).alias("question"))
+    found = briefs.saved_for(plain, asked, limit=50).where("brief_id = query_id")
+    return found.select("brief_id", "query_id")
 
 
 @op(f"WITH {DOCS} SELECT doc_id, CASE WHEN len(tags) > 0 THEN array_to_string(tags, ',') END AS tags FROM docs")
@@ -546,9 +577,16 @@ def op_J12_campaign_ranking(spark, root):
 ACTOR_TEXTS = [(1, "ZINC and apt28 struck; APT10 did not"), (2, "Zinc mining output"), (3, "a snake in the garden, Fancy Bear"), (4, None), (5, "the Lazarus Group")]
 
 
-@op("SELECT * FROM (VALUES (1, 'APT10'), (1, 'APT28'), (1, 'Lazarus Group'), (3, 'APT28'), (5, 'Lazarus Group')) AS t(k, actor)")
+_ALIASES = values([(r[0], n) for r in R.rows(R.ACTORS) for n in (r[0], *r[2].split(",")) if n.lower() not in R.UNSCANNED_ALIASES], "actor, name")
+
+
+@op(f"""WITH texts AS (SELECT doc_id AS k, text AS body FROM documents UNION ALL SELECT -item_id, concat_ws(' ', title, summary) FROM evidence_items UNION ALL SELECT 1000000000 + k, body FROM {values(ACTOR_TEXTS, 'k, body')}), a AS (SELECT * FROM {_ALIASES})
+  SELECT DISTINCT k, actor FROM texts JOIN a ON CASE WHEN list_contains({sql_list(R.CASED_ALIASES)}, name) THEN contains(body, name) AND regexp_matches(body, '\\b' || name || '\\b') ELSE contains(lower(body), lower(name)) AND regexp_matches(lower(body), '\\b' || lower(name) || '\\b') END""")
 def op_J13_alias_scan(spark, root):
-    return evidence.alias_scan(literal(spark, ACTOR_TEXTS, "k bigint, body string"), "k", "body", R.actors(spark)).select("k", "actor")
+    """Threat actors named in all documents and evidence items, and in some texts that do name them."""
+    rows = table(spark, root, "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("body")).unionByName(table(spark, root, "evidence_items").select((-F.col("item_id")).alias("k"), F.concat_ws(" ", "title", "summary").alias("body")))
+    rows = rows.unionByName(literal(spark, [(1_000_000_000 + k, b) for k, b in ACTOR_TEXTS], "k bigint, body string"))
+    return evidence.alias_scan(rows, "k", "body", R.actors(spark)).select("k", "actor")
 
 
 @op("SELECT nation, count(*) AS actors FROM " + values([tuple(r) for r in R.rows(R.ACTORS)], "name, nation, aliases") + " GROUP BY nation")
@@ -556,12 +594,48 @@ def op_J14_nations(spark, root):
     return R.actors(spark).groupBy("nation").agg(F.count("*").alias("actors"))
 
 
-@op()
+@op("SELECT * FROM (VALUES (1, 2, 0.5, 0.5), (2, 2, 1.0, 0.0), (3, 0, 0.0, 0.0)) AS t(brief_id, claims, faithfulness, support)")
 def op_J15_A16_entailment(spark, root):
-    ev = literal(spark, [(1, "Two ships went dark near the reef", None), (2, "The port closed", "Ships waited offshore for days")], "brief_id bigint, title string, summary string")
+    ev = literal(spark, [(1, 1, "d1", "Two ships went dark near the reef", None), (2, 2, "d2", "The port closed", "Ships waited offshore for days")], "brief_id bigint, n int, doc_id string, title string, summary string")
     return evaluate.entailment(_briefs(spark), ev)
 
 
+@op("WITH p AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS other FROM eval_items WHERE kind = 'entailment_pair') SELECT 1.0 AS agreement, 2 * count(*) - 1 AS cases FROM p")
+def op_A16_agreement(spark, root):
+    """Items against themselves, which they entail, and against their neighbours, which they mostly share too few words with."""
+    e = table(spark, root, "eval_items").where("kind = 'entailment_pair'").select("item_id", "text")
+    n = e.withColumn("_n", F.row_number().over(Window.orderBy("item_id")))
+    other = n.select((F.col("_n") - 1).alias("_n"), F.col("text").alias("hypothesis"))
+    cases = e.select(F.col("text").alias("premise"), F.col("text").alias("hypothesis"), F.lit(True).alias("entailed")).unionByName(n.join(other, "_n").select(F.col("text").alias("premise"), "hypothesis", F.lit(False).alias("entailed")))
+    return evaluate.agreement(cases, 0.9)
+
+
+@op(r"""WITH l AS (SELECT doc_id, text, string_split_regex(text, '\r\n|[\n\x{0b}\f\r\x{85}\x{2028}\x{2029}]') AS ls FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, CASE WHEN lower(regexp_extract(text, '(?i)\b(low|moderate|high)\b', 1)) = 'high' THEN 0.0 ELSE round(len(list_filter(ls, lambda x: regexp_matches(x, '\[[^\]]+\]'))) / len(ls), 9) END AS metric FROM l""")
+def op_A17_brief_metric(spark, root):
+    """Citation coverage of every document's lines, nothing where the first confidence it states is above 'moderate'."""
+    d = table(spark, root, "documents").where("text is not null").select("doc_id", F.split("text", r"\R").alias("lines"), text.confidence_word(F.col("text")).alias("confidence"))
+    return d.select("doc_id", F.round(evaluate.brief_metric(F.col("lines"), F.col("confidence"), F.lit("moderate")), 9).alias("metric"))
+
+
+@op(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\[([^\]]+)\]', 1)) AS inside FROM documents), t AS (SELECT doc_id, unnest(string_split_regex(trim(inside), '[,\s]+')) AS t FROM m)
+  SELECT d.doc_id, count(DISTINCT t) FILTER (t <> '' AND NOT regexp_full_match(t, 'E([1-9]|1[0-2])')) AS fabricated FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY 1""")
+def op_A14_fabricated(spark, root):
+    """Markers of every document that name none of twelve labels."""
+    known = text.words(*[f"E{i}" for i in range(1, 13)])
+    return table(spark, root, "documents").select("doc_id", evaluate.fabricated(F.array_distinct(text.citation_markers(F.col("text"))), known).cast("bigint").alias("fabricated"))
+
+
+@op(r"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+ (?:council|ministry|institute)')) AS name FROM documents) SELECT doc_id, substr(sha256('ORG:' || lower(name)), 1, 24) AS entity_id, name, count(*) AS n FROM n GROUP BY ALL""")
+def op_F7_extractor(spark, root):
+    """Entities by a recogniser of its own labels: here bodies by their word, with a label that isn't kept."""
+    import re
+
+    bodies = re.compile("[a-z]+ (?:council|ministry|institute)")
+    find = entities.extractor(lambda t: [*((m, "ORG") for m in bodies.findall(t)), ("whatever", "ORDINAL")])
+    return entities.mentions(table(spark, root, "documents"), "doc_id", "text", extract=find).select("doc_id", "entity_id", "name", F.col("count").cast("bigint").alias("n"))
+
+
 @op("SELECT a.doc_id, count(*) AS mentions, count(e.entity_id) AS resolved FROM (SELECT DISTINCT doc_id, entity_id FROM document_entities) a LEFT JOIN entities e USING (entity_id) GROUP BY 1")
 def op_J18_membership(spark, root):
     e = table(spark, root, "document_entities").select("doc_id", "entity_id").distinct()
@@ -571,10 +645,12 @@ def op_J18_membership(spark, root):
 
 # ---- aggregations
 
-@op("SELECT 'articles' AS name, count(DISTINCT doc_id) AS n FROM articles UNION ALL SELECT 'sources', count(*) FROM sources UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'evidence_items', count(*) FROM evidence_items")
+@op("SELECT 'articles' AS name, count(DISTINCT doc_id) AS n FROM articles UNION ALL SELECT 'sources', count(*) FROM sources UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'evidence_items', count(*) FROM evidence_items UNION ALL SELECT 'briefs', count(DISTINCT source) FROM evidence_items UNION ALL SELECT 'events', count(DISTINCT label * 1000 + doc_id // 100) FROM embeddings JOIN documents ON doc_id = vec_id")
 def op_A1_counts(spark, root):
     n = lambda name, e: table(spark, root, name).agg(e.alias("n")).select(F.lit(name).alias("name"), "n")
-    return n("articles", F.countDistinct("doc_id")).unionByName(n("sources", F.count("*"))).unionByName(n("entities", F.count("*"))).unionByName(n("evidence_items", F.count("*")))
+    return n("articles", F.countDistinct("doc_id")).unionByName(n("sources", F.count("*"))).unionByName(n("entities", F.count("*"))).unionByName(n("evidence_items", F.count("*"))).unionByName(_stored(spark, root).where("brief_id is not null").agg(F.count("*").alias("n")).select(F.lit("briefs").alias("name"), "n")).unionByName(
+        _events(spark, root).agg(F.count("*").alias("n")).select(F.lit("events").alias("name"), "n")
+    )
 
 
 _MEMBERSHIP = "m AS (SELECT source_key AS event_id, * FROM graded WHERE source_key IS NOT NULL)"
@@ -591,20 +667,20 @@ def op_A2_group_roll_up(spark, root):
 @op()
 def op_A2_D4_events(spark, root):
     """Events clustered from vectors and times, with their roll-up."""
-    d = vdocs(spark, root)
+    d = encoded(spark, root)
     return views.event_view(clustering.events(d), d).select("event_id", "title", "doc_count", "source_count", F.round("divergence", 6).alias("divergence"))
 
 
 @op()
 def op_P3_P5_contested(spark, root):
-    d = vdocs(spark, root)
+    d = encoded(spark, root)
     e = views.event_view(clustering.events(d), d)
     return e.where(views.contested(e)).orderBy(F.desc("divergence"), "event_id").limit(50).select("event_id", "source_count", F.round("divergence", 6).alias("divergence"))
 
 
 @op()
 def op_A3_D5_narratives(spark, root):
-    d = vdocs(spark, root)
+    d = encoded(spark, root)
     m = clustering.narratives(d)
     src = table(spark, root, "sources").select("label", "reliability")
     return views.narrative_view(m, d, src, _catalogue(spark)).select("narrative_id", "label", "doc_count", "source_count", "coordination", F.size("disarm").alias("tags"))
@@ -667,7 +743,7 @@ def op_A15_R1_routing(spark, root):
 
 
 @op(f"""WITH {GOLDS} SELECT query_id, CASE WHEN expectation IS NULL THEN false ELSE expectation <> 'low' AND expectation = 'high' END AS over FROM golds""")
-def op_A17_A18_over_confident(spark, root):
+def op_A18_over_confident(spark, root):
     """Whether the expected confidence is above a cap of 'moderate'."""
     return golds(spark, root).select("query_id", grades.exceeds(F.col("expectation"), F.lit("moderate")).alias("over"))
 
@@ -741,11 +817,13 @@ def op_V6_best_score(spark, root):
     return spark.range(1).select(F.round(F.lit(2.0) / (R.RRF_K + 1), 9).alias("best"))
 
 
-@op()
+@op("SELECT d.doc_id, 64 AS dim, e.vec_id IS NULL AS filled FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
 def op_V7_V8_encode(spark, root):
-    """The deterministic encoder over every text: length of the vector and of its norm."""
-    v = table(spark, root, "documents").select("doc_id", vectors.hash_embedding(64)(F.col("text")).alias("v"))
-    return v.select("doc_id", F.size("v").alias("dim"), F.round(F.sqrt(vectors.dot(F.col("v"), F.col("v"))), 3).alias("norm"))
+    """Vectors of all documents: those that are known, and encoded ones where there was none."""
+    emb = table(spark, root, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = table(spark, root, "documents").select("doc_id", "text").join(emb, "doc_id", "left").withColumn("filled", F.col("embedding").isNull())
+    v = vectors.encode_missing(d, "text")
+    return v.select("doc_id", F.size("embedding").alias("dim"), "filled")
 
 
 @op(f"""WITH {GOLDS}, {_BM25}, r AS (SELECT l.query_id, l.doc_id, coalesce(d.source, '') AS source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex l JOIN documents d USING (doc_id)),
@@ -783,22 +861,52 @@ def op_W8_sources_by_grade(spark, root):
     return s.select("label", "reliability", F.row_number().over(Window.orderBy("reliability", "label")).alias("n"))
 
 
-@op("SELECT source, n, docs FROM (SELECT source, count(DISTINCT lower(title)) AS n, count(*) AS docs FROM evidence_items GROUP BY 1) ORDER BY n DESC, docs DESC, source LIMIT 100")
-def op_W9_top_groups(spark, root):
-    g = table(spark, root, "evidence_items").groupBy("source").agg(F.countDistinct(F.lower("title")).alias("n"), F.count("*").alias("docs"))
-    return g.orderBy(F.desc("n"), F.desc("docs"), "source").limit(100).select("source", "n", "docs")
+_EVENTS = f"""m AS (SELECT (topic * 1000 + doc_id // 100)::BIGINT AS event_id, v.*, d.text FROM vdocs v JOIN documents d USING (doc_id)),
+  p AS (SELECT a.event_id, min(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS low FROM m a JOIN m b ON a.event_id = b.event_id AND a.doc_id < b.doc_id GROUP BY 1),
+  ev AS (SELECT m.event_id, count(*) AS doc_count, count(DISTINCT source) AS source_count, epoch_us(min(published)) AS occurred_us, arg_min(string_split(text, chr(10))[1], doc_id) AS title, round(CASE WHEN any_value(low) IS NULL THEN 0 ELSE greatest(0, least(1, 1 - any_value(low))) END, 6) AS divergence
+    FROM m LEFT JOIN p USING (event_id) GROUP BY 1)"""
+
+
+def _events(spark, root) -> DataFrame:
+    """The event view over groups of one topic and neighbouring identifiers, members in order of doc_id."""
+    d = vdocs(spark, root)
+    m = d.select((F.col("topic") * 1000 + F.floor(F.col("doc_id") / 100)).cast("bigint").alias("event_id"), "doc_id", F.col("doc_id").alias("step"))
+    return views.event_view(m, d).withColumn("divergence", F.round("divergence", 6))
+
+
+@op(f"WITH {VDOCS}, {_EVENTS} SELECT * FROM ev")
+def op_A2_event_view(spark, root):
+    return _events(spark, root).select("event_id", "doc_count", "source_count", F.unix_micros("occurred").alias("occurred_us"), "title", "divergence")
+
 
+@op(f"WITH {VDOCS}, {_EVENTS} SELECT event_id, source_count, doc_count FROM ev ORDER BY source_count DESC, doc_count DESC, event_id LIMIT 100")
+def op_W9_top_events(spark, root):
+    return _events(spark, root).orderBy(F.desc("source_count"), F.desc("doc_count"), "event_id").limit(100).select("event_id", "source_count", "doc_count")
 
-@op("SELECT source, m FROM (SELECT source, round(avg(credibility), 6) AS m FROM evidence_items GROUP BY 1) ORDER BY m DESC NULLS FIRST, source LIMIT 100")
-def op_W10_W11_top_scores(spark, root):
-    g = table(spark, root, "evidence_items").groupBy("source").agg(F.round(F.avg("credibility"), 6).alias("m"))
-    return g.orderBy(F.desc_nulls_first("m"), "source").limit(100)
 
+@op(f"WITH {VDOCS}, {_EVENTS} SELECT event_id, divergence FROM ev WHERE source_count >= 2 AND divergence >= 0.30 ORDER BY divergence DESC, event_id LIMIT 100")
+def op_P3_W10_contested(spark, root):
+    e = _events(spark, root)
+    return e.where(views.contested(e)).orderBy(F.desc("divergence"), "event_id").limit(100).select("event_id", "divergence")
+
+
+@op(f"""WITH {VDOCS}, {_EVENTS}, n AS (SELECT m.*, coalesce(s.reliability, 'F') AS reliability, count(published) OVER (PARTITION BY event_id ORDER BY published RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS c FROM m LEFT JOIN sources s ON s.label = m.source)
+  SELECT event_id AS narrative_id, count(*) AS doc_count, count(DISTINCT source) AS source_count, epoch_us(min(published)) AS first_us, epoch_us(max(published)) AS last_us,
+    round(CASE WHEN count(published) >= 2 THEN max(c) FILTER (published IS NOT NULL) / count(*) ELSE 0 END * (0.5 + 0.5 * avg(CASE WHEN reliability IN ('D', 'E', 'F') THEN 1.0 ELSE 0.0 END)), 4) AS coordination FROM n GROUP BY 1 ORDER BY coordination DESC, narrative_id LIMIT 1000""")
+def op_A3_W11_narratives(spark, root):
+    """The narrative view over the same groups, the most coordinated first."""
+    d = vdocs(spark, root)
+    m = d.select((F.col("topic") * 1000 + F.floor(F.col("doc_id") / 100)).cast("bigint").alias("narrative_id"), "doc_id", F.col("doc_id").alias("step"))
+    v = views.narrative_view(m, d, table(spark, root, "sources").select("label", "reliability"))
+    v = v.orderBy(F.desc_nulls_first("coordination"), "narrative_id").limit(1000)
+    return v.select("narrative_id", "doc_count", "source_count", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "coordination")
 
-@op("SELECT doc_id, ingested FROM (SELECT doc_id, epoch_us(max(ingested_at)) AS ingested FROM articles GROUP BY 1) ORDER BY ingested DESC, doc_id LIMIT 100")
-def op_W12_newest(spark, root):
-    g = table(spark, root, "articles").groupBy("doc_id").agg(F.unix_micros(F.max("ingested_at")).alias("ingested"))
-    return g.orderBy(F.desc("ingested"), "doc_id").limit(100)
+
+@op("SELECT source AS brief_id FROM evidence_items WHERE source IS NOT NULL GROUP BY 1 ORDER BY max(item_id) DESC LIMIT 100")
+def op_W12_newest_briefs(spark, root):
+    made = table(spark, root, "evidence_items").groupBy(F.col("source").alias("brief_id")).agg(F.timestamp_seconds(F.max("item_id")).alias("created_at"))
+    b = _stored(spark, root).drop("created_at").join(made, "brief_id")
+    return b.orderBy(F.desc("created_at"), "brief_id").limit(100).select("brief_id")
 
 
 @op("""SELECT item_id, (t * 5 + lane)::BIGINT AS place FROM (SELECT item_id, lane, row_number() OVER (PARTITION BY lane ORDER BY item_id) AS t FROM (SELECT item_id, (item_id % 4)::INT AS lane FROM evidence_items))""")
@@ -992,31 +1100,97 @@ def op_R7_digest(spark, root):
     return assess.digest(e, ["source"]).select("source", "body")
 
 
-@op(f"""WITH {GOLDS}, {_BM25}, rel AS (SELECT query_id, min(doc_id) AS doc_id FROM lex GROUP BY 1 UNION SELECT query_id, max(doc_id) FROM lex GROUP BY 1),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex)
-  SELECT query_id, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS recall_10, round(coalesce(1.0 / min(rank), 0), 9) AS rr FROM rel JOIN r USING (query_id, doc_id) GROUP BY 1""")
-def op_A13_J17_R16_metrics(spark, root):
-    """Recall and reciprocal rank of the lexical ranking; relevant here are each question's first and last matched document."""
-    d, q = table(spark, root, "documents").select("doc_id", "text"), golds(spark, root)
-    s = retrieval.bm25(d, q)
-    relevant = s.groupBy("query_id").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).select("query_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("doc_id"))
-    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
-    return evaluate.retrieval_metrics(ranked, relevant, (10,)).withColumn("rr", F.round("rr", 9))
+_RANKINGS = f"""{_BM25}, qv AS (SELECT query_id, embedding AS v FROM golds JOIN embeddings ON vec_id = query_id),
+  cs AS (SELECT query_id, doc_id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 9) AS score FROM vdocs, qv),
+  lr AS (SELECT query_id, doc_id, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS lr FROM lex), rest AS (SELECT query_id, count(*) + 1 AS rest FROM lex GROUP BY 1),
+  sr AS (SELECT query_id, doc_id, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS sr FROM cs),
+  fs AS (SELECT query_id, doc_id, round(1.0 / (60 + coalesce(lr, rest)) + coalesce(1.0 / (60 + sr), 0), 12) AS score FROM lr FULL JOIN sr USING (query_id, doc_id) JOIN rest USING (query_id)),
+  ranked AS (SELECT * FROM (SELECT 'bm25' AS ranker, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex UNION ALL SELECT 'dense', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) FROM cs
+    UNION ALL SELECT 'rrf', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) FROM fs) WHERE rank <= 20),
+  rel AS (SELECT g.query_id, v.doc_id FROM golds g JOIN embeddings e ON e.vec_id = g.query_id JOIN vdocs v ON v.topic = e.label)"""
+
+
+def _rankings(spark, root) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The first twenty by words, by vectors and by both; relevant are the documents of the question's topic."""
+    q, d, v = golds(spark, root), table(spark, root, "documents").select("doc_id", "text"), vdocs(spark, root)
+    emb = table(spark, root, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("topic"))
+    lexical, dense = retrieval.bm25(d, q), retrieval.Dense(v, q.join(emb, "query_id"))
+    first = lambda df: df.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).alias("rank")).where("rank <= 20")
+    rankings = {"bm25": first(lexical), "dense": first(dense.top(20)), "rrf": retrieval.fuse(lexical, dense, d, q, 20).select("query_id", "doc_id", "rank")}
+    return rankings, q.join(emb, "query_id").join(v.select("doc_id", "topic"), "topic").select("query_id", "doc_id")
+
+
+@op(f"""WITH {GOLDS}, {VDOCS}, {_RANKINGS}, kk AS (SELECT unnest([1, 3, 5, 10, 20]) AS k), rk AS (SELECT unnest(['bm25', 'dense', 'rrf']) AS ranker),
+  hit AS (SELECT rk.ranker, rel.query_id, rel.doc_id, ranked.rank FROM rel CROSS JOIN rk LEFT JOIN ranked ON ranked.ranker = rk.ranker AND ranked.query_id = rel.query_id AND ranked.doc_id = rel.doc_id),
+  per AS (SELECT ranker, query_id, k, avg(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END) AS recall, coalesce(1.0 / min(rank), 0) AS rr FROM hit, kk GROUP BY ALL)
+  SELECT ranker, k, round(avg(recall), 9) AS recall, round(avg(rr), 9) AS mrr FROM per GROUP BY 1, 2""")
+def op_A13_J17_R16_ablation(spark, root):
+    """Recall at five depths and mean reciprocal rank of three rankers."""
+    rankings, relevant = _rankings(spark, root)
+    return evaluate.ablation(rankings, relevant).select("ranker", "k", F.round("recall", 9).alias("recall"), F.round("mrr", 9).alias("mrr"))
+
+
+@op(f"""WITH {GOLDS}, {VDOCS}, {_RANKINGS}, hit AS (SELECT rel.query_id, ranked.rank FROM rel LEFT JOIN ranked ON ranker = 'rrf' AND ranked.query_id = rel.query_id AND ranked.doc_id = rel.doc_id),
+  per AS (SELECT query_id, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END) AS recall, coalesce(1.0 / min(rank), 0) AS rr FROM hit GROUP BY 1)
+  SELECT unnest(['mean recall@3', 'MRR', 'citation coverage', 'fabricated citations', 'confidence breaches', 'brief metric', 'faithfulness', 'citation support']) AS metric,
+    unnest([round(avg(recall), 9), round(avg(rr), 9), 0.5, (SELECT count(*) FROM golds), (SELECT count(*) FILTER (expectation = 'low') FROM golds), round((SELECT avg(CASE WHEN expectation = 'low' THEN 0.0 ELSE 0.5 END) FROM golds), 9), 0.5, 0.5]) AS value FROM per""")
+def op_R13_evaluation(spark, root):
+    """A whole evaluation run: the fused ranking, and for each question a brief of two judgments of which one is made up."""
+    rankings, relevant = _rankings(spark, root)
+    q = golds(spark, root)
+    made = q.select("query_id", F.array(F.lit("Two ships went dark near the reef [E1]"), F.lit("[E9]")).alias("judgments"), F.lit("Moderate").alias("confidence"), F.col("expectation").alias("cap"))
+    made = made.withColumn("judgments", F.array(F.col("judgments")[0], F.lit("nobody can say what happened there"))).withColumn("judgments", F.array(F.concat(F.col("judgments")[0], F.lit(" [E9]")), F.col("judgments")[1]))
+    ev = q.select("query_id", F.lit(1).alias("n"), F.lit("d1").alias("doc_id"), F.lit("Two ships went dark near the reef").alias("title"), F.lit(None).cast("string").alias("summary"))
+    return evaluate.evaluation(rankings["rrf"], relevant, made, ev).select("metric", F.round("value", 9).alias("value"))
 
 
-@op()
+@op("SELECT source AS brief_id, 3 AS turns, 'What does ' || source || ' say?' AS asked FROM evidence_items WHERE source IS NOT NULL AND length(source) % 5 > 2 GROUP BY 1")
 def op_R14_trainset(spark, root):
-    """Briefs fit for training: judgments that are all cited."""
-    b = _briefs(spark)
-    return b.where(evaluate.citation_coverage(F.col("judgments")) >= 1.0).select("brief_id", F.to_json(export.chat_example("s", F.lit("q"), F.col("body"))).alias("example"))
+    """Stored briefs fit for training; a part of them here lacks a citation, judgments, citations or a body."""
+    b, n = _stored(spark, root).where("brief_id is not null"), F.length("brief_id") % 5
+    none = F.array().cast("array<string>")
+    odd = b.withColumns({"judgments": F.when(n == 0, none).when(n == 1, F.array(F.lit("not cited"))).otherwise(F.col("key_judgments")), "citations": F.when(n == 2, none).otherwise(F.col("citations"))})
+    return export.training_examples(odd, "You write cited briefs.").select("brief_id", F.size("messages").alias("turns"), F.col("messages")[1]["content"].alias("asked"))
 
 
-@op("""WITH refs AS (SELECT source AS k, count(*) AS n FROM evidence_items GROUP BY 1) SELECT k, n FROM refs WHERE lower(trim(k)) NOT IN (SELECT label FROM sources)""")
-def op_R4_unknown_lanes(spark, root):
-    """Labels of evidence that no source has."""
-    e = table(spark, root, "evidence_items").groupBy(F.col("source").alias("k")).agg(F.count("*").alias("n"))
-    known = table(spark, root, "sources").select(F.col("label").alias("_l"))
-    return e.join(known, F.lower(F.trim("k")) == F.col("_l"), "left_anti").where("k is not null")
+@op(f"""WITH {TIMED}, osint AS (SELECT count(*) AS n, arg_max(doc_id, (coalesce(epoch_us(published_at), -1), doc_id)) AS d, arg_max(title, (coalesce(epoch_us(published_at), -1), doc_id)) AS t FROM docs),
+  other AS (SELECT item_id % 4 AS lane, count(*) AS n, arg_max(doc_id, item_id) AS d, arg_max(title, item_id) AS t FROM evidence_items GROUP BY 1)
+  SELECT 'osint' AS lane, true AS configured, true AS reachable, n AS count, d AS last_doc_id, t AS last_title, NULL AS detail FROM osint UNION ALL SELECT 'sky', true, true, n, d, t, NULL FROM other WHERE lane = 1
+  UNION ALL SELECT 'ocean', true, false, NULL, NULL, NULL, 'status check failed' UNION ALL SELECT 'cyber', false, false, NULL, NULL, NULL, 'not set up'""")
+def op_R4_overview(spark, root):
+    """State of the lanes: the articles, a part of the evidence, one that fails, one that isn't there."""
+    e = table(spark, root, "evidence_items").where("item_id % 4 = 1").select("doc_id", "title", F.timestamp_seconds("item_id").alias("published"))
+
+    def away():
+        raise OSError
+
+    lanes = {"osint": lambda: docs(spark, root).select("doc_id", "title", F.col("published_at").alias("published")), "sky": lambda: e, "ocean": away}
+    return fusion.overview(spark, lanes).select("lane", "configured", "reachable", "count", "last_doc_id", "last_title", "detail")
+
+
+@op(f"""WITH {DOCS}, hit AS (SELECT * FROM docs WHERE contains(lower(title), 'coast guard'))
+  SELECT 'Coast Guard|Border Council' AS queries, (SELECT count(*) FROM hit) AS fetched, (SELECT count(*) FROM hit WHERE credibility IS NULL) AS new, (SELECT count(*) FROM docs WHERE credibility IS NOT NULL) > 0 AS briefed""")
+def op_R11_collection_loop(spark, root):
+    """A question's gaps become queries; what they bring is stored and the brief made again. One source is away."""
+    own = docs(spark, root).select("doc_id", "title", "summary", "source", "credibility", "url")
+
+    def fetch(q: str) -> DataFrame:
+        if q != "Coast Guard":
+            raise OSError
+        return own.where(F.lower("title").contains("coast guard"))
+
+    done = collection.loop(own.where("credibility is not null"), "What does the coast guard say?", table(spark, root, "sources"), fetch, lambda _: "Nothing on the Coast Guard, or on the Border Council and others")
+    return literal(spark, [("|".join(done.queries), done.fetched, done.new, done.after.count() > 0)], "queries string, fetched bigint, new bigint, briefed boolean")
+
+
+@op(f"""WITH {DOCS}, hit AS (SELECT count(*) FILTER (credibility IS NULL) AS new, count(*) AS fetched FROM docs WHERE contains(lower(title), 'coast guard'))
+  SELECT * FROM (SELECT 'hello!' AS question, 'capabilities' AS triage, 0 AS fetched, 0 AS new UNION ALL SELECT 'zzqx wvvk', 'no_reporting', fetched, new FROM hit)""")
+def op_R6_answers(spark, root):
+    """Questions that get no brief: small talk, and one on which nothing is there even after collection."""
+    own = docs(spark, root).select("doc_id", "title", "summary", "source", "credibility", "url")
+    stored, fetch = own.where("credibility is not null"), lambda q: own.where(F.lower("title").contains("coast guard"))
+    rows = [(q, a.triage, a.fetched, a.new) for q in ("hello!", "zzqx wvvk") for a in [collection.answer(stored, q, table(spark, root, "sources"), fetch)]]
+    return literal(spark, rows, "question string, triage string, fetched bigint, new bigint")
 
 
 # ---- stored briefs and the rest of the control flow
@@ -1069,6 +1243,23 @@ def op_P19_projection(spark, root):
     return docs(spark, root).select("doc_id", "title", "source", "url", "language", "country", "credibility")
 
 
+FINDING = ([("Ships left", ["E1", "E2"]), ("Port closed", None)], "moderate", "two sources", ["weather held"], None, "", "ask the pilots", ["who paid"], None)
+_FINDING = "key_judgments array<struct<judgment:string,citations:array<string>>>, confidence string, confidence_rationale string, key_assumptions array<string>, indicators array<string>, alternative_hypothesis string, collection_requirement string, intelligence_gaps array<string>, critique_response string"
+
+
+@op("SELECT chr(10) AS nl, 'KEY JUDGMENTS:|- Ships left [E1] [E2]|- Port closed||CONFIDENCE: moderate — two sources||KEY ASSUMPTIONS: weather held||INDICATORS: (none stated)||ALTERNATIVES: Collection requirement: ask the pilots||INTELLIGENCE GAPS: who paid' AS finding, "
+    "'[high] (vs h1) wrong port [E1]|[low] thin' AS critiques, '1. h3  (disconfirm=0.00, -0/+0)|2. h2  (disconfirm=0.40, -1/+0)|3. h1  (disconfirm=0.90, -1/+1)' AS ranking")
+def op_F19_F20_renderers(spark, root):
+    """A finding, critiques and a ranking as text, line ends shown as bars."""
+    f = literal(spark, [FINDING], _FINDING)
+    c = literal(spark, [([("high", "h1", "wrong port", None, ["E1"]), ("low", None, None, "thin", None)],)], "c array<struct<severity:string,target_hypothesis:string,challenged_claim:string,rationale:string,citations:array<string>>>")
+    cells = literal(spark, CELLS, "hypothesis_pos int, hypothesis string, evidence string, assessment string")
+    ranking = assess.render_ranking(assess.score_hypotheses(cells, _labels(spark).select("n", "reliability")).withColumn("g", F.lit(1)), ["g"])
+    bars = lambda x: F.regexp_replace(x, "\n", "|")
+    one = f.select(bars(assess.render_finding(F.struct("*"))).alias("finding")).crossJoin(c.select(bars(assess.render_critiques(F.col("c"))).alias("critiques"))).crossJoin(ranking.select(bars(F.col("text")).alias("ranking")))  # one row each
+    return one.select(F.lit("\n").alias("nl"), "finding", "critiques", "ranking")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

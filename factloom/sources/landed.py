@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+import time
+import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from factloom import schemas
+from factloom.functions import text
+from factloom.sources import feeds
 
 
 def read_geoint(spark: SparkSession, path: str) -> DataFrame:
@@ -33,6 +37,45 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
 
 
+def article_list_url(base: str, query: str, most: int = 75, span: str = "3d", language: str | None = None) -> str:
+    """Address of an article-list search: newest first, so many records, so far back, of one source language if given."""
+    words = f"{query.strip()} sourcelang:{language}" if language else query.strip()
+    return base + "?" + urllib.parse.urlencode({"query": words, "mode": "ArtList", "format": "json", "maxrecords": most, "timespan": span, "sort": "DateDesc"})
+
+
+def _get(url: str) -> str:
+    if not url.startswith(("http://", "https://")):
+        raise ValueError("only http and https")
+    with urllib.request.urlopen(url, timeout=20) as answer:  # noqa: S310
+        return answer.read().decode("utf-8", "replace")
+
+
+def fetch_articles(spark: SparkSession, question: str, base: str, get: Callable[[str], str] = _get, tries: int = 3, wait: Callable[[float], None] = time.sleep, pause: float = 5.0, **search) -> DataFrame:
+    """Documents of an article-list search for a question: by its keywords, and where nothing comes back once more, after a
+    pause, by its proper nouns alone. A request is tried again with growing waits; one that keeps failing, or answers with
+    no JSON, gives no documents."""
+    row = spark.createDataFrame([(question,)], "q string").select(text.keyword_query(F.col("q")).alias("words"), text.proper_noun_query(F.col("q")).alias("nouns")).first()
+
+    def ask(query: str) -> str:
+        for n in range(tries):
+            try:
+                body = get(article_list_url(base, query, **search))
+                json.loads(body)
+                return body
+            except ValueError:
+                return "{}"
+            except OSError:
+                if n + 1 < tries:
+                    wait(min(10.0, 2.0**n))
+        return "{}"
+
+    body = ask(row.words)
+    if not json.loads(body).get("articles") and row.nouns:
+        wait(pause)
+        body = ask(row.nouns)
+    return feeds.parse_gdelt(spark.createDataFrame([(body,)], "payload string"))
+
+
 class FetchSource(DataSource):
     """`spark.read.format("factloom_fetch").option("urls", "[…]")`: (url, status, body) of addresses, one partition each.
 

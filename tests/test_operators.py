@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom import registries as R
 from factloom.functions import grades, text, vectors
-from factloom.operators import assess, clustering, entities, evaluate, evidence, export, fusion, intervals, persist, retrieval, views
+from factloom.operators import assess, clustering, collection, entities, evaluate, evidence, export, fusion, intervals, persist, retrieval, views
 from factloom.operators.components import connected_components
 from factloom.sources import feeds, landed, pages
 
@@ -330,9 +330,45 @@ def test_assess_and_evaluate(spark):
     got = {r.query_id: (r.recall_1, r.recall_3, r.rr) for r in evaluate.retrieval_metrics(ranked, relevant, (1, 3)).collect()}
     assert got == {1: (0.0, 0.5, 0.5), 2: (0.0, 0.0, 0.0)}
     scorer = evaluate.model_scorer(lambda pairs: [float(h in p) for p, h in pairs])
-    b = spark.createDataFrame([(1, ["ships went dark there"])], "brief_id int, judgments array<string>")
-    e = spark.createDataFrame([(1, "we saw ships went dark there", None)], "brief_id int, title string, summary string")
-    assert evaluate.entailment(b, e, scorer=scorer).first().faithfulness == 1.0
+    b = spark.createDataFrame([(1, ["ships went dark there [E1]", "nobody was seen [d1], and ships went dark there"]), (2, []), (3, ["no evidence at all"])], "brief_id int, judgments array<string>")
+    e = spark.createDataFrame([(1, 1, "d1", "we saw ships went dark there", None), (1, 2, "d2", "nobody was seen", "")], "brief_id int, n int, doc_id string, title string, summary string")
+    got = {r.brief_id: (r.claims, round(r.faithfulness, 3), round(r.support, 3)) for r in evaluate.entailment(b, e, scorer=scorer).collect()}
+    assert got == {1: (3, 1.0, 0.667), 2: (0, 0.0, 0.0), 3: (0, 0.0, 0.0)}
+    strict = {r.brief_id: (r.claims, r.faithfulness) for r in evaluate.entailment(b, e, scorer=scorer, atomic=False).collect()}
+    assert strict[1] == (2, 0.5)
+    logits = spark.createDataFrame([([1.0, 3.0, 0.5],), ([1000.0, 0.0, 0.0],), (None,)], "x array<double>").select(evaluate.entailment_probability(F.col("x")).alias("p")).collect()
+    assert abs(logits[0].p - np.exp(3) / np.exp([1, 3, 0.5]).sum()) < 1e-12 and logits[1].p == 0 and logits[2].p is None
+    assert evaluate.agreement(spark.createDataFrame([], "premise string, hypothesis string, entailed boolean")).first().agreement == 1.0
+
+
+def test_fetch_articles(spark):
+    asked, waits = [], []
+
+    def get(url):
+        asked.append(url)
+        if len(asked) == 1:
+            raise OSError
+        return '{"articles": []}' if len(asked) == 2 else '{"articles": [{"url": "http://x/1", "title": "T", "domain": "X.com", "seendate": "20250101T000000Z"}]}'
+
+    got = landed.fetch_articles(spark, "What is the EU doing about Iran", "http://api", get, wait=waits.append, language="eng").collect()
+    assert [r.source for r in got] == ["x.com"] and len(asked) == 3 and waits == [1.0, 5.0]
+    assert "maxrecords=75" in asked[0] and "sourcelang%3Aeng" in asked[0] and "Iran" in asked[2] and "doing" not in asked[2]
+    assert landed.fetch_articles(spark, "ports", "http://api", lambda _: "<html>", wait=waits.append).count() == 0
+
+
+def test_collection(spark):
+    schema = "doc_id string, title string, summary string, source string, credibility int, url string"
+    docs = spark.createDataFrame([("a", "Tanker seized near Aden", None, "s1", 2, None)], schema)
+    sources = spark.createDataFrame([("s1", "B")], "label string, reliability string")
+    more = spark.createDataFrame([("a", "other", None, "s1", 2, None), ("b", "Tanker crew freed", None, "s1", 3, None), ("c", "Tanker owner speaks", None, "s2", 3, None)], schema)
+    thin = collection.answer(docs, "tanker seizure", sources, lambda q: more)
+    assert (thin.triage, thin.fetched, thin.new) == ("collect", 3, 2) and len(thin.before.first().citations) == 1 and set(thin.after.first().citations) == {"a", "b", "c"}
+
+    def away(_):
+        raise OSError
+
+    assert collection.answer(docs, "tanker seizure", sources, away).new == 0 and collection.answer(docs, "volcano", sources, away).triage == "no_reporting"
+    assert collection.answer(docs, "thanks!", sources, away).triage == "capabilities"
 
 
 def test_entities_idempotent(spark):
