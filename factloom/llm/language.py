@@ -2,8 +2,9 @@
 
 Interpolated Kneser-Ney character models, one per language, in sorted hash arrays that all languages share: an n-gram's
 row holds its probability under each model, a context's row each model's weight for the shorter context. A sentence gets
-the language of lowest length-normalised cross-entropy; its confidence is the posterior at a tempered length, and it is
-rejected where even the best model finds it stranger than nearly all of its own training text.
+the language of lowest length-normalised cross-entropy. Confidence and rejection are calibrated on sentences that were kept
+back from training: the posterior's slope is the one under which they are likeliest, and a sentence is rejected where even
+the best model finds it stranger than all but REJECTED of that language's sentences of its length.
 
 The models are trained on a bounded sample of labelled rows (PER_LANGUAGE documents a language). Since labels are partly
 wrong, sentences that models of the other half of the sample assign to another language are left out first, twice.
@@ -22,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 5
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 3000
 #: Bits by which a sentence must favour its language over the document's main one to count as foreign.
 FOREIGN_BITS = 12.0
 #: Letters below which a sentence isn't judged.
 SHORTEST = 8
-#: Length in letters at which confidence stops growing.
-TEMPERED = 24
+#: Share of the training sentences kept back for calibration (one of so many), the letters that these are cut to for the
+#: slope of the confidence, the slopes that are tried, and the share of true sentences that may be rejected.
+KEPT_BACK, LENGTHS, SLOPES, REJECTED = 5, (8, 12, 16, 24, 40), (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0), 0.001
 
 # Notations of the seven languages, lower case, without region.
 NOTATIONS = {
@@ -121,6 +123,12 @@ class Models:
     contexts: list[np.ndarray]
     weights: list[np.ndarray]
     strange: np.ndarray
+    spread: np.ndarray | None = None
+    slope: float = 1.0
+
+    def limit(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Bits per character above which a sentence of n letters isn't of the language that fits it best."""
+        return self.strange[best] + (0.0 if self.spread is None else self.spread[best] / np.sqrt(n + 1))
 
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per character of each text under each model, and the texts' lengths in letters and blanks."""
@@ -212,7 +220,33 @@ def train_labelled(rows: list[tuple[str, str]]) -> Models:
             texts[lang].append(sentence)
     for _ in range(2):
         texts = _agreed(texts)
-    return train(texts)
+    models = train(texts)
+    _calibrate(models, texts)
+    return models
+
+
+def _calibrate(models: Models, texts: dict[str, list[str]]) -> None:
+    """Sets rejection limits and the slope of the confidence by models that haven't seen the sentences they judge."""
+    kept = {lang: own[::KEPT_BACK] for lang, own in texts.items()}
+    probe = train({lang: [t for i, t in enumerate(own) if i % KEPT_BACK] for lang, own in texts.items()})
+    if not models.langs or probe.langs != models.langs:  # too few sentences to keep any back
+        return
+    spread, cuts, truth = np.zeros(len(models.langs)), [], []
+    for j, lang in enumerate(models.langs):
+        ce, n = probe.cross_entropy(kept[lang])
+        models.strange[j] = np.average(ce[:, j], weights=n + 1)
+        parts = [t[i % 7 : i % 7 + LENGTHS[i % len(LENGTHS)]] for i, t in enumerate(kept[lang])]
+        # pieces are stranger than whole sentences and must not be rejected either; five deviations where there are few
+        cut_ce, cut_n = probe.cross_entropy(parts)
+        z = np.concatenate([(ce[:, j] - models.strange[j]) * np.sqrt(n + 1), (cut_ce[:, j] - models.strange[j]) * np.sqrt(cut_n + 1)])
+        spread[j] = max(np.quantile(z, 1 - REJECTED), z.mean() + 5 * z.std())
+        cuts += parts
+        truth += [j] * len(parts)
+    models.spread = np.maximum(spread, 0)
+    ce, n = probe.cross_entropy(cuts)
+    gap = (ce - ce.min(axis=1, keepdims=True)) * n[:, None]
+    lost = [np.log2(np.exp2(-s * gap).sum(axis=1)).sum() + s * gap[np.arange(len(truth)), truth].sum() for s in SLOPES]
+    models.slope = SLOPES[int(np.argmin(lost))]
 
 
 def _agreed(texts: dict[str, list[str]]) -> dict[str, list[str]]:
@@ -247,8 +281,8 @@ def judge(models: Models, texts: list[str], doc: np.ndarray, docs: int) -> Judge
     every = np.arange(len(texts))
     best = ce.argmin(axis=1)
     low = ce[every, best]
-    sure = 1 / np.exp2(-(ce - low[:, None]) * np.minimum(n, TEMPERED)[:, None]).sum(axis=1)
-    ok = (n >= SHORTEST) & (low <= models.strange[best])
+    sure = 1 / np.exp2(-models.slope * (ce - low[:, None]) * n[:, None]).sum(axis=1)
+    ok = (n >= SHORTEST) & (low <= models.limit(best, n))
     letters = np.zeros((docs, len(models.langs)))
     np.add.at(letters, (doc[ok], best[ok]), n[ok])
     main = letters.argmax(axis=1)[doc]

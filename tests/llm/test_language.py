@@ -120,3 +120,25 @@ def test_sampling_is_bounded(spark):
     assert 120 < len(got) < 290 and {g[0] for g in got} == {"en"}
     assert language.sample_labelled(df.limit(0), "language", ["title"], "doc_id") == []
     assert language.train_labelled([]).langs == ()
+
+
+def test_confidence_is_calibrated():
+    """Of short pieces of sentences the models never saw, about as many are right as their confidence says."""
+    rng = random.Random(31)
+    models = trained(0.1)
+    rows = [(lang, sentence(rng, lang)[at : at + rng.randrange(9, 14)]) for lang in PARTS for _ in range(400) for at in [rng.randrange(12)]]
+    ce, n = models.cross_entropy([t for _, t in rows])
+    j = language.judge(models, [t for _, t in rows], np.arange(len(rows)), len(rows))
+    right = np.array([models.langs[i] == lang for i, (lang, _) in zip(ce.argmin(axis=1), rows, strict=True)])
+    known = j.confidence > 0
+    error = sum(abs(right[some].mean() - j.confidence[some].mean()) * some.sum() for low in np.arange(0, 1, 0.2) if (some := known & (j.confidence > low) & (j.confidence <= low + 0.2)).any()) / known.sum()
+    assert error < 0.05 and known.mean() > 0.9
+
+
+def test_few_true_sentences_are_rejected_and_most_foreign_ones():
+    rng = random.Random(32)
+    models = trained()
+    own = [sentence(rng, lang) for lang in PARTS for _ in range(300)]
+    other = ["ma päälinnan satama suljettiin eilen illalla", "de haven van de stad is gisteren gesloten", "hamnen i staden stängdes igår kväll klockan nio", "η λιμενική αρχή έκλεισε χθες το βράδυ"]
+    got, _ = best(models, own)
+    assert sum(g is None for g in got) <= 0.02 * len(own) and sum(g is None for g in best(models, other)[0]) >= 3
