@@ -56,7 +56,7 @@ def relevance_tokens(c: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def _unescaped(c: pd.Series) -> pd.Series:
+def unescaped_batch(c: pd.Series) -> pd.Series:
     return c.map(lambda s: html.unescape(s) if isinstance(s, str) else None)
 
 
@@ -65,16 +65,31 @@ def _unescaped_each(c: pd.Series) -> pd.Series:
     return c.map(lambda a: [None if s is None else html.unescape(s) for s in a] if a is not None else None)
 
 
+# The entities that most texts with any have.
+_COMMON = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("#x27", "'"), ("apos", "'"), ("nbsp", "\xa0"), ("mdash", "—"), ("ndash", "–"), ("hellip", "…"), ("amp", "&"))
+
+
+def _common_entities(c: Column) -> Column:
+    for name, char in _COMMON:
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+    return c
+
+
+def _has_others(raw: Column) -> Column:
+    """Whether a text may hold an entity other than the common ones."""
+    return raw.rlike(rf"&(?!(?:{'|'.join(n for n, _ in _COMMON)});)[#A-Za-z]|&amp;(?:#|[A-Za-z]+;)")
+
+
 def unescape(c: Column) -> Column:
-    """Every HTML entity resolved. Only texts with an ampersand leave the JVM for it."""
-    held = c.contains("&")
-    return F.when(held, _unescaped(F.when(held, c))).otherwise(c)
+    """Every HTML entity resolved; the common ones without leaving the JVM."""
+    others = _has_others(c)
+    return F.when(others, unescaped_batch(F.when(others, c))).otherwise(_common_entities(c))
 
 
-def unescape_each(c: Column) -> Column:
-    """As unescape(), for the texts of an array."""
-    held = F.exists(c, lambda s: s.contains("&"))
-    return F.when(held, _unescaped_each(F.when(held, c))).otherwise(c)
+def unescape_each(c: Column, raw: Column) -> Column:
+    """As unescape(), for the texts of an array that was taken out of `raw`."""
+    others = _has_others(raw)
+    return F.when(others, _unescaped_each(F.when(others, c))).otherwise(F.transform(c, _common_entities))
 
 
 def collapse(c: Column) -> Column:
@@ -108,7 +123,7 @@ def main_text(page: Column, most: int = R.MAX_BODY) -> Column:
     ended = F.split(rest, "(?i)</article>", 2)
     scope = F.when(F.size(ended) == 2, ended[0]).otherwise(bare)
     inside = F.regexp_extract_all(scope, F.lit(element("p")), F.lit(1))
-    paragraphs = F.transform(unescape_each(F.transform(inside, lambda p: F.regexp_replace(p, r"<[^>]+>", " "))), collapse)
+    paragraphs = F.transform(unescape_each(F.transform(inside, lambda p: F.regexp_replace(p, r"<[^>]+>", " ")), page), collapse)
     prose = F.filter(paragraphs, lambda p: (F.length(p) >= R.MIN_PARAGRAPH) & p.contains(" "))
     # how much stands before each paragraph decides whether it is still wanted
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("held"))

@@ -22,6 +22,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(norms > 0, dot(a, b) / norms).otherwise(0.0))
 
 
+def cosine_of(a, b) -> float | None:
+    """cosine() of two plain sequences."""
+    if a is None or b is None or len(a) != len(b):
+        return None
+    x, y = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    norms = float(np.sqrt((x @ x) * (y @ y)))
+    return float(x @ y) / norms if norms > 0 else 0.0
+
+
 def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, centroid): the mean vector of each key, component sums combined before they are shuffled."""
     parts = df.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))

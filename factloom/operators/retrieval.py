@@ -39,8 +39,9 @@ def postings(docs: DataFrame, ident: str, body: str, terms: DataFrame | None = N
 def corpus_statistics(docs: DataFrame, body: str) -> tuple[DataFrame, DataFrame]:
     """(df: term, df; statistics: one row n, avgdl, mean_idf over all terms), read in one pass: every text gives each of its
     terms once, and an empty term that counts texts and words. Texts without any term count as documents."""
-    bag = text.tokens(F.col(body))
-    rows = docs.select(F.explode(F.array_append(F.array_distinct(bag), F.lit(""))).alias("term"), F.size(bag).alias("_dl"))
+    # lengths and distinct terms are columns before the explosion, or every row of it would read the text again
+    bags = docs.select(text.tokens(F.col(body)).alias("_t")).select(F.size("_t").alias("_dl"), F.array_append(F.array_distinct("_t"), F.lit("")).alias("_d"))
+    rows = bags.select("_dl", F.explode("_d").alias("term"))
     counted = cut(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("_dl")).otherwise(0)).alias("_words")), "terms")
     n = counted.where("term = ''").select(F.col("df").alias("n"), (F.col("_words") / F.col("df")).alias("avgdl"))
     df = counted.where("term <> ''").select("term", "df")

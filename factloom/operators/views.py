@@ -92,11 +92,18 @@ def low_share(docs: DataFrame, key: str, reliability: Column) -> DataFrame:
     return docs.groupBy(key).agg(F.avg(F.when(grades.low_tier(reliability), 1.0).otherwise(0.0)).alias("low_share"))
 
 
+#: Entries of a registry that every row may meet inside an expression.
+CATALOGUE = 500
+
+
 def nearest_techniques(rows: DataFrame, key: str, vector: str, catalogue: DataFrame, threshold: float = R.TECHNIQUE_COSINE, most: int = R.TECHNIQUE_TOP) -> DataFrame:
     """(key, technique_id, name, phase, score) of the `most` catalogue entries (with `embedding`) of highest cosine.
 
     The catalogue is a fixed registry, so every row meets all of it; different dimensions match nothing."""
-    entries = F.array([F.struct(*[F.lit(r[c]).alias(c) for c in ("technique_id", "name", "phase")], F.array(*[F.lit(float(x)) for x in r["embedding"]]).alias("v")) for r in catalogue.orderBy("technique_id").collect()])
+    known = catalogue.orderBy("technique_id").limit(CATALOGUE + 1).collect()
+    if len(known) > CATALOGUE:
+        raise ValueError(f"more than {CATALOGUE} entries; a catalogue of that size is a table to search, not a registry")
+    entries = F.array([F.struct(*[F.lit(r[c]).alias(c) for c in ("technique_id", "name", "phase")], F.array(*[F.lit(float(x)) for x in r["embedding"]]).alias("v")) for r in known])
     scored = F.transform(entries, lambda e: F.struct(vectors.cosine(F.col(vector), e["v"]).alias("score"), e["technique_id"].alias("technique_id"), e["name"].alias("name"), e["phase"].alias("phase")))
     good = F.filter(scored, lambda e: F.coalesce(e["score"] >= threshold, F.lit(False)))
     ranked = F.slice(F.array_sort(good, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["technique_id"] < b["technique_id"], -1).otherwise(1)), 1, most)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from factloom import registries as R
-from factloom.functions import grades, text, vectors
+from factloom.functions import grades, sql, text, vectors
 from factloom.operators import assess, clustering, collection, entities, evaluate, evidence, export, fusion, intervals, persist, retrieval, views
 from factloom.operators.components import connected_components
 from factloom.sources import feeds, landed, pages
@@ -434,3 +434,9 @@ def test_competition_ranks_random(spark):
     key = lambda s: -1.0 if s is None else s
     want = sorted((str(q), str(s), 1 + sum(1 for q2, s2 in rows if q2 == q and key(s2) > key(s))) for q, s in rows)
     assert got == want
+
+
+def test_functions_for_sql(spark):
+    assert sql.register(spark) == ["fl_html_unescape", "fl_hash_embedding", "fl_cosine"]
+    row = spark.sql("SELECT fl_html_unescape('a &amp; b &eacute;') AS t, size(fl_hash_embedding('some words')) AS n, fl_cosine(array(1D, 0D), array(3D, 4D)) AS c, fl_cosine(array(1D), array(1D, 2D)) AS none").first()
+    assert tuple(row) == ("a & b é", 64, 0.6, None)
