@@ -181,3 +181,15 @@ def test_gaps_and_passages():
     assert len(residue.gaps("a {{x}} b ${y} c [E2] d [12] e")) == 2
     assert residue.passages("<p>One two. Three!</p>\nFour") == ["One two.", "Three!", "Four"]
     assert residue.decide(residue.fit([]), "Please enable JavaScript.") == (0, 0, 0)
+
+
+def test_awkward_rows_and_clashing_columns(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns that are named like the operators' own."""
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima mike november oscar papa"
+    docs = [(1, f"{item} once", 5, "a", 0), (1, f"{item} once", 5, "a", 0), (2, None, None, None, None), (None, item, 1, "b", 2), (3, "word " * 120_000 + item, 7, "c", 1), (4, "", 1, "", 1), (5, "é" * 5000, 1, "", 1)]
+    d = spark.createDataFrame(docs, "doc_id int, text string, stem int, ids string, kind int")
+    i = spark.createDataFrame([(7, item, 1), (7, item, 1), (8, None, 2), (9, "", 3)], "item_id int, text string, n int")
+    found = leakage.leaks(leakage.search(d, i)).where("kind = 'exact'").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.item_id) for r in found) == [(False, 1, 7), (False, 3, 7), (True, 0, 7)]
+    many = spark.createDataFrame([(1, "404 Not Found.", 1, 1.0), (1, "404 Not Found.", 1, 1.0), (2, None, None, None)], "doc_id int, text string, errors int, excluded double")
+    assert residue.score(many).count() == 3 and residue.to_exclude(many).count() <= 2

@@ -156,3 +156,11 @@ def test_encode_empty():
     codes, lengths = spelling.encode([])
     assert codes.shape == (0, 0) and lengths.tolist() == []
     assert np.array_equal(spelling.distances(["", "a"], ["b", "a"]), [1, 0])
+
+
+def test_clashing_columns_and_nulls(spark):
+    df = spark.createDataFrame([(1, "Zbigniew Kowalczyk", "PERSON", "x", None), (2, "Kowalczyk, Zbigniew", "PERSON", "y", 3), (None, "Zbigniew Kowalczyk", "PERSON", "z", 4), (4, "Torgrad", None, None, None), (5, "TORGRAD", None, None, None), (6, "A B", "PERSON", "", 1)], "entity_id int, name string, type string, slots string, edits int")
+    found: dict = {}
+    for r in names.same_entity(df).collect():
+        found.setdefault(r.group_key, set()).add(r.entity_id)
+    assert {frozenset(s) for s in found.values()} == {frozenset({1, 2, None}), frozenset({4, 5}), frozenset({6})}
