@@ -299,7 +299,6 @@ def _searcher(known, ident: str, item: str):
             for w in np.unique(runs[j]):
                 holders[w].append(k)
         holders = [np.array(h, dtype=np.int64) for h in holders]
-        none = np.zeros(0, np.int64)
         for b in batches:
             out = []
             for at in range(0, len(b), 512):
@@ -317,12 +316,15 @@ def _searcher(known, ident: str, item: str):
                         for k, share in zip(hits[shares >= ANSWER].tolist(), shares[shares >= ANSWER].tolist(), strict=True):
                             if (order := longest_subsequence(stems[n], tells[k]) / len(tells[k])) >= SUBSEQUENCE:
                                 best[int(of[k])] = max(best.get(int(of[k]), (0.0, 0.0)), (order, share))
-                    # what shares RUN words with an item can hold a run, however far away it is
+                    # what has RUN words in a row that an item has can hold a run of it, however far away it is
                     exact: list[int] = []
                     if "1" * RUN in "".join("1" if w >= 0 else "0" for w in x):
-                        # words count as often as they stand here, so repeats inside a run don't hide it
-                        places = np.concatenate([none, *[holders[w] for w in seq[seq >= 0]]])
-                        exact = members[np.nonzero(np.bincount(places, minlength=len(members)) >= RUN)[0]].tolist()
+                        shared = np.zeros((len(members), len(seq) + 1), np.int16)
+                        for at_word, w in enumerate(x, 1):
+                            if w >= 0:
+                                shared[holders[w], at_word] = 1
+                        upto = shared.cumsum(axis=1)
+                        exact = members[np.nonzero((upto[:, RUN:] - upto[:, :-RUN] == RUN).any(axis=1))[0]].tolist()
                     if best or exact:
                         nearest = np.maximum.reduceat(row, starts)
                         for j in sorted({*exact, *best}):
