@@ -68,7 +68,7 @@ def copy_groups(items: DataFrame, ident: str = "item_id", source: str = "source"
     # written once: its classes are counted, then its rows are met with them
     cheap = cut(bare.select("id", "s", "t", F.xxhash64("_o", F.length("_k"), *counts).alias("h1")), "copy-classes")
     first = _several(cheap, "h1").withColumn("_k", skeleton(F.col("t")))
-    spelled = first.select("id", "s", "t", F.xxhash64("h1", F.array_join(F.array_sort(F.split("_k", "")), "")).alias("h2"))
+    spelled = cut(first.select("id", "s", "t", F.xxhash64("h1", F.array_join(F.array_sort(F.split("_k", "")), "")).alias("h2")), "copy-letters")
     second = _several(spelled, "h2")
     keyed = second.select("id", _exact("s", "t").alias("key")).distinct()
     keeps = keyed.groupBy("key").agg(F.min("id").alias("keep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
