@@ -42,16 +42,14 @@ class Clusters:
         return k
 
     def place(self, v: np.ndarray, at: float | None, threshold: float, window: float) -> int:
-        """The cluster that a unit vector joins or begins. at: NaN where unknown, None to ignore time."""
+        """The cluster that a unit vector joins or begins. at: no earlier than before; NaN where unknown, None to ignore time."""
         k = len(self.sizes)
-        if k:
-            sim = self.means[:k] @ v
-            ok = sim >= threshold
-            if at is not None:
-                ok &= ~(np.abs(at - self.first[:k]) > window)  # unknown times pass
-            if ok.any():
-                top = np.where(ok, sim, -np.inf)
-                best = k - 1 - int(top[::-1].argmax())  # the later cluster wins ties
+        # times come in order, so clusters' first times do too: what began before the window is out of reach
+        low = int(np.searchsorted(self.first[:k], at - window)) if at is not None and not np.isnan(at) else 0
+        if k > low:
+            sim = self.means[low:k] @ v
+            if float(sim.max()) >= threshold:
+                best = k - 1 - int(sim[::-1].argmax())  # the later cluster wins ties
                 n = self.sizes[best] = self.sizes[best] + 1
                 self.means[best] = _unit(self.means[best] * ((n - 1) / n) + v / n)
                 return best
@@ -59,7 +57,7 @@ class Clusters:
 
 
 def greedy(vectors: np.ndarray, times: np.ndarray | None, threshold: float, window: float, clusters: Clusters | None = None) -> np.ndarray:
-    """Cluster number of each row, rows taken as they stand. times: NaN where unknown, None to ignore time."""
+    """Cluster number of each row, rows taken as they stand. times: in order, then NaN where unknown; None to ignore time."""
     held = clusters if clusters is not None else Clusters(vectors.shape[1])
     return np.array([held.place(v, None if times is None else times[i], threshold, window) for i, v in enumerate(_unit(vectors))], np.int64)
 

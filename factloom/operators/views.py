@@ -33,9 +33,11 @@ def divergence(members: DataFrame, key: str, ident: str = "doc_id", vector: str
     angle = lambda a, b: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vectors.cosine(F.col(a), F.col(b)))))
     placed = cut(unit.join(centre, "k").withColumn("t", angle("v", "c")).drop("c"), "framing-angles")
     start = placed.groupBy("k").agg(F.max_by("v", F.struct("t", "i")).alias("a"), F.max("t").alias("most"))
-    first = placed.join(start, "k").withColumn("d", angle("v", "a")).groupBy("k").agg(F.max("d").alias("known"), F.first("most").alias("most"))
-    left = placed.join(first, "k").where(F.col("t") + F.col("most") >= F.col("known") - 1e-9)
-    sizes = left.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    first = cut(placed.join(start, "k").withColumn("c", vectors.cosine(F.col("v"), F.col("a"))).groupBy("k").agg(F.min("c").alias("c"), F.first("most").alias("most"), F.count("*").alias("m")), "framing-first")
+    # two members are settled by that; of others only those that could be farther apart go on
+    known = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c"))))
+    left = placed.join(first.where("m > 2").select("k", "most", known.alias("known")), "k").where(F.col("t") + F.col("most") > F.col("known") - 1e-9)
+    sizes = left.groupBy("k").agg(F.count("*").alias("m"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("m > 1").drop("m")
     dealt = left.join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     meeting = dealt.select("*", other).select("k", "v", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
@@ -46,7 +48,7 @@ def divergence(members: DataFrame, key: str, ident: str = "doc_id", vector: str
         return pd.DataFrame({"k": part["k"].iloc[:1], "low": [float((a @ b.T).min()) if len(a) and len(b) else 1.0]})
 
     kind = members.schema[key].dataType.simpleString()
-    low = meeting.groupBy("k", "p", "q").applyInPandas(compare, f"k {kind}, low double").groupBy("k").agg(F.min("low").alias("low"))
+    low = meeting.groupBy("k", "p", "q").applyInPandas(compare, f"k {kind}, low double").unionByName(first.where("m > 1").select("k", F.col("c").alias("low"))).groupBy("k").agg(F.min("low").alias("low"))
     found = flat.join(low, "k", "left").withColumn("low", F.when((F.col("_flat") > 0) & (F.col("_all") > 1), F.least(F.coalesce("low", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("low")))
     spread = F.when(F.col("_all") > 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("low")))).otherwise(0.0)
     per = found.select(F.col("k").alias(key), spread.alias("divergence"))
