@@ -1,6 +1,7 @@
 """Name linking against brute force and on awkward input."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -67,6 +68,56 @@ def test_radius_join_equals_all_pairs(spark, radius, pivots, monkeypatch):
     assert got == want and len(want) > 20
 
 
+@settings(max_examples=100, deadline=None)
+@given(words, words, st.integers(0, 3))
+def test_words_within_the_radius_have_a_remnant_in_common(a, b, radius):
+    left = [set(), set()]
+    for row, hashes in names._remnants([a, b], radius):
+        for r, h in zip(row.tolist(), hashes.tolist(), strict=True):
+            assert h not in left[r]
+            left[r].add(h)
+    assert len(left[0]) == len({"".join(a[i] for i in kept) for k in range(max(0, len(a) - radius), len(a) + 1) for kept in combinations(range(len(a)), k)})
+    assert left[0] & left[1] or true_distance(a, b) > radius
+
+
+def test_large_types_do_not_meet_all_pairs():
+    """Of 20,000 words (200 million pairs) few meet, with the same pairs in any part size."""
+    rng = random.Random(3)
+    cores = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(5)) for _ in range(20_000)]
+    parts = list(names._remnants(cores, 2))
+    rows, cells = np.concatenate([r for r, _ in parts]), np.concatenate([h for _, h in parts])
+    order = np.argsort(cells, kind="stable")
+    i, j = (np.concatenate(x) for x in zip(*names._meetings(cells[order], rows[order]), strict=True))
+    assert len(rows) <= 56 * len(cores) and len(i) < 5_000_000
+    assert np.unique(np.minimum(i, j) * len(cores) + np.maximum(i, j)).size < 1_000_000
+
+
+def test_large_and_small_types_in_one_join(spark, monkeypatch):
+    monkeypatch.setattr(names, "MOST_PIVOTS", 2)
+    monkeypatch.setattr(names, "PER_PIVOT", 2)
+    rows = [("large", f"l{i}", w) for i, w in enumerate(["abcd", "abdc", "abxcd", "xbcd", "", "p", "pq"])] + [("small", f"s{i}", w) for i, w in enumerate(["abcd", "abcd", "p"])]
+    got = names.radius_join(spark.createDataFrame(rows, "block string, key string, core string"), 1).collect()
+    assert sorted(map(tuple, got)) == [("l0", "l1", 1), ("l0", "l2", 1), ("l0", "l3", 1), ("l4", "l5", 1), ("l5", "l6", 1), ("s0", "s1", 0)]
+
+
+def test_abbreviations_meet_as_by_definition(spark):
+    rng = random.Random(4)
+    longs = sorted({"".join(rng.choice("abcé") for _ in range(rng.randrange(4, 9))) for _ in range(150)} | {"abc" * 9, "🙂bca"})
+    shorts = sorted({"".join(rng.choice("abcé") for _ in range(rng.randrange(2, 7))) for _ in range(150)} | {"🙂a", "ac"})
+    keys = spark.createDataFrame([("ORG|", shorts)], "kind string, short array<string>")
+    support = spark.createDataFrame([(t, w) for t in ("ORG", "GPE") for w in longs], "type string, w string")
+    want = {s: set(spelling.listed(s, "ORG")) for s in shorts if spelling.listed(s, "ORG")}
+    for w in longs:
+        forms = {w[:n] for n in range(2, min(6, len(w) - 1) + 1)}
+        if len(w) <= 24:
+            forms |= {w[0] + "".join(m) + w[-1] for n in range(4) for m in combinations(w[1:-1], n)}
+        for s in forms & set(shorts):
+            if len(s) < len(w):
+                want.setdefault(s, set()).add(w)
+    got = {r.short: set(r.means) for r in names.abbreviated(keys, support).collect()}
+    assert got == want and len(want) > 50
+
+
 def groups(spark, rows):
     df = spark.createDataFrame([(i, n, t, "x", "y") for i, (n, t) in enumerate(rows)], "entity_id int, name string, type string, key string, core string")
     found: dict = {}
